@@ -138,17 +138,23 @@ MESSAGES = {
 # ------------------------------------------------------------------ formats
 
 
-def is_email(c: Column) -> Column:
-    return c.rlike(r"^[^@]+@[^@]+\.[^@]+$")
+# As SQL with a place for the text, so that the compiled rule table can use them too.
+EMAIL_TEST = "rlike({}, r'^[^@]+@[^@]+\\.[^@]+$')"
+PHONE_TEST = "rlike(regexp_replace({}, r'(?U)[\\s\\-()+.]', ''), r'(?U)^\\d{{7,15}}$')"
+SEMVER_TEST = "rlike({}, r'(?U)^\\d+\\.\\d+\\.\\d+$')"
 
 
-def is_phone(c: Column) -> Column:
+def is_email(column: str) -> Column:
+    return F.expr(EMAIL_TEST.format(column))
+
+
+def is_phone(column: str) -> Column:
     """Seven to fifteen digits once blanks and ``- ( ) + .`` are gone."""
-    return F.regexp_replace(c, r"(?U)[\s\-()+.]", "").rlike(r"(?U)^\d{7,15}$")
+    return F.expr(PHONE_TEST.format(column))
 
 
-def is_semver(c: Column) -> Column:
-    return c.rlike(r"(?U)^\d+\.\d+\.\d+$")
+def is_semver(column: str) -> Column:
+    return F.expr(SEMVER_TEST.format(column))
 
 
 def _part(version: Column, i: int) -> Column:
@@ -173,108 +179,114 @@ def migrated_version(version: Column, target: str = SCHEMA_VERSION) -> tuple[Col
 
 
 # ------------------------------------------------------------------ rules to columns
+#
+# The rule table compiles to one SQL expression text: some 75 fields would otherwise mean
+# thousands of Python-side column calls, which take longer than the planning.
 
+_NUMERIC = "'BIGINT', 'DOUBLE', 'DECIMAL', 'FLOAT'"
 
-def _kind_of(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BIGINT, DOUBLE, DECIMAL, BOOLEAN, VOID; null when absent."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z_]+", 0)
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _message(path: Column, text: str | Column) -> Column:
-    text = F.lit(text) if isinstance(text, str) else text
-    return F.concat(F.lit("Field '"), path, F.lit("': "), text)
 
+class _Names:
+    """Fresh lambda variable names."""
 
-_NUMERIC = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
+    def __init__(self):
+        self.count = 0
 
+    def __call__(self, stem: str) -> str:
+        self.count += 1
+        return f"{stem}{self.count}"
 
-def _leaf_error(v: Column, kind: Column, rule: Leaf) -> Column:
-    """Error text of a present, non-null scalar; null when it is fine."""
-    text = F.try_variant_get(v, "$", "string")
-    if rule.kind == "string":
-        checks = F.when(kind != "STRING", MESSAGES["string"])
-        if rule.longest is not None:
-            checks = checks.when(
-                F.length(text) > rule.longest, f"String should have at most {rule.longest} characters"
-            )
-        if rule.check == "email":
-            checks = checks.when((text != "") & ~is_email(text), MESSAGES["email"])
-        elif rule.check == "phone":
-            checks = checks.when((text != "") & ~is_phone(text), MESSAGES["phone"])
-        elif rule.check == "semver":
-            checks = checks.when(~is_semver(text), MESSAGES["semver"])
-        elif rule.check == "category":
-            return F.when((kind != "STRING") | ~text.isin(*SKILL_CATEGORIES), MESSAGES["category"])
-        return checks
-    numeric_text = (kind == "STRING") & text.try_cast("double").isNotNull()
-    if rule.kind == "float":
-        return F.when(~(kind.isin(*_NUMERIC, "BOOLEAN") | numeric_text), MESSAGES["float"])
-    if rule.kind == "int":
-        whole = text.try_cast("double") == F.floor(text.try_cast("double"))
-        return F.when(
-            ~F.coalesce((kind.isin(*_NUMERIC) | numeric_text) & whole | (kind == "BOOLEAN"), F.lit(False)),
-            MESSAGES["int"],
-        )
-    if rule.kind == "bool":
-        spelled = F.lower(text).isin("true", "false", "yes", "no", "on", "off", "t", "f", "y", "n", "1", "0")
-        fine = (kind == "BOOLEAN") | ((kind == "STRING") & spelled) | (kind.isin(*_NUMERIC) & text.isin("0", "1"))
-        return F.when(~fine, MESSAGES["bool"])
-    if rule.kind == "datetime":
-        fine = kind.isin(*_NUMERIC) | ((kind == "STRING") & text.try_cast("timestamp").isNotNull())
-        return F.when(~fine, MESSAGES["datetime"])
-    if rule.kind == "date_or_text":
-        return F.when(kind != "STRING", MESSAGES["date_or_text"])
-    if rule.kind == "object":
-        return F.when(kind != "OBJECT", MESSAGES["object"])
-    raise ValueError(rule.kind)
-
-
-def _list_of(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
-def _string_item_errors(items: Column, path: Column) -> Column:
-    errors = F.transform(
-        items,
-        lambda x, i: F.when(
-            F.coalesce(_kind_of(x) != "STRING", F.lit(True)),
-            _message(F.concat(path, F.lit(" -> "), i.cast("string")), MESSAGES["string"]),
-        ),
-    )
-    return F.array_compact(errors)
+
+def _bind(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _message_sql(path: str, text: str) -> str:
+    return f"concat('Field \\'', {path}, '\\': ', {_quoted(text)})"
 
 
-def _value_errors(v: Column, kind: Column, rule, path: Column) -> Column:
-    """Errors of a present, non-null value as an array."""
+def _cases(path: str, *pairs: tuple[str, str]) -> str:
+    """Array with the message of the first condition that holds, else empty."""
+    whens = " ".join(f"WHEN {cond} THEN array({_message_sql(path, text)})" for cond, text in pairs)
+    return f"CASE {whens} ELSE cast(array() AS array<string>) END"
+
+
+def _leaf_sql(v: str, rule: Leaf, path: str, names: _Names) -> str:
+    """Errors of a present, non-null scalar ``v``."""
+    kind, text = names("kind"), names("text")
+    pairs: list[tuple[str, str]]
+    if rule.kind == "string":
+        if rule.check == "category":
+            allowed = ", ".join(_quoted(c) for c in SKILL_CATEGORIES)
+            pairs = [(f"{kind} <> 'STRING' OR {text} NOT IN ({allowed})", MESSAGES["category"])]
+        else:
+            pairs = [(f"{kind} <> 'STRING'", MESSAGES["string"])]
+            if rule.longest is not None:
+                pairs.append((f"length({text}) > {rule.longest}", f"String should have at most {rule.longest} characters"))
+            test = {"email": EMAIL_TEST, "phone": PHONE_TEST}.get(rule.check)
+            if test:
+                pairs.append((f"{text} <> '' AND NOT ({test.format(text)})", MESSAGES[rule.check]))
+            if rule.check == "semver":
+                pairs.append((f"NOT ({SEMVER_TEST.format(text)})", MESSAGES["semver"]))
+    else:
+        number = f"try_cast({text} AS double)"
+        numeric = f"({kind} IN ({_NUMERIC}) OR ({kind} = 'STRING' AND {number} IS NOT NULL))"
+        spelled = "'true', 'false', 'yes', 'no', 'on', 'off', 't', 'f', 'y', 'n', '1', '0'"
+        fine = {
+            "float": f"{numeric} OR {kind} = 'BOOLEAN'",
+            "int": f"({numeric} AND {number} = floor({number})) OR {kind} = 'BOOLEAN'",
+            "bool": f"{kind} = 'BOOLEAN' OR ({kind} = 'STRING' AND lower({text}) IN ({spelled}))"
+            f" OR ({kind} IN ({_NUMERIC}) AND {text} IN ('0', '1'))",
+            "datetime": f"{kind} IN ({_NUMERIC}) OR ({kind} = 'STRING' AND try_cast({text} AS timestamp) IS NOT NULL)",
+            "date_or_text": f"{kind} = 'STRING'",
+            "object": f"{kind} = 'OBJECT'",
+        }[rule.kind]
+        pairs = [(f"NOT coalesce({fine}, false)", MESSAGES[rule.kind])]
+    body = _cases(path, *pairs)
+    inner = _bind(f"try_variant_get({v}, '$', 'string')", text, body)
+    return _bind(f"regexp_extract(schema_of_variant({v}), '^[A-Z]+', 0)", kind, inner)
+
+
+def _not_text(v: str) -> str:
+    return f"coalesce(schema_of_variant({v}) <> 'STRING', true)"
+
+
+def _value_sql(v: str, rule, path: str, names: _Names) -> str:
+    """Errors of a present, non-null value ``v`` as an array."""
+    if isinstance(rule, Leaf) and rule.kind != "string_map":
+        return _leaf_sql(v, rule, path, names)
+    seen = names("seen")
     if isinstance(rule, Leaf):
-        if rule.kind == "string_map":
-            values = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-            bad = F.transform(
-                F.filter(F.map_entries(values), lambda e: F.coalesce(_kind_of(e["value"]) != "STRING", F.lit(True))),
-                lambda e: _message(F.concat(path, F.lit(" -> "), e["key"]), MESSAGES["string"]),
-            )
-            return F.when(kind != "OBJECT", F.array(_message(path, MESSAGES["object"]))).otherwise(bad)
-        return F.array_compact(F.array(_message(path, _leaf_error(v, kind, rule))))
-    if isinstance(rule, Strings):
-        return F.when(kind != "ARRAY", F.array(_message(path, MESSAGES["list"]))).otherwise(
-            _string_item_errors(_list_of(v), path)
-        )
-    if isinstance(rule, Model):
-        return F.when(kind != "OBJECT", F.array(_message(path, MESSAGES["object"]))).otherwise(
-            model_errors(v, rule, path)
-        )
-    if isinstance(rule, Models):
-        per_item = F.transform(
-            _list_of(v),
-            lambda x, i: let(
-                F.concat(path, F.lit(" -> "), i.cast("string")),
-                lambda p: F.when(
-                    F.coalesce(_kind_of(x) != "OBJECT", F.lit(True)), F.array(_message(p, MESSAGES["object"]))
-                ).otherwise(model_errors(x, rule.item, p)),
-            ),
-        )
-        return F.when(kind != "ARRAY", F.array(_message(path, MESSAGES["list"]))).otherwise(F.flatten(per_item))
-    raise TypeError(rule)
+        entry = names("entry")
+        bad = f"filter(map_entries({seen}), {entry} -> {_not_text(entry + '.value')})"
+        where = f"concat({path}, ' -> ', {entry}.key)"
+        listed = f"transform({bad}, {entry} -> {_message_sql(where, MESSAGES['string'])})"
+        source, wrong = f"try_variant_get({v}, '$', 'map<string,variant>')", MESSAGES["object"]
+    elif isinstance(rule, Strings):
+        item, at = names("item"), names("at")
+        where = f"concat({path}, ' -> ', cast({at} AS string))"
+        message = _message_sql(where, MESSAGES["string"])
+        listed = f"array_compact(transform({seen}, ({item}, {at}) -> CASE WHEN {_not_text(item)} THEN {message} END))"
+        source, wrong = f"try_variant_get({v}, '$', 'array<variant>')", MESSAGES["list"]
+    elif isinstance(rule, Model):
+        listed = _model_sql(v, rule, path, names)
+        source, wrong = f"try_variant_get({v}, '$', 'map<string,variant>')", MESSAGES["object"]
+    elif isinstance(rule, Models):
+        item, at, where = names("item"), names("at"), names("where")
+        is_object = f"try_variant_get({item}, '$', 'map<string,variant>') IS NOT NULL"
+        wrong_item = f"array({_message_sql(where, MESSAGES['object'])})"
+        checked = f"CASE WHEN {is_object} THEN {_model_sql(item, rule.item, where, names)} ELSE {wrong_item} END"
+        per_item = _bind(f"concat({path}, ' -> ', cast({at} AS string))", where, checked)
+        listed = f"flatten(transform({seen}, ({item}, {at}) -> {per_item}))"
+        source, wrong = f"try_variant_get({v}, '$', 'array<variant>')", MESSAGES["list"]
+    else:
+        raise TypeError(rule)
+    body = f"CASE WHEN {seen} IS NULL THEN array({_message_sql(path, wrong)}) ELSE {listed} END"
+    return _bind(source, seen, body)
 
 
 def _null_message(rule) -> str:
@@ -283,27 +295,26 @@ def _null_message(rule) -> str:
     return MESSAGES["object"] if isinstance(rule, Model) else MESSAGES["list"]
 
 
-def _field_errors(parent: Column, name: str, rule, prefix: Column | None) -> Column:
-    path = F.lit(name) if prefix is None else F.concat(prefix, F.lit(f" -> {name}"))
-
-    def check(v: Column) -> Column:
-        def typed(kind: Column) -> Column:
-            absent = F.array(_message(path, MESSAGES["missing"])) if rule.required else no_strings()
-            null = no_strings() if rule.nullable else F.array(_message(path, _null_message(rule)))
-            return (
-                F.when(kind.isNull(), absent)
-                .when(kind == "VOID", null)
-                .otherwise(_value_errors(v, kind, rule, path))
-            )
+def _field_sql(parent: str, name: str, rule, prefix: str | None, names: _Names) -> str:
+    path = _quoted(name) if prefix is None else f"concat({prefix}, {_quoted(' -> ' + name)})"
+    none = "cast(array() AS array<string>)"
+    absent = f"array({_message_sql(path, MESSAGES['missing'])})" if rule.required else none
+    null = none if rule.nullable else f"array({_message_sql(path, _null_message(rule))})"
+    v = names("v")
+    body = (
+        f"CASE WHEN {v} IS NULL THEN {absent} WHEN is_variant_null({v}) THEN {null} "
+        f"ELSE {_value_sql(v, rule, path, names)} END"
+    )
+    return _bind(f"try_variant_get({parent}, '$.{name}', 'variant')", v, body)
 
-        return let(_kind_of(v), typed)
 
-    return let(F.try_variant_get(parent, f"$.{name}", "variant"), check)
+def _model_sql(v: str, model: Model, prefix: str | None, names: _Names) -> str:
+    return "flatten(array(" + ", ".join(_field_sql(v, n, r, prefix, names) for n, r in model.fields.items()) + "))"
 
 
-def model_errors(v: Column, model: Model, prefix: Column | None = None) -> Column:
-    """Errors of all fields of an object, in field order."""
-    return F.flatten(F.array(*[_field_errors(v, n, r, prefix) for n, r in model.fields.items()]))
+def model_errors(variant_column: str, model: Model = PROFILE_RULES) -> Column:
+    """Errors of all fields of a variant object column, in field order."""
+    return F.expr(_model_sql(variant_column, model, None, _Names()))
 
 
 # ------------------------------------------------------------------ prohibited keys
@@ -315,77 +326,60 @@ def _candidate(json: Column) -> Column:
     return json.rlike(rf'(?i)"(?:{keys})"\s*:') | F.contains(json, F.lit("\\u"))
 
 
-def prohibited_paths(
-    df: DataFrame, json: str, key: str, root: str = "additional_sections", max_depth: int | None = None
-) -> DataFrame:
-    """``(key, path)`` of every prohibited key in nested objects; lists are not entered.
+def prohibited_in_row(json: Column, root: str = "additional_sections") -> Column:
+    """Paths of prohibited keys in nested objects, as an array; lists are not entered.
 
-    Objects are opened level by level with a generator, so nothing is shuffled. Rows
-    without any such key are dropped before, and levels are opened until no object is
-    left (or ``max_depth`` levels, where the caller knows the depth).
-    """
-    frontier = df.where(_candidate(F.col(json))).select(
-        F.col(key), F.try_parse_json(json).alias("_v"), F.lit(root).alias("_p")
-    )
-    found = None
-    depth = 0
-    while True:
-        view = frontier.where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
-        if max_depth is None and depth and view.isEmpty():
-            break
-        if max_depth is not None and depth >= max_depth:
-            break
-        entries = view.lateralJoin(
-            df.sparkSession.tvf.variant_explode(F.col("_v").outer()).select(
-                F.col("key").alias("_k"), F.col("value").alias("_child")
-            )
-        ).select(key, F.concat("_p", F.lit("."), F.col("_k")).alias("_p"), "_k", F.col("_child").alias("_v"))
-        hits = entries.where(F.lower("_k").isin(*PROHIBITED_KEYS)).select(key, F.col("_p").alias("path"))
-        found = hits if found is None else found.unionByName(hits)
-        frontier = entries.select(key, "_v", "_p")
-        depth += 1
-    return found
-
-
-def prohibited_in_row(json: Column, levels: int = 8) -> Column:
-    """Paths of prohibited keys as an array, for up to ``levels`` levels of nesting.
-
-    The in-row form that the profile check uses; ``prohibited_paths`` has no level bound.
+    A fold opens one level of objects per step. The number of braces bounds the depth, so
+    no nesting is too deep; once nothing is left to open the remaining steps are free.
     """
-
-    def objects(entries: Column) -> Column:
-        return F.filter(entries, lambda e: F.coalesce(F.startswith(F.schema_of_variant(e["v"]), F.lit("OBJECT")), F.lit(False)))
+    entry = "struct<p:string,k:string,v:variant>"
+    state = f"struct<open:array<{entry}>,hits:array<string>>"
 
     def open_all(entries: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                objects(entries),
-                lambda e: F.transform(
-                    F.map_entries(F.coalesce(F.try_variant_get(e["v"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))),
-                    lambda kv: F.struct(
-                        F.concat(e["p"], F.lit("."), kv["key"]).alias("p"), kv["key"].alias("k"), kv["value"].alias("v")
-                    ),
+        children = F.transform(
+            entries,
+            lambda e: F.transform(
+                F.coalesce(
+                    F.map_entries(F.try_variant_get(e["v"], "$", "map<string,variant>")),
+                    F.array().cast("array<struct<key:string,value:variant>>"),
                 ),
-            )
+                lambda kv: F.struct(
+                    F.concat(e["p"], F.lit("."), kv["key"]).alias("p"), kv["key"].alias("k"), kv["value"].alias("v")
+                ),
+            ),
         )
-
-    def hits(entries: Column) -> Column:
-        return F.transform(
-            F.filter(entries, lambda e: F.lower(e["k"]).isin(*PROHIBITED_KEYS)), lambda e: e["p"]
+        return F.flatten(children)
+
+    def step(acc: Column, _: Column) -> Column:
+        opened = let(
+            open_all(acc["open"]),
+            lambda es: F.struct(
+                es.alias("open"),
+                F.concat(
+                    acc["hits"],
+                    F.transform(F.filter(es, lambda e: F.lower(e["k"]).isin(*PROHIBITED_KEYS)), lambda e: e["p"]),
+                ).alias("hits"),
+            ),
         )
-
-    def level(entries: Column, left: int) -> Column:
-        if left == 0:
-            return no_strings()
-        return let(open_all(entries), lambda es: F.concat(hits(es), level(es, left - 1)))
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(opened).cast(state)
 
     def walk(v: Column) -> Column:
-        start = F.array(F.struct(F.lit("additional_sections").alias("p"), F.lit("").alias("k"), v.alias("v")))
-        return level(start, levels)
+        start = F.struct(
+            F.array(F.struct(F.lit(root).alias("p"), F.lit("").alias("k"), v.alias("v"))).alias("open"),
+            no_strings().alias("hits"),
+        ).cast(state)
+        depth = F.length(json) - F.length(F.replace(json, F.lit("{"), F.lit("")))
+        steps = F.sequence(F.lit(1), F.greatest(depth, F.lit(1)))
+        return F.aggregate(steps, start, step, lambda acc: acc["hits"])
 
     return F.when(_candidate(json), let(F.try_parse_json(json), walk)).otherwise(no_strings())
 
 
+def prohibited_paths(df: DataFrame, json: str, key: str, root: str = "additional_sections") -> DataFrame:
+    """``(key, path)`` of every prohibited key in a JSON column; no shuffle."""
+    return df.select(key, F.explode(prohibited_in_row(F.col(json), root)).alias("path"))
+
+
 def disallowed_contact_keys(contact_json: Column) -> Column:
     """Contact keys outside the allow-list."""
     keys = F.coalesce(F.json_object_keys(contact_json), no_strings())
@@ -395,7 +389,7 @@ def disallowed_contact_keys(contact_json: Column) -> Column:
 # ------------------------------------------------------------------ reports
 
 
-def validate(df: DataFrame, json: str, strict: bool = True, prohibited_levels: int = 8) -> DataFrame:
+def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
     """Add ``is_valid, errors, warnings, profile_valid, schema_version`` for a JSON column.
 
     Strict: an incompatible version is the only error reported. Lenient: invalid top-level
@@ -405,7 +399,7 @@ def validate(df: DataFrame, json: str, strict: bool = True, prohibited_levels: i
     v = F.col("_v")
     version = F.try_variant_get(v, "$.schema_version", "string")
     staged = df.withColumn("_v", F.try_parse_json(json)).withColumn("_version", version)
-    parsed = F.col("_v").isNotNull() & F.coalesce(_kind_of(F.col("_v")) == "OBJECT", F.lit(False))
+    parsed = F.col("_v").isNotNull() & F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     missing = F.coalesce(F.col("_version") == "", F.lit(True))
     same = F.col("_version") == SCHEMA_VERSION
     compatible = is_compatible(F.col("_version"))
@@ -413,17 +407,17 @@ def validate(df: DataFrame, json: str, strict: bool = True, prohibited_levels: i
     # A missing or compatible version is rewritten before the check, so it cannot fail.
     body = Model({n: r for n, r in PROFILE_RULES.fields.items() if n != "schema_version"})
     version_errors = F.when(
-        refused & ~is_semver(F.col("_version")), F.array(_message(F.lit("schema_version"), MESSAGES["semver"]))
+        refused & ~is_semver("_version"), F.array(F.lit(f"Field 'schema_version': {MESSAGES['semver']}"))
     ).otherwise(no_strings())
     extra = F.to_json(F.try_variant_get(v, "$.additional_sections", "variant"))
     prohibited = F.transform(
-        F.coalesce(prohibited_in_row(extra, prohibited_levels), no_strings()),
-        lambda p: _message(F.lit(""), F.concat(F.lit("Value error, Prohibited derived PII field detected: "), p)),
+        F.coalesce(prohibited_in_row(extra), no_strings()),
+        lambda p: F.concat(F.lit("Field '': Value error, Prohibited derived PII field detected: "), p),
     )
     staged = staged.withColumns(
         {
             "_parsed": parsed,
-            "_fields": F.when(parsed, F.concat(version_errors, model_errors(v, body), prohibited)).otherwise(no_strings()),
+            "_fields": F.when(parsed, F.concat(version_errors, model_errors("_v", body), prohibited)).otherwise(no_strings()),
             "_refused": F.when(
                 refused,
                 F.concat(F.lit("Incompatible schema version: "), F.col("_version"), F.lit(f" (current: {SCHEMA_VERSION})")),
