@@ -1,0 +1,6 @@
+"""Registered queries: every operator applied to the given tables."""
+
+from vitaframe.queries import text  # noqa: F401
+from vitaframe.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -29,7 +29,7 @@ def spread_small(df: DataFrame) -> DataFrame:
     splits than cores and no shuffle is added.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * _BYTES_PER_CORE else df
 
 
