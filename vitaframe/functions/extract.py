@@ -17,8 +17,8 @@ MAX_URLS = 3
 DATE_PATTERNS = (
     r"\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\b",
     r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b",
-    r"\b\d{4}\s*[\-\–]\s*\d{4}\b",
-    r"\b\d{4}\s*[\-\–]\s*(?:present|current)\b",
+    r"\b\d{4}\s*[-–]\s*\d{4}\b",
+    r"\b\d{4}\s*[-–]\s*(?:present|current)\b",
 )
 YEAR = r"\b(?:19|20)\d{2}\b"
 FOUR_DIGITS = r"\b\d{4}\b"
