@@ -16,7 +16,9 @@ from vitaframe.functions.skillwords import (
 )
 from vitaframe.functions.text import dialect, is_set, let, strip, title_case
 
-DIM_DDL = "pos int, canonical string, aliases array<string>, category string, key string"
+# One row per spelling: ``rank`` settles which entry a spelling leads to (larger wins),
+# ``place`` is the order in which spellings were written.
+DICTIONARY_DDL = "canonical string, category string, spelling string, is_alias boolean, rank bigint, place bigint"
 KNOWN, UNKNOWN = 0.95, 0.7
 # A dictionary up to this many spellings is built into the plan or broadcast; beyond it the
 # lookup is an ordinary join that Spark sizes at run time.
@@ -26,62 +28,76 @@ INLINE_LIMIT = 5_000
 # ------------------------------------------------------------------ dictionary
 
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    """The built-in entries: one row per canonical skill."""
-    rows = [(i, name, list(aliases), cat, key) for i, (key, name, cat, aliases) in enumerate(SKILL_DICTIONARY)]
-    return spark.createDataFrame(rows, DIM_DDL)
+def dictionary(spark: SparkSession, index_keys: bool = False) -> DataFrame:
+    """The built-in dictionary, one row per spelling.
 
+    An entry's own key is not a spelling unless ``index_keys`` asks for it.
+    """
+    rows = []
+    for pos, (key, name, category, aliases) in enumerate(SKILL_DICTIONARY):
+        spellings = [(name, False), *[(a, True) for a in aliases]] + ([(key, False)] if index_keys else [])
+        rows += [(name, category, s, alias, pos, pos * 1000 + i) for i, (s, alias) in enumerate(spellings)]
+    return spark.createDataFrame(rows, DICTIONARY_DDL)
 
-def alias_rows(entries: DataFrame, index_keys: bool = False) -> DataFrame:
-    """Reverse lookup ``alias_lower -> entry``; where two entries claim a spelling the later wins.
 
-    An entry's own key is not a spelling unless ``index_keys`` asks for it. ``dict_pos``
-    orders the spellings as first written, which ranks suggestions.
-    """
-    spelled = F.array_union(
-        F.array(F.lower("canonical")), F.transform(F.col("aliases"), lambda a: F.lower(a))
+def alias_rows(spellings: DataFrame) -> DataFrame:
+    """Reverse lookup ``alias_lower -> canonical, category``; the later entry wins a spelling."""
+    best = spellings.groupBy(F.lower("spelling").alias("alias_lower")).agg(
+        F.max_by(F.struct("canonical", "category"), F.struct("rank", "place")).alias("e"), F.min("place").alias("dict_pos")
     )
-    if index_keys:
-        spelled = F.array_union(spelled, F.array(F.lower("key")))
-    flat = entries.select("pos", "canonical", "aliases", "category", F.posexplode(spelled).alias("i", "alias_lower"))
-    entry = F.struct("pos", "canonical", "aliases", "category")
-    best = flat.groupBy("alias_lower").agg(
-        F.max_by(entry, F.struct("pos", "i")).alias("e"), F.min(F.struct("pos", "i")).alias("dict_pos")
+    return best.select("alias_lower", "e.canonical", "e.category", "dict_pos")
+
+
+def lookup_table(spellings: DataFrame) -> DataFrame:
+    """``alias_rows`` with each entry's list of aliases, which normalised skills carry along."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "spelling"))), lambda x: x["spelling"])
+    lists = spellings.where("is_alias").groupBy("canonical").agg(ordered.alias("aliases"))
+    return alias_rows(spellings).join(lists, "canonical", "left").withColumn(
+        "aliases", F.coalesce("aliases", F.array().cast("array<string>"))
     )
-    return best.select("alias_lower", "e.canonical", "e.aliases", "e.category", "dict_pos")
 
 
-def add_custom_aliases(entries: DataFrame, additions: DataFrame) -> DataFrame:
+_ADDED_RANK = 1_000_000
+
+
+def add_custom_aliases(spellings: DataFrame, additions: DataFrame) -> DataFrame:
     """Extend the dictionary by rows ``(seq, canonical_name, alias, category)``.
 
-    A known canonical name (any case) gains the alias unless it has it already; an unknown
-    one becomes an entry of its own, named and categorised by its first addition. Later
-    entries and later additions win a spelling, see ``alias_rows``.
+    A known canonical name (any case) gains the alias unless it has it; an unknown one becomes
+    an entry named and categorised by its first addition, and can be looked up by its own name.
+    The last addition of a spelling decides where it leads. Everything stays one row per
+    spelling, so a name that gains very many aliases is never gathered in one place.
     """
-    added = additions.groupBy(F.lower("canonical_name").alias("name_lower")).agg(
-        F.min_by(F.struct("canonical_name", "category", "seq"), "seq").alias("first"),
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("seq", "alias"))), lambda x: x["alias"]
-        ).alias("new_aliases"),
-        F.max("seq").alias("last_seq"),
+    named = additions.select("seq", "canonical_name", "alias", "category", F.lower("canonical_name").alias("_n"))
+    first = named.groupBy("_n").agg(
+        F.min_by(F.struct("canonical_name", F.coalesce("category", F.lit("other")).alias("category")), "seq").alias("_f"),
+        F.min("seq").alias("_seq"),
+    )
+    known = spellings.groupBy(F.lower("canonical").alias("_n")).agg(
+        F.first("canonical").alias("_canonical"), F.first("category").alias("_category")
     )
-    known = entries.withColumn("name_lower", F.lower("canonical"))
-    joined = known.join(added, "name_lower", "full_outer")
-    old = F.coalesce(F.col("aliases"), F.array().cast("array<string>"))
-    lowered = F.transform(old, lambda a: F.lower(a))
-    fresh = F.filter(
-        F.coalesce(F.col("new_aliases"), F.array().cast("array<string>")),
-        lambda a: ~F.array_contains(lowered, F.lower(a)),
+    entries = first.join(known, "_n", "left").select(
+        "_n",
+        F.coalesce("_canonical", "_f.canonical_name").alias("canonical"),
+        F.coalesce("_category", "_f.category").alias("category"),
+        F.col("_canonical").isNull().alias("_new"),
+        "_seq",
     )
-    # The last addition wins its spelling over every built-in entry.
-    later = F.lit(1_000_000) + F.col("last_seq")
-    return joined.select(
-        F.coalesce(later, F.col("pos")).cast("int").alias("pos"),
-        F.coalesce("canonical", F.col("first.canonical_name")).alias("canonical"),
-        F.concat(old, F.array_distinct(fresh)).alias("aliases"),
-        F.coalesce("category", F.col("first.category"), F.lit("other")).alias("category"),
-        F.coalesce("key", "name_lower").alias("key"),
+    own_names = entries.where("_new").select(
+        "canonical", "category", F.col("canonical").alias("spelling"), F.lit(False).alias("is_alias"),
+        F.lit(-1).cast("bigint").alias("rank"), (F.lit(_ADDED_RANK * 1000) + F.col("_seq")).alias("place"),
+    )
+    pairs = named.groupBy("_n", F.lower("alias").alias("_a")).agg(
+        F.min_by("alias", "seq").alias("spelling"), F.min("seq").alias("_first"), F.max("seq").alias("_last")
     )
+    held = spellings.where("is_alias").select(
+        F.lower("canonical").alias("_n"), F.lower("spelling").alias("_a"), F.lit(True).alias("_held")
+    ).distinct()
+    added = pairs.join(entries, "_n").join(held, ["_n", "_a"], "left").select(
+        "canonical", "category", "spelling", F.col("_held").isNull().alias("is_alias"),
+        (F.lit(_ADDED_RANK) + F.col("_last")).alias("rank"), (F.lit(_ADDED_RANK * 1000) + F.col("_first")).alias("place"),
+    )
+    return spellings.unionByName(own_names).unionByName(added)
 
 
 # ------------------------------------------------------------------ names and categories
@@ -131,7 +147,7 @@ def _sized(dim: DataFrame) -> DataFrame:
 
 
 def normalize_rows(skills: DataFrame, dim: DataFrame, raw: str = "raw", context: str | None = None) -> DataFrame:
-    """One normalised entry per raw skill row; ``dim`` comes from ``alias_rows``.
+    """One normalised entry per raw skill row; ``dim`` comes from ``lookup_table``.
 
     A map-side hash join: the skill rows are not shuffled.
     """
