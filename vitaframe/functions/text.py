@@ -90,6 +90,15 @@ def basename(path: Column) -> Column:
 # ---------------------------------------------------------------- presentation
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round on the binary value (17.935 is a little less than that: 17.93).
+
+    ``round`` works on the shortest decimal form of a double and gives 17.94.
+    """
+    scale = float(10**digits)
+    return F.round(value * scale, 0) / scale
+
+
 def human_size(size: Column) -> Column:
     """``0 B``, ``12.5 KB`` ... up to GB, one decimal."""
     value = size.cast("double")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitaframe.functions.text import rounded
+
 EVENT_DDL = (
     "event_id bigint, ts timestamp, metric_type string, value double, "
     "labels map<string,string>, metadata map<string,double>"
@@ -86,6 +88,11 @@ def since(events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
 # ------------------------------------------------------------------ KPIs
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of milliseconds in decimals: the same however the rows are spread and merged."""
+    return F.sum(value.cast("decimal(18,6)"))
+
+
 def kpi_aggregates() -> list[Column]:
     """The KPI aggregates, shared by the batch and the streaming jobs."""
     meta = lambda key: F.coalesce(
@@ -96,7 +103,11 @@ def kpi_aggregates() -> list[Column]:
         (ok + bad).alias("total_parses"),
         ok.alias("successful_parses"),
         bad.alias("failed_parses"),
-        F.coalesce(F.avg(F.when(_is("parse_duration"), F.col("value"))), F.lit(0.0)).alias("average_duration_ms"),
+        F.coalesce(
+            exact_sum(F.when(_is("parse_duration"), F.col("value"))).cast("double")
+            / F.nullif(F.count_if(_is("parse_duration")), F.lit(0)),
+            F.lit(0.0),
+        ).alias("average_duration_ms"),
         meta("warnings_count").alias("total_warnings"),
         meta("sections_count").alias("sections_extracted_total"),
         meta("skills_count").alias("skills_extracted_total"),
@@ -116,12 +127,12 @@ def with_ratios(kpis: DataFrame) -> DataFrame:
     )
     return kpis.withColumns(
         {
-            "success_rate_percent": F.round(success, 2),
-            "failure_rate_percent": F.round(100.0 - success, 2),
-            "average_duration_ms": F.round("average_duration_ms", 2),
-            "average_sections_per_parse": F.round(per_parse("sections_extracted_total"), 2),
-            "average_skills_per_parse": F.round(per_parse("skills_extracted_total"), 2),
-            "warning_rate_percent": F.round(warn, 1),
+            "success_rate_percent": rounded(success, 2),
+            "failure_rate_percent": rounded(100.0 - success, 2),
+            "average_duration_ms": rounded(F.col("average_duration_ms"), 2),
+            "average_sections_per_parse": rounded(per_parse("sections_extracted_total"), 2),
+            "average_skills_per_parse": rounded(per_parse("skills_extracted_total"), 2),
+            "warning_rate_percent": rounded(warn, 1),
         }
     )
 

@@ -156,7 +156,11 @@ AS_OF = "2024-01-31 00:00:00"
 
 def metric_events(spark: SparkSession, folder: str) -> DataFrame:
     """The ``events`` table read as metric events."""
-    return table(spark, folder, "events").select(
+    return as_metric_events(table(spark, folder, "events"))
+
+
+def as_metric_events(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.expr(METRIC_TYPE).alias("metric_type"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaframe.functions.redact import redact_log_events
-from vitaframe.operators.metrics import EVENT_DDL, kpi_aggregates, with_ratios
+from vitaframe.operators.metrics import EVENT_DDL, exact_sum, kpi_aggregates, with_ratios
 
 # Window lengths offered to users, in hours.
 WINDOW_HOURS = (1, 6, 24, 72, 168)
@@ -52,7 +52,7 @@ def trailing_kpis(events: DataFrame, hours: int = 24, late: str = "1 hour") -> D
         .agg(
             F.count_if(is_("parse_success")).alias("ok"),
             F.count_if(is_("parse_failure")).alias("bad"),
-            F.sum(F.when(is_("parse_duration"), F.col("value"))).alias("ms"),
+            exact_sum(F.when(is_("parse_duration"), F.col("value"))).alias("ms"),
             F.count_if(is_("parse_duration")).alias("timed"),
             meta("warnings_count").alias("warnings"),
             meta("sections_count").alias("sections"),
@@ -63,7 +63,7 @@ def trailing_kpis(events: DataFrame, hours: int = 24, late: str = "1 hour") -> D
         F.sum(F.col("ok") + F.col("bad")).alias("total_parses"),
         F.sum("ok").alias("successful_parses"),
         F.sum("bad").alias("failed_parses"),
-        F.coalesce(F.sum("ms") / F.nullif(F.sum("timed"), F.lit(0)), F.lit(0.0)).alias("average_duration_ms"),
+        F.coalesce(F.sum("ms").cast("double") / F.nullif(F.sum("timed"), F.lit(0)), F.lit(0.0)).alias("average_duration_ms"),
         F.sum("warnings").alias("total_warnings"),
         F.sum("sections").alias("sections_extracted_total"),
         F.sum("skills").alias("skills_extracted_total"),
