@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitaframe.functions.files import type_of_name
 from vitaframe.operators import metrics as M
 from vitaframe.queries.base import AS_OF, FILE_NAME, METRIC_CTE, as_metric_events, metric_events, register
+from vitaframe.queries.text import redact_sql
 from vitaframe.session import shared_dir
 from vitaframe.sources.tables import table
 from vitaframe.streaming import jobs as J
@@ -270,23 +271,24 @@ def stream_first_uploads(spark, folder):
     return kept.agg(F.count("*").alias("kept"), F.countDistinct("checksum").alias("checksums"))
 
 
+@register(redact_sql("conversations", "conv_id, turn, role") + " SELECT conv_id, turn, role, redacted AS text, true AS _pii_redacted FROM done")
 def stream_redacted_log(spark, folder):
     """Conversation turns redacted as a stream."""
     schema = table(spark, folder, "conversations").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
-    return _run(spark, J.redacted_log(raw, keep=("conv_id", "turn", "role")), "log")
-
-
-register()(stream_redacted_log)
+    return _run(spark, J.redacted_log(raw, ("conv_id", "turn", "role"), "ascii"), "log")
 
 
+@register(
+    f"WITH {METRIC_CTE}, s AS (SELECT trace_id, ts FROM me WHERE metric_type = 'upload_size'), o AS (SELECT trace_id, ts FROM me WHERE metric_type IN ('parse_success', 'parse_failure')), "
+    "w AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM o)) - INTERVAL 25 HOUR AS closed) "
+    f"SELECT trace_id, {_stamp_sql('ts')} AS started_at FROM s WHERE ts <= (SELECT closed FROM w) "
+    "AND NOT EXISTS (SELECT 1 FROM o WHERE o.trace_id = s.trace_id AND o.ts BETWEEN s.ts AND s.ts + INTERVAL 24 HOUR)"
+)
 def stream_traces_without_outcome(spark, folder):
-    """Starts without an outcome, by a stream-stream outer join."""
+    """Starts without an outcome, by a stream-stream outer join: those whose day is over."""
     events = _event_stream(spark, folder).withColumn("trace_id", F.col("labels")["trace_id"])
     starts = events.where("metric_type = 'upload_size'")
     ends = events.where("metric_type IN ('parse_success', 'parse_failure')")
     out = _run(spark, J.unfinished_traces(starts, ends), "traces")
     return out.withColumn("started_at", _stamp("started_at"))
-
-
-register()(stream_traces_without_outcome)

@@ -365,14 +365,14 @@ def styled_projects(spark, folder):
 
 # ------------------------------------------------------------------ whole results
 
-_CONTACT = (
+CONTACT_SQL = (
     f"regexp_extract(body, '{X.EMAIL}') AS email, "
     + strip_sql(f"regexp_extract(body, '{X.PHONE}')")
     + f" AS phone, array_to_string(regexp_extract_all(body, '{X.URL}')[1:3], ' ') AS urls"
 )
 
 
-_LEAD = join_sql(
+LEAD_SQL = join_sql(
     f"list_filter(list_transform(string_split(d, '.')[1:5], lambda s: {strip_sql('s')}), lambda s: length(s) > 10)", "'. '"
 )
 
@@ -393,8 +393,8 @@ def _round(c):
 @register(
     f"WITH {RESUMES_CTE}, {plain_ctes()}, "
     f"b AS (SELECT doc_id, array_to_string(list_filter(ls, lambda s: s <> ''), chr(10)) AS body FROM p_c), "
-    f"c AS (SELECT doc_id, {_CONTACT} FROM b), "
-    f"sm AS (SELECT doc_id, {_LEAD} AS summary FROM p_text WHERE section = 'summary'), "
+    f"c AS (SELECT doc_id, {CONTACT_SQL} FROM b), "
+    f"sm AS (SELECT doc_id, {LEAD_SQL} AS summary FROM p_text WHERE section = 'summary'), "
     f"{plain_entries('experience', 20, X.MAX_JOBS)}, j AS (SELECT doc_id, count(*) AS jobs FROM e GROUP BY 1), "
     f"sc AS (SELECT doc_id, least(count(*), 5) AS schools FROM p_content WHERE section = 'education' AND {_OPENS} GROUP BY 1), "
     "sk AS (SELECT doc_id, len("
@@ -427,7 +427,7 @@ def parse_plain_resumes(spark, folder):
 
 @register(
     f"WITH {RESUMES_CTE}, {styled_ctes()}, "
-    f"b AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS body FROM s_l WHERE line <> '' GROUP BY 1), c AS (SELECT doc_id, {_CONTACT} FROM b), "
+    f"b AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS body FROM s_l WHERE line <> '' GROUP BY 1), c AS (SELECT doc_id, {CONTACT_SQL} FROM b), "
     f"sm AS (SELECT doc_id, regexp_replace(regexp_replace({strip_sql('t')}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), {BULLET_SQL}, '') AS summary FROM s_text WHERE section = 'summary'), "
     + styled_entries("experience", "regexp_matches(line, '^[A-Z]') AND (contains(line, ',') OR k < n)", 10)
     + ", j AS (SELECT doc_id, count(*) AS jobs FROM e GROUP BY 1), ed AS (SELECT DISTINCT doc_id, 1 AS ed FROM s_text WHERE section = 'education' AND length(t) >= 5), "

@@ -29,7 +29,7 @@ def _rx(kind: str) -> str:
     return ("(?i)" if ignore_case else "") + pattern
 
 
-def _redact_sql(source: str, key: str, order=redact.SEQUENTIAL, column: str = "text") -> str:
+def redact_sql(source: str, key: str, order=redact.SEQUENTIAL, column: str = "text") -> str:
     steps = [f"s0 AS (SELECT {key}, {column} AS t FROM {source})"]
     for i, kind in enumerate(order, 1):
         steps.append(f"s{i} AS (SELECT {key}, {replace_hashed_sql('t', kind, _rx(kind))} AS t FROM s{i - 1})")
@@ -47,13 +47,13 @@ def _redact_sql(source: str, key: str, order=redact.SEQUENTIAL, column: str = "t
     return "WITH " + ", ".join(steps)
 
 
-@register(_redact_sql("documents", "doc_id") + " SELECT doc_id, redacted FROM done")
+@register(redact_sql("documents", "doc_id") + " SELECT doc_id, redacted FROM done")
 def redact_documents(spark, folder):
     """All personal data patterns, one after the other, over the whole text."""
     return _docs(spark, folder).select("doc_id", redact.redact_text(F.col("text"), boundary="ascii").alias("redacted"))
 
 
-@register(_redact_sql("documents", "doc_id", redact.SPECIFIC_FIRST) + " SELECT doc_id, redacted FROM done")
+@register(redact_sql("documents", "doc_id", redact.SPECIFIC_FIRST) + " SELECT doc_id, redacted FROM done")
 def redact_documents_specific_first(spark, folder):
     """The same patterns, narrow ones first."""
     text = redact.redact_text(F.col("text"), redact.SPECIFIC_FIRST, "ascii")
@@ -72,7 +72,7 @@ def count_personal_data(spark, folder):
 
 
 @register(
-    _redact_sql("conversations", "conv_id, turn, role")
+    redact_sql("conversations", "conv_id, turn, role")
     + ", named AS (SELECT *, 'User ' || CAST(conv_id AS STRING) AS full_name, 'u' || CAST(conv_id % 9 AS STRING) || '@x.example.com' AS email "
     "FROM done) SELECT conv_id, turn, role, 'name_[' || substr(sha256(full_name), 1, 8) || ']' AS full_name, "
     "'email_[' || substr(sha256(email), 1, 8) || ']' AS mail, CASE WHEN conv_id % 11 = 0 THEN '' ELSE 'phone_[' || "

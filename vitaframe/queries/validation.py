@@ -9,7 +9,7 @@ from vitaframe.operators import validate as V
 from vitaframe.plans import parse
 from vitaframe.plans import profile as P
 from vitaframe.queries.base import FILE_NAME, quote, register, resumes, strip_sql
-from vitaframe.queries.sections import RESUMES_CTE, plain_ctes
+from vitaframe.queries.sections import CONTACT_SQL, LEAD_SQL, RESUMES_CTE, plain_ctes
 from vitaframe.sources.tables import profiles_from_json, table
 
 # ------------------------------------------------------------------ formats
@@ -195,30 +195,27 @@ _AT = "2024-03-01 12:00:00"
 
 
 @register(
-    f"WITH {RESUMES_CTE}, {plain_ctes()}, j AS (SELECT doc_id, count(*) AS n FROM p_text WHERE section = 'education' GROUP BY 1) "
-    f"SELECT r.doc_id, {FILE_NAME.replace('doc_id', 'r.doc_id')} AS source_file, '1.0.0' AS schema_version, 'pdf_heuristic' AS extraction_method, "
-    "CASE WHEN r.doc_id % 4 = 0 THEN 'https://github.com/dev' || CAST(r.doc_id AS STRING) END AS github_guess, "
-    "'2024-03-01T12:00:00.000000' AS generated_at, true AS is_valid FROM r LEFT JOIN j ON r.doc_id = j.doc_id"
+    f"WITH {RESUMES_CTE}, {plain_ctes()}, b AS (SELECT doc_id, array_to_string(list_filter(ls, lambda s: s <> ''), chr(10)) AS body FROM p_c), "
+    f"c AS (SELECT doc_id, {CONTACT_SQL} FROM b), sm AS (SELECT doc_id, {LEAD_SQL} AS summary FROM p_text WHERE section = 'summary'), "
+    "x AS (SELECT c.doc_id, email, phone, regexp_extract_all(urls, '\\S+') AS us, coalesce(length(summary), 0) AS n, "
+    "phone <> '' AND NOT regexp_matches(regexp_replace(phone, '[\\s()+.-]', '', 'g'), '^\\d{7,15}$') AS bad_phone FROM c LEFT JOIN sm USING (doc_id)) "
+    f"SELECT doc_id, {FILE_NAME} AS source_file, 'pdf_heuristic' AS extraction_method, nullif(email, '') AS email, "
+    "list_filter(us, lambda u: contains(u, 'github.com'))[1] AS github, list_filter(us, lambda u: NOT regexp_matches(lower(u), 'linkedin\\.com|github\\.com'))[1] AS website, "
+    "'2024-03-01T12:00:00.000000' AS generated_at, NOT bad_phone AND n <= 2000 AS is_valid, "
+    "array_to_string(list_filter([CASE WHEN bad_phone THEN 'Field ''contact -> phone'': Value error, Invalid phone format' END, "
+    "CASE WHEN n > 2000 THEN 'Field ''summary -> text'': String should have at most 2000 characters' END], lambda e: e IS NOT NULL), ';') AS errors FROM x"
 )
 def profiles_of_resumes(spark, folder):
     """Parse, build the profile, write it as JSON, and validate that JSON."""
     parsed = parse.parse_plain(resumes(spark, folder), boundary="ascii")
     path = F.concat(F.lit("/in/2024/"), F.expr(FILE_NAME))
     built = P.with_profiles(parsed, path, F.lit(_AT).cast("timestamp"))
-    # No retained copy of contacts that break the format rules: the mail and phone found in free
-    # text need not satisfy them, and this query looks at the rest of the profile.
-    contact = F.col("profile.contact")
-    safe = built.withColumn(
-        "profile", F.col("profile").withField("contact", F.when(contact.isNotNull(), contact.withField("email", F.lit(None).cast("string")).withField("phone", F.lit(None).cast("string"))))
-    )
-    short = safe.withColumn("profile", F.col("profile").withField("summary", F.lit(None).cast("struct<text:string,objective:string,keywords:array<string>>")))
-    out = short.select("doc_id", "profile", P.to_profile_json(F.col("profile")).alias("j"))
-    checked = V.validate(out, "j")
-    first_github = F.when(F.col("doc_id") % 4 == 0, F.get_json_object("j", "$.contact.github"))
+    checked = V.validate(built.select("doc_id", P.to_profile_json(F.col("profile")).alias("j")), "j")
+    read = lambda p: F.get_json_object("j", f"$.{p}")
     return checked.select(
-        "doc_id", F.get_json_object("j", "$.source_file").alias("source_file"), F.get_json_object("j", "$.schema_version").alias("schema_version"),
-        F.get_json_object("j", "$.extraction_method").alias("extraction_method"), first_github.alias("github_guess"),
-        F.get_json_object("j", "$.generated_at").alias("generated_at"), "is_valid",
+        "doc_id", read("source_file").alias("source_file"), read("extraction_method").alias("extraction_method"),
+        read("contact.email").alias("email"), read("contact.github").alias("github"), read("contact.website").alias("website"),
+        read("generated_at").alias("generated_at"), "is_valid", F.array_join("errors", ";").alias("errors"),
     )
 
 

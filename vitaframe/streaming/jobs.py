@@ -73,9 +73,9 @@ def trailing_kpis(events: DataFrame, hours: int = 24, late: str = "1 hour") -> D
     ).drop("window")
 
 
-def redacted_log(logs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def redacted_log(logs: DataFrame, keep: tuple[str, ...] = (), boundary: str = "unicode") -> DataFrame:
     """Stateless: each log row is redacted as it passes."""
-    return redact_log_events(logs, keep)
+    return redact_log_events(logs, keep, boundary=boundary)
 
 
 def first_uploads(uploads: DataFrame, ts: str = "ts", within: str = "24 hours") -> DataFrame:
