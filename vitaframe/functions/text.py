@@ -100,14 +100,15 @@ def rounded(value: Column, digits: int) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """``0 B``, ``12.5 KB`` ... up to GB, one decimal."""
+    """``0 B``, ``12.5 KB`` ... up to GB, one decimal, exact halves to the even digit."""
     value = size.cast("double")
+    shown = lambda unit, power: F.format_string(f"%.1f {unit}", F.bround(value / 1024**power, 1))
     return (
         F.when(size == 0, F.lit("0 B"))
-        .when(size < 1024, F.format_string("%.1f B", value))
-        .when(size < 1024**2, F.format_string("%.1f KB", value / 1024))
-        .when(size < 1024**3, F.format_string("%.1f MB", value / 1024**2))
-        .otherwise(F.format_string("%.1f GB", value / 1024**3))
+        .when(size < 1024, shown("B", 0))
+        .when(size < 1024**2, shown("KB", 1))
+        .when(size < 1024**3, shown("MB", 2))
+        .otherwise(shown("GB", 3))
     )
 
 

@@ -469,10 +469,15 @@ def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
 
 
 def error_counts(report: DataFrame) -> DataFrame:
-    """How often each error occurs; entry numbers are folded to ``*``."""
+    """How often each error occurs; entry numbers are folded to ``*``.
+
+    ``explode_outer`` on purpose: for ``explode`` the optimizer adds a non-empty filter on the
+    list and pushes it to the scan, where all rules would be worked out a second time.
+    """
     folded = F.regexp_replace("error", r"-> \d+", "-> *")
     return (
-        report.select(F.explode("errors").alias("error"))
+        report.select(F.explode_outer("errors").alias("error"))
+        .where(F.col("error").isNotNull())
         .groupBy(folded.alias("error"))
         .agg(F.count("*").alias("profiles"))
     )

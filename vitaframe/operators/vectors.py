@@ -151,8 +151,9 @@ class InvertedLists:
         unitary = unitary.where(F.col("_u").isNotNull())
         count = df.count()
         share = min(1.0, lists * train_rows_per_list / max(count, 1))
-        train = unitary if share >= 1.0 else unitary.sample(share, seed)
-        model = KMeans(k=lists, seed=seed, featuresCol="_u", predictionCol="list_id", maxIter=15).fit(train.select("_u"))
+        train = (unitary if share >= 1.0 else unitary.sample(share, seed)).select("_u").persist()
+        model = KMeans(k=lists, seed=seed, featuresCol="_u", predictionCol="list_id", maxIter=10).fit(train)
+        train.unpersist()
         assigned = model.transform(unitary).drop("_u")
         return cls(assigned, np.array(model.clusterCenters()), id_col, vector)
 

@@ -286,14 +286,15 @@ def _objects(v: Column, name: str) -> Column:
 
 
 def _variant_dates(v: Column) -> Column:
-    d = F.try_variant_get(v, "$.dates", "variant")
-    built = date_range(
-        _text(d, "start_date", "start"),
-        _text(d, "end_date", "end"),
-        F.try_variant_get(d, "$.is_current", "boolean"),
-        _text(d, "raw_date_text", "raw"),
-    )
-    return F.coalesce(built, _raw_range(_text(v, "duration", "year")))
+    def build(d: Column) -> Column:
+        parts = F.array(
+            _text(d, "start_date", "start"), _text(d, "end_date", "end"), _text(d, "raw_date_text", "raw")
+        )
+        current = F.try_variant_get(d, "$.is_current", "boolean")
+        return F.when(d.isNotNull(), let(parts, lambda p: date_range(p[0], p[1], current, p[2])))
+
+    loose = let(_text(v, "duration", "year"), _raw_range)
+    return F.coalesce(let(F.try_variant_get(v, "$.dates", "variant"), build), loose)
 
 
 def _number(v: Column, name: str, dtype: str, default: float | None = None) -> Column:
@@ -310,32 +311,30 @@ def profile_of_json(parser_json: Column, as_of: Column) -> Column:
     strings.
     """
 
-    def build(v: Column) -> Column:
-        s = F.try_variant_get(v, "$.sections", "variant")
-        c = F.try_variant_get(s, "$.contact", "variant")
-        contact = F.struct(
-            _text(c, "name", "full_name").alias("full_name"),
-            *[_text(c, n).alias(n) for n in ("email", "phone", "location", "website", "linkedin", "github", "address")],
-            F.coalesce(
-                F.try_variant_get(c, "$.social_profiles", "map<string,string>"), F.create_map().cast("map<string,string>")
-            ).alias("social_profiles"),
+    def contact(c: Column) -> Column:
+        fields = [_text(c, n).alias(n) for n in ("email", "phone", "location", "website", "linkedin", "github", "address")]
+        social = F.coalesce(
+            F.try_variant_get(c, "$.social_profiles", "map<string,string>"), F.create_map().cast("map<string,string>")
         )
-        has_contact = F.coalesce(F.schema_of_variant(c).rlike("^OBJECT<."), F.lit(False))
-        m = F.try_variant_get(s, "$.summary", "variant")
-        summary_text = F.try_variant_get(s, "$.summary", "string")
-        is_object = F.startswith(F.schema_of_variant(m), F.lit("OBJECT"))
-        summary = (
-            F.when(
-                is_object,
-                F.struct(
-                    _text(m, "text").alias("text"), _text(m, "objective").alias("objective"),
-                    _strings(m, "keywords").alias("keywords"),
-                ),
-            ).when(
-                summary_text != "",
-                F.struct(summary_text.alias("text"), _null().alias("objective"), no_strings().alias("keywords")),
-            )
-        )
+        known = F.coalesce(F.schema_of_variant(c).rlike("^OBJECT<."), F.lit(False))
+        return F.when(known, F.struct(_text(c, "name", "full_name").alias("full_name"), *fields, social.alias("social_profiles")))
+
+    def summary(m: Column) -> Column:
+        as_object = F.struct(
+            _text(m, "text").alias("text"), _text(m, "objective").alias("objective"), _strings(m, "keywords").alias("keywords")
+        )
+        as_text = F.struct(
+            F.try_variant_get(m, "$", "string").alias("text"), _null().alias("objective"), no_strings().alias("keywords")
+        )
+        kind = F.schema_of_variant(m)
+        return F.when(F.startswith(kind, F.lit("OBJECT")), as_object).when(
+            (kind == "STRING") & (F.try_variant_get(m, "$", "string") != ""), as_text
+        )
+
+    def build(v: Column) -> Column:
+        return let(F.try_variant_get(v, "$.sections", "variant"), lambda s: assemble(v, s))
+
+    def assemble(v: Column, s: Column) -> Column:
         experience = F.transform(
             _objects(s, "experience"),
             lambda x: F.struct(
@@ -412,14 +411,14 @@ def profile_of_json(parser_json: Column, as_of: Column) -> Column:
             ),
         )
         source = F.coalesce(basename(_text(v, "file_path")), F.lit("unknown.docx"))
-        keys = F.json_object_keys(F.to_json(s))
+        keys = F.map_keys(F.try_variant_get(s, "$", "map<string,variant>"))
         return F.struct(
             F.lit(SCHEMA_VERSION).alias("schema_version"),
             as_of.alias("generated_at"),
             F.coalesce(_text(v, "extraction_method"), F.lit("unknown")).alias("extraction_method"),
             source.alias("source_file"),
-            F.when(has_contact, contact).alias("contact"),
-            summary.alias("summary"),
+            let(F.try_variant_get(s, "$.contact", "variant"), contact).alias("contact"),
+            let(F.try_variant_get(s, "$.summary", "variant"), summary).alias("summary"),
             experience.alias("experience"),
             education.alias("education"),
             skills.alias("skills"),

@@ -182,7 +182,7 @@ def sections_detected(spark, folder):
     """Which sections have a header, in order of appearance."""
     found = F.array_join(S.sections_found(F.col("_segments")), ",").alias("found")
     plain = _plain(spark, folder).select(F.lit("plain").alias("kind"), "doc_id", found)
-    return plain.unionByName(_styled(spark, folder).select(F.lit("styled").alias("kind"), "doc_id", found)).where("found <> ''")
+    return plain.unionByName(_styled(spark, folder).select(F.lit("styled").alias("kind"), "doc_id", found))
 
 
 # ------------------------------------------------------------------ jobs
