@@ -44,8 +44,17 @@ PLAIN_SECTIONS = tuple(s for s in SECTION_PATTERNS if s != "contact")
 STYLED_SECTIONS = tuple(SECTION_PATTERNS)
 
 
+def _any_of(patterns: list[str], boundary: str) -> str:
+    """One regex for any of the patterns; word edges that all of them share are tested once."""
+    if all(p.startswith(r"\b") and p.endswith(r"\b") for p in patterns):
+        joined = r"\b(?:" + "|".join(p[2:-2] for p in patterns) + r")\b"
+    else:
+        joined = "|".join(patterns)
+    return dialect(joined, boundary, ignore_case=True)
+
+
 def any_section(sections=STYLED_SECTIONS, patterns=SECTION_PATTERNS, boundary: str = "unicode") -> str:
-    return dialect("|".join(p for s in sections for p in patterns[s]), boundary, ignore_case=True)
+    return _any_of([p for s in sections for p in patterns[s]], boundary)
 
 
 def section_label(
@@ -54,7 +63,7 @@ def section_label(
     """Name of the first section, in the given order, that the text mentions; else null."""
     out = None
     for section in sections:
-        hit = text.rlike(dialect("|".join(patterns[section]), boundary, ignore_case=True))
+        hit = text.rlike(_any_of(patterns[section], boundary))
         out = F.when(hit, section) if out is None else out.when(hit, section)
     return out
 
