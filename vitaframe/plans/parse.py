@@ -119,29 +119,31 @@ def parse_plain(
 def parse_documents(df: DataFrame, compat: bool = False, boundary: str = "unicode") -> DataFrame:
     """Route every document to its extractor by ``file_type`` and report a job row.
 
-    Input: ``file_type, text, paragraphs[, used_fallback]``. The two extractor branches are
-    filters on the same narrow scan and their union is again narrow; rows of unknown type
-    become failed jobs with an error instead of disappearing.
+    Input: ``file_type, text, paragraphs[, used_fallback]``. One pass over one scan: each
+    extractor sees nulls for the documents that are not its own, which cost nothing. Rows of
+    unknown type become failed jobs with an error instead of disappearing.
     """
     fallback = F.col("used_fallback") if "used_fallback" in df.columns else F.lit(False)
     kind = F.col("file_type")
-    styled = parse_styled(df.where(kind == "docx"), boundary=boundary)
-    plain = parse_plain(
-        df.where(kind.isin("pdf", "txt")),
-        is_pdf=kind == "pdf",
-        used_fallback=fallback,
-        compat=compat,
-        boundary=boundary,
+    is_styled, is_plain = kind == "docx", kind.isin("pdf", "txt")
+    staged = df.withColumns({"_p": F.when(is_styled, F.col("paragraphs")), "_t": F.when(is_plain, F.col("text"))})
+    styled = parse_styled(staged, "_p", boundary).withColumnsRenamed(
+        {"result": "_styled", "sections_found": "_styled_found"}
     )
-    failed = df.where(~F.coalesce(kind.isin(*PARSEABLE), F.lit(False)))
-    done = styled.unionByName(plain).withColumns({"status": F.lit("completed"), "error": F.lit(None).cast("string")})
-    refused = failed.withColumns(
+    both = parse_plain(
+        styled, "_t", is_pdf=kind == "pdf", used_fallback=fallback, compat=compat, boundary=boundary
+    )
+    known = F.coalesce(kind.isin(*PARSEABLE), F.lit(False))
+    return both.withColumns(
         {
-            "status": F.lit("failed"),
-            "error": F.concat(F.lit("Unsupported file type: "), F.coalesce(kind, F.lit("unknown"))),
+            "result": F.when(is_styled, F.col("_styled")).when(is_plain, F.col("result")),
+            "sections_found": F.when(is_styled, F.col("_styled_found")).when(is_plain, F.col("sections_found")),
+            "status": F.when(known, "completed").otherwise("failed"),
+            "error": F.when(
+                ~known, F.concat(F.lit("Unsupported file type: "), F.coalesce(kind, F.lit("unknown")))
+            ),
         }
-    )
-    return done.unionByName(refused, allowMissingColumns=True)
+    ).drop("_p", "_t", "_styled", "_styled_found")
 
 
 def section_counts(result: Column) -> dict[str, Column]:
@@ -177,5 +179,6 @@ def with_warnings(df: DataFrame, column: str, *lists: Column) -> DataFrame:
 
 def section_rows(df: DataFrame, keys: Sequence[str], segments: Column) -> DataFrame:
     """Long form ``(keys, section, line_no, line)`` of in-row segments."""
-    flat = df.select(*keys, F.explode(segments).alias("_s"))
+    # The outer form keeps the optimizer from testing the segments twice (see validate.error_counts).
+    flat = df.select(*keys, F.explode_outer(segments).alias("_s")).where(F.col("_s").isNotNull())
     return flat.select(*keys, F.col("_s.section").alias("section"), F.posexplode("_s.items").alias("line_no", "line"))

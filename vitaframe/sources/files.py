@@ -23,7 +23,11 @@ def resolve_placeholder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refused_uploads(listing: DataFrame) -> DataFrame:
-    """Files that cannot be taken and why; reads no content."""
+    """Files that cannot be taken and why; reads no content.
+
+    Spark's own listing leaves out empty files; they can only show up here when the listing
+    comes from elsewhere (a table of names and sizes).
+    """
     errors = N.upload_errors(basename(F.col("path")), F.col("length"))
     return listing.select(basename(F.col("path")).alias("file_name"), "length", errors.alias("errors")).where(
         F.size("errors") > 0
