@@ -177,10 +177,48 @@ def recent_events(events: DataFrame, limit: int = 100) -> DataFrame:
 
 # ------------------------------------------------------------------ percentiles
 
+# Values that may enter the exact aggregate, and the sketch's accuracy.
 _BRACKET_ROWS = 200_000
 _ACCURACY = 10_000
 
 
+def _narrow(values: DataFrame, low: float, high: float, below: int, size: int, rank: int):
+    """A smaller bracket ``(low, high, below, size)`` that still holds the value of ``rank``.
+
+    ``below`` values lie under the bracket and ``size`` in it. Every call drops some values.
+    """
+    inside = values.where(F.col("v").between(low, high))
+    at, slack = (rank - below) / size, 2.0 / _ACCURACY
+    marks = [max(0.0, at - slack), min(1.0, at + slack)]
+    lo, hi = inside.agg(F.percentile_approx("v", marks, _ACCURACY).alias("m")).first()["m"]
+    v = F.col("v")
+    seen = inside.agg(
+        F.count_if(v < lo).alias("under"),
+        F.count_if(v.between(lo, hi)).alias("within"),
+        F.max(F.when(v < lo, v)).alias("left"),
+        F.min(F.when(v > hi, v)).alias("right"),
+    ).first()
+    if rank < below + seen["under"]:
+        return low, seen["left"], below, seen["under"]
+    if rank >= below + seen["under"] + seen["within"]:
+        rest = size - seen["under"] - seen["within"]
+        return seen["right"], high, size - rest + below, rest
+    if seen["within"] < size:
+        return lo, hi, below + seen["under"], seen["within"]
+    # Nearly all values equal one of the two ends: test those, else go between them.
+    ends = inside.agg(
+        F.count_if(v == low).alias("lows"),
+        F.count_if(v == high).alias("highs"),
+        F.min(F.when(v > low, v)).alias("left"),
+        F.max(F.when(v < high, v)).alias("right"),
+    ).first()
+    if rank < below + ends["lows"]:
+        return low, low, below, ends["lows"]
+    if rank >= below + size - ends["highs"]:
+        return high, high, below + size - ends["highs"], ends["highs"]
+    return ends["left"], ends["right"], below + ends["lows"], size - ends["lows"] - ends["highs"]
+
+
 def duration_percentiles(
     events: DataFrame, percents: dict[str, float] | None = None, kind: str = "parse_duration", value: str = "value"
 ) -> DataFrame:
@@ -199,16 +237,7 @@ def duration_percentiles(
     for name, p in percents.items():
         rank, low, high, below, size = math.floor(n * p), total["lo"], total["hi"], 0, n
         while size > _BRACKET_ROWS and low != high:
-            inside = values.where(F.col("v").between(low, high))
-            at, slack = (rank - below) / size, 2.0 / _ACCURACY
-            marks = [max(0.0, at - slack), min(1.0, at + slack)]
-            lo2, hi2 = inside.agg(F.percentile_approx("v", marks, _ACCURACY).alias("m")).first()["m"]
-            seen = inside.agg(
-                F.count_if(F.col("v") < lo2).alias("under"), F.count_if(F.col("v").between(lo2, hi2)).alias("within")
-            ).first()
-            if not below + seen["under"] <= rank < below + seen["under"] + seen["within"] or seen["within"] == size:
-                break  # the sketch brought nothing; go on with the bracket in hand
-            low, high, below, size = lo2, hi2, below + seen["under"], seen["within"]
+            low, high, below, size = _narrow(values, low, high, below, size, rank)
         brackets[name] = (low, high, rank - below, size)
     columns = []
     for name, (low, high, rank, size) in brackets.items():
@@ -252,29 +281,37 @@ def traces(events: DataFrame) -> DataFrame:
 
 
 def summary_json(events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
-    """The whole metrics summary as one JSON document; every input is a one-row aggregate."""
-    parsing = parse_kpis(events, as_of, hours).select(F.struct("*").alias("parsing"))
+    """The whole metrics summary as one JSON document.
+
+    Each part is a one-row aggregate written as JSON; the parts are put side by side by a
+    last aggregate over their four rows.
+    """
     formats = format_counts(events).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("format", "uploads")))).alias("file_formats")
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("format", "uploads"))))).alias("json")
     )
-    percentiles = duration_percentiles(events).select(F.struct("*").alias("duration_percentiles_ms"))
+    parts = {
+        "parsing": parse_kpis(events, as_of, hours).select(F.to_json(F.struct("*")).alias("json")),
+        "formats": formats,
+        "percentiles": duration_percentiles(events).select(F.to_json(F.struct("*")).alias("json")),
+    }
     period = collection_period(events).select(
-        F.col("total_events"), F.struct("start", "end").alias("collection_period")
-    )
-    one = F.lit(1)
-    rows = [d.withColumn("_k", one) for d in (parsing, formats, percentiles, period)]
-    joined = rows[0].join(rows[1], "_k").join(rows[2], "_k").join(rows[3], "_k")
-    return joined.select(
-        F.to_json(
-            F.struct(
-                F.lit(hours).alias("time_window_hours"),
-                "parsing",
-                "file_formats",
-                F.struct("duration_percentiles_ms", "total_events").alias("performance"),
-                "collection_period",
+        F.explode(
+            F.array(
+                F.struct(F.lit("period").alias("part"), F.to_json(F.struct("start", "end")).alias("json")),
+                F.struct(F.lit("total").alias("part"), F.col("total_events").cast("string").alias("json")),
             )
-        ).alias("summary")
+        ).alias("p")
     )
+    rows = period.select("p.part", "p.json")
+    for name, part in parts.items():
+        rows = rows.unionByName(part.select(F.lit(name).alias("part"), "json"))
+    sides = rows.agg(*[F.max(F.when(F.col("part") == n, F.col("json"))).alias(n) for n in (*parts, "period", "total")])
+    document = F.format_string(
+        '{"time_window_hours":%d,"parsing":%s,"file_formats":%s,'
+        '"performance":{"duration_percentiles_ms":%s,"total_events":%s},"collection_period":%s}',
+        F.lit(hours), "parsing", "formats", "percentiles", "total", "period",
+    )
+    return sides.select(document.alias("summary"))
 
 
 def persist(events: DataFrame, path: str, as_of: Column, hours: int = 24, limit: int = 100) -> None:

@@ -210,13 +210,18 @@ def kpis_trailing_day(spark, folder):
 _STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' WHEN 'view' THEN 'processing' ELSE 'pending' END"
 
 
-@register(
-    f"SELECT user_id AS job_id, arg_max({_STATUS}, {{'a': ts, 'b': event_id}}) AS status, {_stamp_sql('max(ts)')} AS updated_at FROM events GROUP BY 1"
-)
-def current_job_status(spark, folder):
-    updates = table(spark, folder, "events").select(
+_STATUS_SQL = f"SELECT user_id AS job_id, arg_max({_STATUS}, {{'a': ts, 'b': event_id}}) AS status, {_stamp_sql('max(ts)')} AS updated_at FROM events GROUP BY 1"
+
+
+def _status_updates(events):
+    return events.select(
         F.col("user_id").alias("job_id"), F.expr(_STATUS).alias("status"), F.col("ts").cast("timestamp").alias("ts"), "event_id"
     )
+
+
+@register(_STATUS_SQL)
+def current_job_status(spark, folder):
+    updates = _status_updates(table(spark, folder, "events"))
     return J.current_status(updates).withColumn("updated_at", _stamp("updated_at"))
 
 
@@ -292,3 +297,16 @@ def stream_traces_without_outcome(spark, folder):
     ends = events.where("metric_type IN ('parse_success', 'parse_failure')")
     out = _run(spark, J.unfinished_traces(starts, ends), "traces")
     return out.withColumn("started_at", _stamp("started_at"))
+
+
+@register(_STATUS_SQL)
+def stream_current_job_status(spark, folder):
+    """Latest status per job in update mode; the batches' updates are merged by time."""
+    schema = table(spark, folder, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    root = shared_dir(spark, "status")
+    J.run_to_parquet(J.current_status(_status_updates(raw)), f"{root}/out", f"{root}/checkpoint", mode="update")
+    latest = spark.read.parquet(f"{root}/out").groupBy("job_id").agg(
+        F.max_by("status", F.struct("updated_at", "batch")).alias("status"), F.max("updated_at").alias("updated_at")
+    )
+    return latest.withColumn("updated_at", _stamp("updated_at"))
