@@ -36,6 +36,8 @@ PII_FIELD_NAMES = (
     "ip", "ip_address", "ipv4", "ipv6",
 )
 
+NEED_DIGITS = ("phone", "address", "ssn", "creditcard")
+
 SEQUENTIAL = tuple(PII_PATTERNS)
 # Narrow patterns first, so that a phone match cannot swallow part of a card number.
 SPECIFIC_FIRST = ("email", "url", "creditcard", "ssn", "address", "phone", "name")
@@ -92,8 +94,11 @@ def redact_text(text: Column, order: Sequence[str] = SEQUENTIAL, boundary: str =
         kind, rest = kinds[0], kinds[1:]
         pattern, ignore_case = PII_PATTERNS[kind]
         step = replace_hashed(current, kind, dialect(pattern, boundary, ignore_case))
-        if kind == "email":  # no match is possible without the sign, and looking for it is cheap
+        # Cheap tests for what every match must hold spare most texts the full pattern.
+        if kind == "email":
             step = F.when(F.contains(current, F.lit("@")), step).otherwise(current)
+        elif kind in NEED_DIGITS:
+            step = F.when(current.rlike(dialect(r"\d", boundary)), step).otherwise(current)
         return let(step, lambda done: apply(done, rest))
 
     return let(text, lambda t: apply(t, tuple(order)))
