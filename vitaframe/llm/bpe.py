@@ -23,6 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 PIECE = 1 << 16
 CALL = 1 << 19
@@ -150,7 +151,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     schema = rows.select("id").schema
     for name in ("ids", "starts", "ends"):
-        schema = schema.add(name, "array<int>")
+        schema = schema.add(name, ArrayType(IntegerType()))
     return rows.mapInArrow(task, schema)
 
 

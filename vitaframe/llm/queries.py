@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm import bpe, exact, langid, mixing, simhash
+from vitaframe.llm import bpe, chat, exact, html, langid, lattice, mixing, shards, simhash, urls
 from vitaframe.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,6 +73,56 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS).withColumnRenamed("id", "doc_id")
 
 
+@query()
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired and rendered."""
+    return chat.repaired_chats(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+@query(f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {lattice.LEAST}
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+""")
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+#: Bytes of text a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+b AS (SELECT d, h >> (60 - d) AS p, sum(n)::BIGINT AS bytes, count(*) AS docs FROM r, range(0, 24) t(d) GROUP BY ALL),
+f AS (
+  SELECT doc_id, n, h, min(d) AS depth FROM r JOIN b ON p = h >> (60 - d) WHERE bytes <= {SHARD_BYTES} OR docs = 1 GROUP BY ALL
+)
+SELECT doc_id, n AS n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth::INT, '0') END AS shard,
+       depth::INT AS depth, bytes AS shard_bytes, docs AS shard_docs
+FROM f JOIN b ON b.d = depth AND b.p = h >> (60 - depth)
+""")
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document."""
+    return shards.shards(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
@@ -92,6 +142,12 @@ def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 @query()
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
