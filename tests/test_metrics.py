@@ -66,3 +66,11 @@ def test_persist_writes_summary_and_events(spark, tmp_path):
     doc = spark.read.json(f"{tmp_path}/summary").first()
     assert doc.parsing.total_parses == 1 and doc.performance.total_events == 2
     assert spark.read.json(f"{tmp_path}/events").count() == 2
+
+
+def test_percentiles_with_nan_and_infinity(spark):
+    from vitaframe.operators.metrics import duration_percentiles
+
+    values = "VALUES (double('NaN')), (double('Infinity')), (1.0D), (2.0D)"
+    row = duration_percentiles(spark.sql(f"SELECT 'parse_duration' AS metric_type, v AS value FROM ({values}) t(v)")).first()
+    assert row.p50 == 2.0 and row.min == 1.0 and row.max == float("inf")

@@ -78,3 +78,14 @@ def test_field_name_matching_modes():
     assert redact.is_pii_field("description") and not redact.is_pii_field("description", "word")
     assert redact.is_pii_field("file_name", "word") and redact.is_pii_field("IP_address")
     assert redact.field_label("home_address") == "address" and redact.field_label("token") == "pii"
+
+
+def test_map_values_under_personal_keys_of_any_type(spark):
+    df = spark.sql(
+        "SELECT map('phone', 5551234567L, 'n', 7L) AS a, map('ssn', array('x'), 'tags', array('y')) AS b, map('description', 'plain') AS c"
+    )
+    row = redact.redact_frame(df, match="word").first()
+    assert row.a["phone"].startswith("phone_[") and row.a["n"] == "7"
+    assert row.b["ssn"].startswith("pii_[") and row.b["tags"] == '["y"]'
+    assert row.c["description"] == "plain"
+    assert redact.redact_frame(df.select("c")).first().c["description"].startswith("ip_[")

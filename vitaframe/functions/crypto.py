@@ -18,13 +18,13 @@ def checksum(content: Column) -> Column:
 def key_from_conf(spark: SparkSession, name: str = "spark.vitaframe.encryption.key") -> Column:
     """32-byte AES key derived from a session secret of any length.
 
-    ``spark.redaction.regex`` hides settings by name; the plan text is protected by hashing
-    the secret on the driver and handing Spark only the derived bytes as hex.
+    The key is a scalar subquery on a table of one row, so neither the secret nor the key stands in
+    a plan. ``spark.redaction.regex`` hides settings by name.
     """
     import hashlib
 
-    secret = spark.conf.get(name)
-    return F.unhex(F.lit(hashlib.sha256(secret.encode()).hexdigest()))
+    key = hashlib.sha256(spark.conf.get(name).encode()).digest()
+    return spark.createDataFrame([(bytearray(key),)], "key binary").scalar()
 
 
 def encrypt(value: Column, key: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vitaframe.functions.text import basename, drop_nulls, is_set
+from vitaframe.functions.text import basename, drop_nulls
 
 # What may be uploaded.
 ALLOWED_EXTENSIONS = ("pdf", "docx")
@@ -28,7 +28,7 @@ def suffix(path: Column) -> Column:
 
 
 def has_allowed_extension(name: Column, allowed=ALLOWED_EXTENSIONS) -> Column:
-    return F.coalesce(is_set(name) & extension(name).isin(*allowed), F.lit(False))
+    return F.coalesce(F.contains(name, F.lit(".")) & extension(name).isin(*allowed), F.lit(False))
 
 
 def has_allowed_size(size: Column, limit: int = MAX_FILE_SIZE) -> Column:

@@ -130,9 +130,10 @@ def is_pii_field(name: str, match: str = "substring") -> bool:
     raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
 
 
-def is_pii_key(key: Column) -> Column:
+def is_pii_key(key: Column, match: str = "substring") -> Column:
     """The same test on a column of key names (map keys, key/value logs)."""
-    return F.lower(key).rlike("|".join(PII_FIELD_NAMES))
+    names = "|".join(PII_FIELD_NAMES)
+    return F.lower(key).rlike(names if match == "substring" else f"(^|_)({names})(_|$)")
 
 
 # Which placeholder label a field name leads to, first hit wins.
@@ -169,9 +170,8 @@ def _as_text(value: Column, dtype: T.DataType) -> Column:
     return value.cast("string")
 
 
-def redact_field(value: Column, name: str, dtype: T.DataType) -> Column:
-    """Placeholder for the whole value of a personal field; null, empty, 0 and false stay."""
-    text = _as_text(value, dtype)
+def _falsy(value: Column, dtype: T.DataType) -> Column:
+    """Null, empty, 0 and false."""
     falsy = value.isNull()
     if isinstance(dtype, T.StringType):
         falsy = falsy | (value == "")
@@ -181,13 +181,23 @@ def redact_field(value: Column, name: str, dtype: T.DataType) -> Column:
         falsy = falsy | ~value
     elif isinstance(dtype, (T.ArrayType, T.MapType)):
         falsy = falsy | (F.size(value) == 0)
-    return F.when(falsy, text).otherwise(hashed(field_label(name), text))
+    return falsy
+
+
+def redact_field(value: Column, name: str, dtype: T.DataType) -> Column:
+    """Placeholder for the whole value of a personal field; null, empty, 0 and false stay."""
+    text = _as_text(value, dtype)
+    return F.when(_falsy(value, dtype), text).otherwise(hashed(field_label(name), text))
 
 
 def redact_value(
     value: Column, dtype: T.DataType, match: str = "substring", boundary: str = "unicode"
 ) -> Column:
-    """Redact a nested value by walking its type: no rows are looked at to plan this."""
+    """Redact a nested value by walking its type: no rows are looked at to plan this.
+
+    The key of a map entry decides first. As its placeholder is text, the values of every map with
+    string keys come out as text (nested ones as JSON).
+    """
     if isinstance(dtype, T.StringType):
         return redact_text(value, boundary=boundary)
     if isinstance(dtype, T.StructType):
@@ -201,12 +211,10 @@ def redact_value(
         vtype = dtype.valueType
 
         def entry(key: Column, item: Column) -> Column:
-            plain = redact_value(item, vtype, match, boundary)
-            if not isinstance(vtype, T.StringType):
-                return plain
-            falsy = item.isNull() | (item == "")
-            masked = F.when(falsy, item).otherwise(hashed(field_label_of(key), item))
-            return F.when(is_pii_key(key), masked).otherwise(plain)
+            text = _as_text(item, vtype)
+            plain = _as_text(redact_value(item, vtype, match, boundary), vtype)
+            masked = F.when(_falsy(item, vtype), text).otherwise(hashed(field_label_of(key), text))
+            return F.when(is_pii_key(key, match), masked).otherwise(plain)
 
         return F.transform_values(value, entry)
     return value

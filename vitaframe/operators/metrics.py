@@ -227,10 +227,11 @@ def duration_percentiles(
     ``percentile_disc`` over all values would gather every distinct value in one task.
     Instead a fixed-size sketch brackets each percentile; passes narrow the bracket until
     few rows are left in it (or a single value), and only those enter the exact aggregate.
-    Each pass is one map-side aggregate and brings one row to the driver.
+    Each pass is one map-side aggregate and brings one row to the driver. NaN is no measurement and is
+    left out; infinities are ordered like other values.
     """
     percents = {"p50": 0.5, "p90": 0.9, "p95": 0.95} if percents is None else percents
-    values = events.where(_is(kind) & F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    values = events.where(_is(kind) & F.col(value).isNotNull()).select(F.col(value).alias("v")).where(~F.isnan("v"))
     total = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     n = total["n"]
     brackets = {}
@@ -246,7 +247,7 @@ def duration_percentiles(
             continue
         # percentile_disc(q) is the value of 1-based rank ceil(q * size).
         exact = f"percentile_disc({(rank + 0.5) / size!r}D) WITHIN GROUP (ORDER BY v)"
-        columns.append(F.expr(f"{exact} FILTER (WHERE v BETWEEN {low!r}D AND {high!r}D)").alias(name))
+        columns.append(F.expr(f"{exact} FILTER (WHERE v BETWEEN CAST('{low!r}' AS DOUBLE) AND CAST('{high!r}' AS DOUBLE))").alias(name))
     return values.agg(*columns, F.min("v").alias("min"), F.max("v").alias("max"))
 
 
