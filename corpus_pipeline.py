@@ -13,13 +13,10 @@ from vitaframe.llm.common import written
 from vitaframe.llm.queries import RANKS
 from vitaframe.sources.tables import table
 
-#: A text goes if its best language has less than this share of the probability.
-LEAST_SCORE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, null texts and texts of no clear language go."""
-    return langid.of_known_language(docs, langid.train(docs), LEAST_SCORE)
+    """Null texts and texts without a letter go; a short text of doubtful language is no reason to drop it."""
+    return langid.of_known_language(docs, langid.train(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def repaired_chats(
             state = to
         return pd.DataFrame(rows_, columns=["conv", "part", "start", "end", "last"])
 
-    kind = rows.select("conv").schema.add("part", "long").add("start", "int").add("end", "int").add("last", "boolean")
+    kind = rows.select("conv").schema.add("part", "long").add("start", "integer").add("end", "integer").add("last", "boolean")
     joints = parts.select("conv", "part", table("roles").alias("costs")).groupBy("conv").applyInPandas(between, kind)
 
     @F.pandas_udf(_RESULT)
