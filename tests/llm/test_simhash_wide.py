@@ -1,0 +1,95 @@
+"""Near-duplicates at shingle similarity 0.8 against brute force over all pairs."""
+
+import itertools
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from vitaframe.llm import simhash_wide as wide
+
+
+def shingles(text, k=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def least_members(ids, linked):
+    root = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            low = min(root[a], root[b])
+            changed |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    return root
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for place in rng.sample(range(len(words)), edits):
+        words[place] = f"edit{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_components_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \t", "One", "one", "one two", "a b c d e", "A b c d e"]
+    passage = [f"shared{i}" for i in range(60)]
+    for g in range(25):
+        base = [f"g{g}w{rng.randrange(5000)}" for _ in range(300)]
+        # a crowd, and small groups; at most 4 edits in 300 words keep members within 0.85 of each other
+        texts += [edited(rng, base, rng.randint(0, 2)) for _ in range(120 if g == 0 else 3)]
+        texts.append(edited(rng, base, 30))  # below 0.5: not a copy
+        texts.append(" ".join(passage + [f"own{g}x{i}" for i in range(60)]))  # a passage alone is no copy
+        texts.append(" ".join((passage[:8] * 20) + [f"tail{g}x{i}" for i in range(40)]))  # nor a much repeated one
+    sets = [shingles(t) for t in texts]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similarity(sets[a], sets[b]) >= 0.8]
+    want = least_members(range(len(texts)), linked)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.id: r.component for r in wide.similar_components(docs).collect()} == want
+    odd = docs.withColumns({"id": F.lit("x"), "f0": F.lit(1), "k": F.lit(None).cast("int")}).unionByName(
+        spark.createDataFrame([(None, "a b c d e", "x", 1, None)], "doc_id long, text string, id string, f0 int, k int")
+    )
+    kept = wide.one_of_each_similar_group(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+    assert kept.where("doc_id IS NULL").count() == 1
+    assert wide.one_of_each_similar_group(docs.limit(0)).count() == 0
+
+
+def test_recall_of_planted_pairs():
+    """Pairs at 0.8 and more: nine in ten share a block within the limit; nearly all from 0.85 up."""
+    rng = random.Random(9)
+    bits = wide.block_bits()
+    assert bits.shape == (72, 20) and all(len(set(bits[12 * s : 12 * s + 12].ravel())) == 240 for s in range(6))
+    found = {0.8: [], 0.85: []}
+    for n in range(600):
+        base = [f"w{n}x{i}" for i in range(300)]
+        a, b = " ".join(base), edited(rng, base, rng.randint(3, 7))
+        s = similarity(shingles(a), shingles(b))
+        if s < 0.8:
+            continue
+        prints = np.array([wide.wide_fingerprint(t.encode()) for t in (a, b)], dtype=np.uint64)
+        differing = int(np.bitwise_count(prints[0] ^ prints[1]).sum())
+        first = int(np.bitwise_count(prints[0, 0] ^ prints[1, 0]))
+        keys = wide.block_keys(prints, bits)
+        found[0.85 if s >= 0.85 else 0.8].append(bool((keys[0] == keys[1]).any()) and differing <= wide.LIMIT and first <= wide.FIRST_LIMIT)
+    assert len(found[0.8]) > 50 and np.mean(found[0.8]) >= 0.85
+    assert len(found[0.85]) > 50 and np.mean(found[0.85]) >= 0.97
+
+
+def test_words_of_the_fingerprint():
+    """Each word holds the majority bits of its own hashes over the set of shingles."""
+    text = b"To be or not to be that is the question whether to be or not to be that is"
+    hashes = np.unique(wide._shingle_hashes(text, 5))
+    for word, value in enumerate(wide.wide_fingerprint(text)):
+        mixed = [int(h) for h in wide._mixed(hashes, word)]
+        assert value == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+    assert wide.wide_fingerprint(b"") == [0, 0, 0, 0]
+    assert wide.wide_fingerprint(text + b" " + text) != wide.wide_fingerprint(text)

@@ -39,27 +39,34 @@ _WEIGHTS = (1 << np.arange(64, dtype=np.uint64)).astype(np.uint64)
 _BYTE_BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Fingerprint of one text (UTF-8), as an unsigned number; 0 for a text without words."""
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle; of the whole sequence where the words are too few, nothing without words."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
     n = len(words)
-    if n == 0:
-        return 0
     joined = b" ".join(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)  # one shingle: its own bits are the majority
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)][:n], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)),
         dtype=np.uint64,
         count=n - shingle + 1,
     )
-    # bit counts by way of the 8 byte columns: a histogram of 256 values each, times their bits
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The bits set in over half the hashes: a histogram of each of the 8 byte columns, times the bits of its values."""
     columns = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
-    return int(_WEIGHTS[2 * ones > len(hashes)].sum(dtype=np.uint64))
+    return _WEIGHTS[2 * ones > len(hashes)].sum(dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """Fingerprint of one text (UTF-8), as an unsigned number; 0 for a text without words."""
+    hashes = _shingle_hashes(text, shingle)
+    return int(_majority(hashes)) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
