@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitaframe.functions.dates import iso_date_or_text
 from vitaframe.functions.extract import no_strings
 from vitaframe.functions.files import type_of_name
 from vitaframe.functions.text import basename, blank_to_null, let
@@ -63,11 +64,11 @@ def _null(dtype: str = "string") -> Column:
 
 
 def date_range(start: Column, end: Column, current: Column, raw: Column) -> Column:
-    """A date range, or null when nothing is known."""
+    """A date range, or null when nothing is known; recognised dates in ISO form, other text as it is."""
     known = F.coalesce(start, end, raw).isNotNull() | F.coalesce(current, F.lit(False))
     built = F.struct(
-        start.alias("start_date"),
-        end.alias("end_date"),
+        iso_date_or_text(start).alias("start_date"),
+        iso_date_or_text(end).alias("end_date"),
         F.coalesce(current, F.lit(False)).alias("is_current"),
         raw.alias("raw_date_text"),
     )

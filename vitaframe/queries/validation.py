@@ -219,10 +219,15 @@ def profiles_of_resumes(spark, folder):
     )
 
 
+# the order date in each form that is recognised, and one that is not
+_WRITTEN_DATE = (
+    "CASE o_orderkey % 6 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM') WHEN 1 THEN date_format(o_orderdate, 'M/yyyy') WHEN 2 THEN date_format(o_orderdate, 'yyyy') "
+    "WHEN 3 THEN date_format(o_orderdate, ' yyyy-M-d ') WHEN 4 THEN date_format(o_orderdate, 'MM/dd/yyyy') ELSE concat('Spring ', date_format(o_orderdate, 'yyyy')) END"
+)
 _PARSER_JSON = (
     "concat('{\"extraction_method\": \"m\", \"file_path\": \"/home/u/', CAST(o_orderkey AS STRING), '.docx\", \"sections\": {\"contact\": {\"name\": \"', o_orderpriority, '\"}, \"summary\": ', "
     "CASE o_orderkey % 3 WHEN 0 THEN '\"plain\"' WHEN 1 THEN '{\"text\": \"t\", \"objective\": \"o\"}' ELSE 'null' END, ', \"experience\": [{\"title\": \"T', CAST(o_custkey AS STRING), '\", \"company\": \"C\", "
-    "\"dates\": {\"start\": \"2020-01\", \"end\": \"\"}}, \"noise\"], \"education\": [{\"school\": \"S\", \"major\": \"', o_orderstatus, '\", \"year\": \"2001\"}], "
+    "\"dates\": {\"start\": \"', " + _WRITTEN_DATE + ", '\", \"end\": \"\"}}, \"noise\"], \"education\": [{\"school\": \"S\", \"major\": \"', o_orderstatus, '\", \"year\": \"2001\"}], "
     "\"skills\": [\"SQL\", {\"name\": \"Go\", \"category\": \"cloud\"}, 7], \"projects\": [{\"title\": \"P\", \"link\": \"u\"}, {}], \"achievements\": [\"A\", {\"name\": \"B\", \"issuer\": \"I\", \"date\": \"2019\"}]}, "
     "\"metadata\": {\"confidence_score\": 0.25}, \"warnings\": [\"w1\", \"w2\"]}')"
 )
@@ -230,7 +235,8 @@ _PARSER_JSON = (
 
 @register(
     "SELECT o_orderkey, CAST(o_orderkey AS STRING) || '.docx' AS source_file, o_orderpriority AS full_name, CASE o_orderkey % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 't' END AS summary, "
-    "'T' || CAST(o_custkey AS STRING) AS \"position\", '2020-01' AS start_date, CAST(1 AS BIGINT) AS jobs, 'S' AS institution, o_orderstatus AS field_of_study, '2001' AS edu_dates, "
+    "'T' || CAST(o_custkey AS STRING) AS \"position\", CASE WHEN o_orderkey % 6 < 2 THEN strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') "
+    "WHEN o_orderkey % 6 = 2 THEN strftime(date_trunc('year', o_orderdate), '%Y-%m-%d') WHEN o_orderkey % 6 < 5 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'Spring ' || strftime(o_orderdate, '%Y') END AS start_date, CAST(1 AS BIGINT) AS jobs, 'S' AS institution, o_orderstatus AS field_of_study, '2001' AS edu_dates, "
     "'SQL,Go' AS skills, 'P:u,Unnamed Project:' AS projects, 'A:,B:I' AS achievements, 0.25::DOUBLE AS confidence, 'docx' AS file_type, "
     "CAST(1 + CASE WHEN o_orderkey % 3 < 2 THEN 1 ELSE 0 END + 1 + 1 + 2 AS BIGINT) AS size FROM orders"
 )
