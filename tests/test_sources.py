@@ -64,6 +64,10 @@ def test_profiles_round_trip_through_json(spark, tmp_path):
     text = '{"schema_version":"1.0.0","source_file":"a.pdf","experience":[{"company":"C"}],"generated_at":"2024-01-01T00:00:00"}'
     df = T.profiles_from_json(spark.createDataFrame([(text,), ("{oops",)], "j string"), "j")
     assert sorted(str(r.read_error) for r in df.collect()) == ["Invalid JSON", "None"]
+    loose = '{"source_file": "cv.pdf", "experience": "none", "summary": {"text": "t"}}'
+    odd = T.profiles_from_json(spark.createDataFrame([(loose,), (None,)], "j string"), "j").collect()
+    assert odd[0].read_error == "Field of another type" and odd[1].read_error == "Invalid JSON" and odd[1].profile is None
+    assert odd[0].profile.source_file == "cv.pdf" and odd[0].profile.experience is None and odd[0].profile.summary.text == "t"
     T.write_profiles(df.where("read_error IS NULL"), str(tmp_path / "p"))
     line = json.loads(spark.read.text(str(tmp_path / "p")).first().value)
     assert line["experience"][0]["company"] == "C" and line["generated_at"] == "2024-01-01T00:00:00.000000"

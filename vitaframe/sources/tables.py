@@ -40,18 +40,24 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def profiles_from_json(df: DataFrame, json: str) -> DataFrame:
-    """Parse profile JSON into the profile struct; unreadable rows get an error instead."""
+    """Parse profile JSON into the profile struct ``profile``, with ``read_error``.
+
+    Text that is not JSON (or null) gives no profile and "Invalid JSON". A field of another type than
+    the profile's is null, and "Field of another type" says so; the other fields stay.
+    """
     schema = PROFILE_DDL.removeprefix("struct<").removesuffix(">")
     parsed = F.from_json(
         F.col(json), f"struct<{schema},_bad:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     )
     staged = df.withColumn("_p", parsed)
-    bad = F.col("_p._bad").isNotNull() | F.col("_p").isNull()
+    misfit = F.col("_p._bad").isNotNull()
+    # where the whole struct fits, the text was JSON; the variant reader refuses repeated keys
+    bad = F.col("_p").isNull() | (misfit & F.try_parse_json(F.col(json)).isNull())
     names = [f.split(":")[0] for f in _top_fields(schema)]
     return staged.withColumns(
         {
             "profile": F.when(~bad, F.struct(*[F.col(f"_p.{n}").alias(n) for n in names])),
-            "read_error": F.when(bad, F.lit("Invalid JSON")),
+            "read_error": F.when(bad, F.lit("Invalid JSON")).when(misfit, F.lit("Field of another type")),
         }
     ).drop("_p")
 
