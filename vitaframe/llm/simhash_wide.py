@@ -175,7 +175,8 @@ def similar_fingerprints(
     """Links ``(a, b)`` between ``f0`` of ``nodes`` (distinct ``f0``, ``f1 .. f3``, ``first_id`` in ``texts``: id, text)."""
     blocks = _blocks(nodes, width, splits)
     sizes = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("f0").alias("low"), F.max("f0").alias("high")).where("n > 1")
-    shared = written(blocks.join(sizes, "k"), "simhash-blocks")
+    # 72 rows come from each fingerprint, which size estimates do not see: never a side to broadcast
+    shared = written(blocks.join(sizes.hint("merge"), "k"), "simhash-blocks")
     small, crowded = shared.where(F.col("n") <= paired), shared.where(F.col("n") > paired)
     a, b = F.col("f0").alias("a"), F.col("f0").alias("b")
     near = _candidates(small.select("k", a).join(small.select("k", b), "k").where("a < b"))
