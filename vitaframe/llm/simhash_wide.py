@@ -42,6 +42,10 @@ WIDTH = 20
 SPLITS = 6
 #: Differing bits of the first 64 beyond which the other 192 are not looked at (3.6 deviations above similarity 0.8).
 FIRST_LIMIT = 20
+#: Texts of more shingles than this have their bits counted by histograms. The fingerprints are the same either way.
+COUNTED = 2048
+#: Ids are marked by one of so many hashes before rows with texts are shuffled: few texts without a part in it are.
+MARKS = 1 << 20
 #: Blocks of more fingerprints than this go by way of components. The components are the same either way.
 PAIRED = 16
 
@@ -64,7 +68,12 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> list[int]:
 
 
 def _words(hashes: np.ndarray) -> list[int]:
-    return [int(_majority(_mixed(hashes, word))) if len(hashes) else 0 for word in range(WORDS)]
+    """The bits set in over half the hashes: of few hashes by counting bits, of many by histograms of bytes."""
+    if not len(hashes) or len(hashes) > COUNTED:
+        return [int(_majority(_mixed(hashes, word))) if len(hashes) else 0 for word in range(WORDS)]
+    mixed = np.stack([_mixed(hashes, word) for word in range(WORDS)], axis=1).astype("<u8")
+    ones = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").tolist()
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -124,6 +133,19 @@ def _measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", differing.alias("bits")).where(F.col("bits") <= LIMIT)
 
 
+def _mark(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(MARKS))
+
+
+def _marked(rows: DataFrame, ids: DataFrame, how: str = "left_semi", id_col: str = "id") -> DataFrame:
+    """Rows whose id may be in ``ids`` (column ``id``), or with ``left_anti`` those whose id is not, for certain.
+
+    Marks are hashes of ids into ``MARKS`` values: at most so many longs are broadcast, however many ids there are.
+    """
+    marks = ids.select(_mark(F.col("id")).alias("_mark")).distinct()
+    return rows.join(F.broadcast(marks), _mark(F.col(id_col)) == F.col("_mark"), how)
+
+
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """``(f0, hashes)`` of binary texts: the first word of the fingerprint and the set it comes from."""
 
@@ -142,8 +164,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int)
     """The pairs ``(a, b)`` whose shingle sets are similar. Only texts of these pairs are read into sets."""
     pairs = written(pairs, "simhash-doubtful")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("f0")).distinct()
-    ids = nodes.join(asked, "f0").select(F.col("first_id").alias("id")).distinct()
-    sets = written(_shingle_sets(texts.join(ids, "id").select("text"), shingle).join(asked, "f0"), "simhash-sets")
+    ids = written(nodes.join(asked, "f0").select(F.col("first_id").alias("id")).distinct(), "simhash-asked")
+    sets = written(_shingle_sets(_marked(texts, ids).join(ids, "id").select("text"), shingle).join(asked, "f0"), "simhash-sets")
     both = pairs.join(sets.select(F.col("f0").alias("a"), F.col("hashes").alias("x")), "a")
     both = both.join(sets.select(F.col("f0").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -173,7 +195,7 @@ def similar_fingerprints(
     nodes: DataFrame, texts: DataFrame, shingle: int = 5, width: int = WIDTH, splits: int = SPLITS, paired: int = PAIRED
 ) -> DataFrame:
     """Links ``(a, b)`` between ``f0`` of ``nodes`` (distinct ``f0``, ``f1 .. f3``, ``first_id`` in ``texts``: id, text)."""
-    blocks = _blocks(nodes, width, splits)
+    blocks = _blocks(nodes, width, splits).repartition("k")  # one shuffle serves the sizes and the join with them
     sizes = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("f0").alias("low"), F.max("f0").alias("high")).where("n > 1")
     # 72 rows come from each fingerprint, which size estimates do not see: never a side to broadcast
     shared = written(blocks.join(sizes.hint("merge"), "k"), "simhash-blocks")
@@ -220,5 +242,7 @@ def one_of_each_similar_group(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     found = similar_components(docs, id_col, text_col, shingle)
     first = found.groupBy("id").agg(F.bool_or(F.col("id") == F.col("component")).alias("_first"))
-    gone = first.where(~F.col("_first")).select(F.col("id").alias("_gone"))
-    return unpacked(packed(docs, _id=F.col(f"`{id_col}`")).join(gone, F.col("_id") == F.col("_gone"), "left_anti"), docs.columns)
+    gone = written(first.where(~F.col("_first")).select("id"), "simhash-gone")
+    rows = packed(docs, _id=F.col(f"`{id_col}`"))
+    open_ = _marked(rows, gone, "left_semi", "_id").join(gone, F.col("_id") == F.col("id"), "left_anti")
+    return unpacked(_marked(rows, gone, "left_anti", "_id").unionByName(open_), docs.columns)
