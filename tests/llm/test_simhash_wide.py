@@ -93,3 +93,26 @@ def test_words_of_the_fingerprint():
         assert value == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
     assert wide.wide_fingerprint(b"") == [0, 0, 0, 0]
     assert wide.wide_fingerprint(text + b" " + text) != wide.wide_fingerprint(text)
+
+
+def test_fingerprints_are_the_same_by_both_ways_of_counting(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 64, 255, 256, 700):
+        hashes = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        counted = wide._words(hashes)
+        monkeypatch.setattr(wide, "COUNTED", 0)
+        assert counted == wide._words(hashes)
+        monkeypatch.undo()
+
+
+def test_marks_never_lose_a_row(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, str(i)) for i in range(50)] + [(None, "null")], "id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 50, 7)], "id long")
+    for marks in (1, 4, 1 << 20):  # 1: every mark is taken, as with far more ids than marks
+        monkeypatch.setattr(wide, "MARKS", marks)
+        may = {r.text for r in wide._marked(rows, ids).collect()}
+        cannot = {r.text for r in wide._marked(rows, ids, "left_anti").collect()}
+        assert {str(i) for i in range(0, 50, 7)} <= may
+        assert not may & cannot
+        assert len(may) + len(cannot) == 51
+    assert wide._marked(rows, ids.where("false")).count() == 0
