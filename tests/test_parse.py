@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from vitaframe.functions.extract import KEEP_ALL, PUBLISHED_LIMITS
 from vitaframe.operators.lines import carry_forward, section_lines
 from vitaframe.plans import parse
 from vitaframe.plans import profile as P
@@ -37,9 +38,9 @@ Awards
 the end"""
 
 
-def plain(spark, text, **kw):
+def plain(spark, text, limits=PUBLISHED_LIMITS, **kw):
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
-    return parse.parse_plain(df, **kw).first().result
+    return parse.parse_plain(df, limits=limits, **kw).first().result
 
 
 def test_plain_resume(spark):
@@ -151,3 +152,12 @@ def test_profile_schema_matches_its_ddl(spark):
 def test_grouped_skill_count(spark):
     c = F.create_map(F.lit("a"), F.array(F.lit("x"), F.lit("y")), F.lit("b"), F.array(F.lit("z")))
     assert spark.range(1).select(parse.grouped_skill_count(c)).first()[0] == 3
+
+
+def test_nothing_is_cut_without_limits(spark):
+    jobs = "\n\n".join(f"Engineer number {i} at Foo Inc\n2001 - 2002" for i in range(14))
+    text = f"Experience\n{jobs}\nSkills\n{', '.join(f'lang{i}' for i in range(30))}\nAwards\n- Best person award\nthe end"
+    full, cut = plain(spark, text, KEEP_ALL).sections, plain(spark, text).sections
+    assert len(full.experience) == 14 and len(cut.experience) == 10
+    assert len(full.skills) == 30 and len(cut.skills) == 20
+    assert full.achievements == ["Best person award", "the end"] and cut.achievements == ["Best person award"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,12 +41,37 @@ TECH_TERMS = (
 
 # Caps of the plain-text extractor.
 MAX_JOBS, MAX_EDUCATION, MAX_SKILLS, MAX_PROJECTS, MAX_AWARDS, MAX_TERMS = 10, 5, 20, 5, 10, 10
+MAX_LEAD = 5
+
+
+class Limits(NamedTuple):
+    """How much of a document the parsers keep: entries of each kind (None: all), and its last line."""
+
+    jobs: int | None = None
+    education: int | None = None
+    skills: int | None = None
+    projects: int | None = None
+    awards: int | None = None
+    terms: int | None = None
+    urls: int | None = None
+    lead: int | None = None
+    last_line: bool = True
+
+
+KEEP_ALL = Limits()
+PUBLISHED_LIMITS = Limits(
+    MAX_JOBS, MAX_EDUCATION, MAX_SKILLS, MAX_PROJECTS, MAX_AWARDS, MAX_TERMS, MAX_URLS, MAX_LEAD, last_line=False
+)
 
 JOB_DDL = "array<struct<title:string,company:string,duration:string,responsibilities:array<string>>>"
 SCHOOL_DDL = "array<struct<degree:string,institution:string,year:string,details:array<string>>>"
 PROJECT_DDL = "array<struct<name:string,description:string,technologies:array<string>,details:array<string>>>"
 
 
+def _first(items: Column, cap: int | None) -> Column:
+    return items if cap is None else F.slice(items, 1, cap)
+
+
 def contains_any(text: Column, words) -> Column:
     out = F.lit(False)
     for word in words:
@@ -85,17 +112,17 @@ def first_phone(text: Column, boundary: str = "unicode") -> Column:
     return strip(first_match(text, dialect(PHONE, boundary)))
 
 
-def first_urls(text: Column, boundary: str = "unicode") -> Column:
+def first_urls(text: Column, boundary: str = "unicode", cap: int | None = MAX_URLS) -> Column:
     hit = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www."))
-    return F.when(hit, F.slice(urls(text, boundary), 1, MAX_URLS)).otherwise(no_strings())
+    return F.when(hit, _first(urls(text, boundary), cap)).otherwise(no_strings())
 
 
-def contact(text: Column, boundary: str = "unicode") -> Column:
+def contact(text: Column, boundary: str = "unicode", max_urls: int | None = MAX_URLS) -> Column:
     """``{email, phone, urls}`` from a whole document."""
     return F.struct(
         first_email(text, boundary).alias("email"),
         first_phone(text, boundary).alias("phone"),
-        first_urls(text, boundary).alias("urls"),
+        first_urls(text, boundary, max_urls).alias("urls"),
     )
 
 
@@ -107,9 +134,9 @@ def clean_summary(text: Column, boundary: str = "unicode") -> Column:
     return F.regexp_replace(F.regexp_replace(strip(text), dialect(r"\s+", boundary), " "), BULLET, "")
 
 
-def lead_sentences(text: Column, sentences: int = 5) -> Column:
+def lead_sentences(text: Column, sentences: int | None = MAX_LEAD) -> Column:
     """The first pieces between full stops that are longer than ten characters."""
-    pieces = F.transform(F.slice(F.split(text, r"\."), 1, sentences), strip)
+    pieces = F.transform(_first(F.split(text, r"\."), sentences), strip)
     return F.array_join(F.filter(pieces, lambda p: F.length(p) > 10), ". ")
 
 
@@ -196,9 +223,9 @@ def _plain_job(lines: Column, boundary: str) -> Column:
     )
 
 
-def plain_jobs(text: Column, boundary: str = "unicode", cap: int = MAX_JOBS) -> Column:
+def plain_jobs(text: Column, boundary: str = "unicode", cap: int | None = MAX_JOBS) -> Column:
     """Jobs of plain text: entries stand between blank lines."""
-    entries = F.slice(_entries(text, r"\n\n+", 20), 1, cap)
+    entries = _first(_entries(text, r"\n\n+", 20), cap)
     return F.transform(entries, lambda e: let(lines_of(e), lambda ls: _plain_job(ls, boundary)))
 
 
@@ -235,7 +262,7 @@ def schools(text: Column, boundary: str = "unicode") -> Column:
     return F.transform(split_schools(text), lambda e: let(lines_of(e), lambda ls: _school(ls, boundary)))
 
 
-def plain_schools(text: Column, boundary: str = "unicode", cap: int = MAX_EDUCATION) -> Column:
+def plain_schools(text: Column, boundary: str = "unicode", cap: int | None = MAX_EDUCATION) -> Column:
     """Education of plain text: a degree or school line opens an entry, later lines are details."""
 
     def entries(lines: Column) -> Column:
@@ -255,7 +282,7 @@ def plain_schools(text: Column, boundary: str = "unicode", cap: int = MAX_EDUCAT
                     F.slice(lines, start + 2, stop - start - 1).alias("details"),
                 )
 
-            return F.slice(F.transform(at, one), 1, cap)
+            return _first(F.transform(at, one), cap)
 
         return let(starts, build)
 
@@ -274,19 +301,19 @@ def skills(text: Column) -> Column:
     return F.filter(parts, lambda s: F.length(s).between(2, 49))
 
 
-def plain_skills(text: Column, cap: int = MAX_SKILLS) -> Column:
+def plain_skills(text: Column, cap: int | None = MAX_SKILLS) -> Column:
     """Skills of plain text: labels dropped on every line, 2 to 50 characters, capped."""
     body = F.regexp_replace(text, r"(?imdU)^(?:skills?|technologies?):?\s*", "")
     parts = F.transform(F.split(body, _SKILL_BREAKS), strip)
-    return F.slice(F.filter(parts, lambda s: F.length(s).between(2, 50)), 1, cap)
+    return _first(F.filter(parts, lambda s: F.length(s).between(2, 50)), cap)
 
 
-def tech_terms(text: Column, cap: int = MAX_TERMS) -> Column:
+def tech_terms(text: Column, cap: int | None = MAX_TERMS) -> Column:
     """Known technology terms anywhere in a text without sections."""
 
     def found(lowered: Column) -> Column:
         terms = F.filter(F.array(*[F.lit(t) for t in TECH_TERMS]), lambda t: F.contains(lowered, t))
-        return F.transform(F.slice(terms, 1, cap), title_case)
+        return F.transform(_first(terms, cap), title_case)
 
     return let(F.lower(text), found)
 
@@ -305,8 +332,8 @@ def projects(text: Column) -> Column:
     return F.transform(_entries(text, r"\n(?=[A-Z])", 10), lambda e: let(lines_of(e), _project))
 
 
-def plain_projects(text: Column, cap: int = MAX_PROJECTS) -> Column:
-    entries = F.slice(_entries(text, r"\n\n+", 10), 1, cap)
+def plain_projects(text: Column, cap: int | None = MAX_PROJECTS) -> Column:
+    entries = _first(_entries(text, r"\n\n+", 10), cap)
     return F.transform(entries, lambda e: let(lines_of(e), _project))
 
 
@@ -315,9 +342,9 @@ def achievements(text: Column) -> Column:
     return F.filter(items, lambda x: F.length(x) > 5)
 
 
-def plain_achievements(text: Column, cap: int = MAX_AWARDS) -> Column:
+def plain_achievements(text: Column, cap: int | None = MAX_AWARDS) -> Column:
     items = F.transform(F.split(text, r"[\n•\-*+]+"), strip)
-    return F.slice(F.filter(items, lambda x: F.length(x).between(5, 200)), 1, cap)
+    return _first(F.filter(items, lambda x: F.length(x).between(5, 200)), cap)
 
 
 # ------------------------------------------------------------------ scores and warnings

@@ -31,10 +31,13 @@ def _with_sections(df: DataFrame, sections: Column) -> DataFrame:
     return df.withColumn("_sections", sections)
 
 
-def parse_styled(df: DataFrame, paragraphs: str = "paragraphs", boundary: str = "unicode") -> DataFrame:
+def parse_styled(
+    df: DataFrame, paragraphs: str = "paragraphs", boundary: str = "unicode", limits: X.Limits = X.KEEP_ALL
+) -> DataFrame:
     """Add ``result`` for documents given as ``array<struct<text, is_bold, ...>>``.
 
-    Blank paragraphs are dropped first, so positions are dense.
+    Blank paragraphs are dropped first, so positions are dense. Of ``limits`` only that of links
+    applies to styled documents.
     """
     trimmed = F.transform(
         F.col(paragraphs), lambda p: F.struct(strip(p["text"]).alias("text"), p["is_bold"].alias("is_bold"))
@@ -44,7 +47,7 @@ def parse_styled(df: DataFrame, paragraphs: str = "paragraphs", boundary: str =
     whole = F.array_join(F.transform(F.col("_paras"), lambda p: p["text"]), " ")
     text = lambda s: S.section_text(F.col("_segments"), s)
     sections = F.struct(
-        X.contact(whole, boundary).alias("contact"),
+        X.contact(whole, boundary, limits.urls).alias("contact"),
         X.clean_summary(text("summary"), boundary).alias("summary"),
         X.jobs(text("experience"), boundary).alias("experience"),
         X.schools(text("education"), boundary).alias("education"),
@@ -71,18 +74,20 @@ def parse_plain(
     used_fallback: Column | None = None,
     compat: bool = False,
     boundary: str = "unicode",
+    limits: X.Limits = X.KEEP_ALL,
 ) -> DataFrame:
     """Add ``result`` for documents given as plain text (PDF pages put together, or TXT).
 
     ``compat=True`` forgets blank lines, which leaves at most one job and one project per
-    section; by default blank lines separate the entries.
+    section; by default blank lines separate the entries. All entries are kept unless ``limits``
+    says otherwise (``PUBLISHED_LIMITS``: the caps of the published parser, which also drops the last line).
     """
     is_pdf = F.lit(True) if is_pdf is None else is_pdf
     used_fallback = F.lit(False) if used_fallback is None else used_fallback
     staged = df.withColumn("_clean", S.clean_page_text(F.col(text), keep_blank=not compat, boundary=boundary))
     staged = staged.withColumn(
         "_segments",
-        S.plain_segments(F.transform(F.split("_clean", "\n"), strip), boundary=boundary),
+        S.plain_segments(F.transform(F.split("_clean", "\n"), strip), drop_last=not limits.last_line, boundary=boundary),
     )
     # Contacts see the text without blank lines.
     staged = staged.withColumn("_body", F.regexp_replace("_clean", r"\n\n+", "\n"))
@@ -93,15 +98,15 @@ def parse_plain(
     part = lambda s: S.section_text(F.col("_segments"), s)
     dense = lambda s: F.array_join(F.filter(S.section_items(F.col("_segments"), s), lambda x: x != ""), "\n")
     sections = F.struct(
-        X.contact(F.col("_body"), boundary).alias("contact"),
-        X.lead_sentences(dense("summary")).alias("summary"),
-        X.plain_jobs(part("experience"), boundary).alias("experience"),
-        X.plain_schools(dense("education"), boundary).alias("education"),
-        F.when(F.col("_has_content"), X.plain_skills(dense("skills")))
-        .otherwise(X.tech_terms(F.col("_body")))
+        X.contact(F.col("_body"), boundary, limits.urls).alias("contact"),
+        X.lead_sentences(dense("summary"), limits.lead).alias("summary"),
+        X.plain_jobs(part("experience"), boundary, limits.jobs).alias("experience"),
+        X.plain_schools(dense("education"), boundary, limits.education).alias("education"),
+        F.when(F.col("_has_content"), X.plain_skills(dense("skills"), limits.skills))
+        .otherwise(X.tech_terms(F.col("_body"), limits.terms))
         .alias("skills"),
-        X.plain_projects(part("projects")).alias("projects"),
-        X.plain_achievements(dense("achievements")).alias("achievements"),
+        X.plain_projects(part("projects"), limits.projects).alias("projects"),
+        X.plain_achievements(dense("achievements"), limits.awards).alias("achievements"),
     )
     staged = _with_sections(staged, sections)
     email = F.col("_sections")["contact"]["email"]
@@ -116,7 +121,9 @@ def parse_plain(
     ).drop("_clean", "_segments", "_body", "_has_content", "_sections")
 
 
-def parse_documents(df: DataFrame, compat: bool = False, boundary: str = "unicode") -> DataFrame:
+def parse_documents(
+    df: DataFrame, compat: bool = False, boundary: str = "unicode", limits: X.Limits = X.KEEP_ALL
+) -> DataFrame:
     """Route every document to its extractor by ``file_type`` and report a job row.
 
     Input: ``file_type, text, paragraphs[, used_fallback]``. One pass over one scan: each
@@ -127,11 +134,11 @@ def parse_documents(df: DataFrame, compat: bool = False, boundary: str = "unicod
     kind = F.col("file_type")
     is_styled, is_plain = kind == "docx", kind.isin("pdf", "txt")
     staged = df.withColumns({"_p": F.when(is_styled, F.col("paragraphs")), "_t": F.when(is_plain, F.col("text"))})
-    styled = parse_styled(staged, "_p", boundary).withColumnsRenamed(
+    styled = parse_styled(staged, "_p", boundary, limits).withColumnsRenamed(
         {"result": "_styled", "sections_found": "_styled_found"}
     )
     both = parse_plain(
-        styled, "_t", is_pdf=kind == "pdf", used_fallback=fallback, compat=compat, boundary=boundary
+        styled, "_t", is_pdf=kind == "pdf", used_fallback=fallback, compat=compat, boundary=boundary, limits=limits
     )
     known = F.coalesce(kind.isin(*PARSEABLE), F.lit(False))
     return both.withColumns(

@@ -41,7 +41,7 @@ def label_sql(line: str, sections) -> str:
 RESUMES_CTE = f"r AS (SELECT doc_id, {RESUME_TEXT} AS text FROM documents)"
 
 
-def plain_ctes(source: str = "r") -> str:
+def plain_ctes(source: str = "r", last_line: bool = False) -> str:
     """``p_content(doc_id, section, i, line)`` with blank separators, and ``p_headers``."""
     header = f"CASE WHEN regexp_matches(line, '^\\S+(?:\\s+\\S+){{0,4}}$') THEN {label_sql('line', S.PLAIN_SECTIONS)} END"
     return (
@@ -50,7 +50,8 @@ def plain_ctes(source: str = "r") -> str:
         f"p_h AS (SELECT *, {header} AS header FROM p_l), "
         "p_s AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM p_h), "
         "p_headers AS (SELECT doc_id, header, i FROM p_h WHERE header IS NOT NULL), "
-        "p_content AS (SELECT doc_id, section, i, line FROM p_s WHERE header IS NULL AND section IS NOT NULL AND i < n), "
+        "p_content AS (SELECT doc_id, section, i, line FROM p_s WHERE header IS NULL AND section IS NOT NULL "
+        f"AND i {'<=' if last_line else '<'} n), "
         "p_text AS (SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS t, "
         "coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') AS d FROM p_content GROUP BY 1, 2)"
     )
@@ -86,11 +87,11 @@ def styled_entries(section: str, starts: str, shortest: int) -> str:
     )
 
 
-def plain_entries(section: str, shortest: int, cap: int) -> str:
+def plain_entries(section: str, shortest: int, cap: int | None) -> str:
     """``e(doc_id, entry, ls)``: entries between blank lines."""
     pieces = (
         f"list_filter(list_transform(string_split_regex(t, '\\n\\n+'), lambda s: {strip_sql('s')}), "
-        f"lambda s: length(s) >= {shortest})[1:{cap}]"
+        f"lambda s: length(s) >= {shortest})" + (f"[1:{cap}]" if cap else "")
     )
     return (
         f"e0 AS (SELECT doc_id, {pieces} AS es FROM p_text WHERE section = '{section}'), "
@@ -409,7 +410,7 @@ def _round(c):
 )
 def parse_plain_resumes(spark, folder):
     """Whole plain parse: contact, summary, counts, confidence and warnings per document."""
-    parsed = parse.parse_plain(resumes(spark, folder), boundary="ascii")
+    parsed = parse.parse_plain(resumes(spark, folder), boundary="ascii", limits=X.PUBLISHED_LIMITS)
     s = F.col("result.sections")
     counts = parse.section_counts(F.col("result"))
     return parsed.select(
@@ -425,6 +426,36 @@ def parse_plain_resumes(spark, folder):
     )
 
 
+#: Every resume four times in a row: more entries than the published limits keep.
+_LONG_CTE = "long AS (SELECT doc_id, repeat(text || chr(10), 4) AS text FROM r)"
+
+
+def _kept_sql(name: str, section: str, items: str) -> str:
+    return f"{name} AS (SELECT doc_id, len({items}) AS n FROM p_text WHERE section = '{section}')"
+
+
+@register(
+    f"WITH {RESUMES_CTE}, {_LONG_CTE}, {plain_ctes('long', last_line=True)}, {plain_entries('experience', 20, None)}, "
+    "j AS (SELECT doc_id, count(*) AS n FROM e GROUP BY 1), "
+    f"sc AS (SELECT doc_id, count(*) AS n FROM p_content WHERE section = 'education' AND {_OPENS} GROUP BY 1), "
+    + _kept_sql("sk", "skills", _split_items("regexp_replace(d, '(?im)^(?:skills?|technologies?):?\\s*', '', 'g')", _BREAKS, "BETWEEN 2 AND 50"))
+    + ", "
+    + _kept_sql("aw", "achievements", _split_items("d", r"[\n•\-*+]+", "BETWEEN 5 AND 200"))
+    + ", "
+    + _kept_sql("pr", "projects", _split_items("t", r"\n\n+", ">= 10"))
+    + " SELECT long.doc_id, coalesce(j.n, 0) AS jobs, coalesce(sc.n, 0) AS schools, coalesce(sk.n, 0) AS skills, "
+    "coalesce(pr.n, 0) AS projects, coalesce(aw.n, 0) AS awards FROM long LEFT JOIN j USING (doc_id) LEFT JOIN sc USING (doc_id) "
+    "LEFT JOIN sk USING (doc_id) LEFT JOIN pr USING (doc_id) LEFT JOIN aw USING (doc_id)"
+)
+def parse_plain_in_full(spark, folder):
+    """Plain parse without limits: all entries of long resumes, the last line included."""
+    long = resumes(spark, folder).withColumn("text", F.repeat(F.concat("text", F.lit("\n")), F.lit(4)))
+    s = F.col("result.sections")
+    kept = {"jobs": "experience", "schools": "education", "skills": "skills", "projects": "projects", "awards": "achievements"}
+    parsed = parse.parse_plain(long, boundary="ascii")
+    return parsed.select("doc_id", *[F.size(s[key]).cast("long").alias(name) for name, key in kept.items()])
+
+
 @register(
     f"WITH {RESUMES_CTE}, {styled_ctes()}, "
     f"b AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS body FROM s_l WHERE line <> '' GROUP BY 1), c AS (SELECT doc_id, {CONTACT_SQL} FROM b), "
@@ -443,7 +474,7 @@ def parse_plain_resumes(spark, folder):
 )
 def parse_styled_resumes(spark, folder):
     """Whole styled parse: contact, summary, skills, confidence and warnings per document."""
-    parsed = parse.parse_styled(styled_resumes(spark, folder), boundary="ascii")
+    parsed = parse.parse_styled(styled_resumes(spark, folder), boundary="ascii", limits=X.PUBLISHED_LIMITS)
     s = F.col("result.sections")
     return parsed.select(
         "doc_id",
@@ -469,7 +500,7 @@ def parse_styled_resumes(spark, folder):
 def parse_without_sections(spark, folder):
     """Plain parse of the raw documents, most of which have no section headers."""
     docs = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
-    parsed = parse.parse_plain(docs, boundary="ascii")
+    parsed = parse.parse_plain(docs, boundary="ascii", limits=X.PUBLISHED_LIMITS)
     loose = F.array_contains("result.warnings", X.NO_SECTIONS)
     return parsed.select(
         "doc_id",
@@ -504,7 +535,7 @@ _TYPE = "CASE doc_id % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'txt'
 )
 def parse_by_file_type(spark, folder):
     """Every document goes to the extractor of its type; unknown types become failed jobs."""
-    jobs = parse.parse_documents(_routed(spark, folder), boundary="ascii")
+    jobs = parse.parse_documents(_routed(spark, folder), boundary="ascii", limits=X.PUBLISHED_LIMITS)
     return jobs.select(
         "doc_id", "file_type", "status", "error", F.col("result.extraction_method").alias("method"),
         F.array_join("sections_found", ",").alias("found"),
@@ -524,7 +555,7 @@ def _compared(spark, folder):
         F.create_map(*[x for k, v in _EXPECTED.items() for x in (F.lit(k), F.expr(v))]).alias("expected_sections"),
         (F.col("file_type") == "unknown").alias("expects_error"),
     )
-    jobs = parse.parse_documents(routed, boundary="ascii")
+    jobs = parse.parse_documents(routed, boundary="ascii", limits=X.PUBLISHED_LIMITS)
     results = jobs.select(
         F.col("file_name").alias("filename"),
         "status",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitaframe.functions import extract as X
 from vitaframe.functions.dates import date_or_text
 from vitaframe.operators import validate as V
 from vitaframe.plans import parse
@@ -207,7 +208,7 @@ _AT = "2024-03-01 12:00:00"
 )
 def profiles_of_resumes(spark, folder):
     """Parse, build the profile, write it as JSON, and validate that JSON."""
-    parsed = parse.parse_plain(resumes(spark, folder), boundary="ascii")
+    parsed = parse.parse_plain(resumes(spark, folder), boundary="ascii", limits=X.PUBLISHED_LIMITS)
     path = F.concat(F.lit("/in/2024/"), F.expr(FILE_NAME))
     built = P.with_profiles(parsed, path, F.lit(_AT).cast("timestamp"))
     checked = V.validate(built.select("doc_id", P.to_profile_json(F.col("profile")).alias("j")), "j")
