@@ -68,3 +68,13 @@ def test_large_dictionary_is_not_broadcast(spark, monkeypatch):
     dim = K.lookup_table(K.dictionary(spark))
     assert K.inline_lookup(dim) is None
     assert K.normalize_rows(frame(spark, ["K8s"]), dim).first().canonical_name == "Kubernetes"
+
+
+def test_lists_are_the_same_for_a_dictionary_of_any_size(spark):
+    dim = K.lookup_table(K.dictionary(spark))
+    docs = [(1, ["K8s", " ", None, "python 3", "Python", "Knitting"]), (2, []), (3, ["sql"]), (4, None)]
+    lists = spark.createDataFrame(docs, "doc_id int, r array<string>")
+    want = {r.doc_id: r.s for r in lists.select("doc_id", K.normalize_array(F.col("r"), K.inline_lookup(dim)).alias("s")).collect()}
+    got = {r.doc_id: r.skills for r in K.normalize_lists(lists, dim, "r").collect()}
+    assert set(got) == {1, 2, 3, 4} and got[4] == []
+    assert all(got[i] == want[i] for i in (1, 2, 3))

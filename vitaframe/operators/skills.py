@@ -145,14 +145,16 @@ def _sized(dim: DataFrame) -> DataFrame:
 
 
 def normalize_rows(skills: DataFrame, dim: DataFrame, raw: str = "raw", context: str | None = None) -> DataFrame:
-    """One normalised entry per raw skill row; ``dim`` comes from ``lookup_table``.
+    """One normalised entry per raw skill row; ``dim`` comes from ``lookup_table`` or ``alias_rows``.
 
-    A map-side hash join: the skill rows are not shuffled.
+    With a small dictionary a map-side hash join: the skill rows are not shuffled. ``alias_rows`` carry no lists of
+    aliases (the entries' lists stay empty), so a name with very many spellings costs one row each.
     """
     cleaned = skills.withColumn("cleaned", clean_name(F.col(raw)))
     looked = cleaned.join(_sized(dim), F.lower("cleaned") == F.col("alias_lower"), "left")
     ctx = F.col(context) if context else F.lit(None).cast("string")
-    fields = _entry(F.col(raw), F.col("cleaned"), F.col("canonical"), F.col("aliases"), F.col("category"), ctx)
+    aliases = F.col("aliases") if "aliases" in dim.columns else F.lit(None).cast("array<string>")
+    fields = _entry(F.col(raw), F.col("cleaned"), F.col("canonical"), aliases, F.col("category"), ctx)
     keep = [c for c in cleaned.columns if c not in fields]
     return looked.select(*keep, *[v.alias(k) for k, v in fields.items()])
 
@@ -176,6 +178,22 @@ def normalize_lists_by_row(skills: DataFrame, dim: DataFrame, doc: str = "doc_id
     return first_per_canonical(normalize_rows(rows, dim, raw), doc, pos)
 
 
+def normalize_lists(lists: DataFrame, dim: DataFrame, raws: str, doc: str = "doc_id") -> DataFrame:
+    """``(doc, skills)``: what ``normalize_array`` gives for each document, with a dictionary of any size.
+
+    ``doc`` is a key of ``lists``. Skills are looked up row by row and come together again per document only;
+    documents without a skill get an empty list.
+    """
+    rows = lists.select(doc, F.posexplode(raws).alias("pos", "raw"))
+    kept = normalize_lists_by_row(rows, dim, doc, "pos", "raw")
+    fields = ["name", "canonical_name", "aliases", "category", "context", "confidence_score"]
+    order = [F.coalesce("category", F.lit("z_other")).alias("k1"), F.col("canonical_name").alias("k2"), F.col("pos").alias("k3")]
+    sorted_ = F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("e"))))
+    grouped = kept.groupBy(doc).agg(F.transform(sorted_, lambda x: x["e"]).alias("skills"))
+    joined = lists.select(doc).join(grouped, doc, "left")
+    return joined.withColumn("skills", F.coalesce("skills", F.array().cast(grouped.schema["skills"].dataType)))
+
+
 def category_stats(normalized: DataFrame) -> DataFrame:
     return normalized.groupBy(F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(
         F.count("*").alias("skills")
@@ -186,7 +204,7 @@ def category_stats(normalized: DataFrame) -> DataFrame:
 
 
 def inline_lookup(dim: DataFrame) -> Column | None:
-    """The dictionary as a map literal, or null when it is too large to stand in a plan."""
+    """The dictionary as a map literal, or null when it is too large to stand in a plan (see ``normalize_lists``)."""
     rows = dim.select("alias_lower", "canonical", "aliases", "category").limit(INLINE_LIMIT + 1).collect()
     if len(rows) > INLINE_LIMIT:
         return None

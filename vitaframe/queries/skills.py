@@ -140,6 +140,30 @@ def normalize_skill_lists(spark, folder):
     return flat.select("doc_id", "s.name", "s.canonical_name", "s.category", (F.col("i") + 1).cast("long").alias("rank"))
 
 
+@register(
+    "WITH x AS (SELECT l_orderkey, l_linenumber, 'part-' || l_partkey AS name, 'Family ' || (l_partkey % 7) AS canonical_name FROM lineitem), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, canonical_name ORDER BY l_linenumber, name) AS n FROM x) "
+    "SELECT l_orderkey, name, canonical_name, 'parts' AS category, 0.95::DOUBLE AS confidence_score, "
+    "row_number() OVER (PARTITION BY l_orderkey ORDER BY canonical_name) AS rank FROM f WHERE n = 1"
+)
+def normalize_lists_with_added_aliases(spark, folder):
+    """Lists of each order against a dictionary that gains one alias per part: no bound on its size."""
+    family = F.concat(F.lit("Family "), F.col("p_partkey") % 7)
+    added = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("seq"), family.alias("canonical_name"),
+        F.concat(F.lit("part-"), F.col("p_partkey")).alias("alias"), F.lit("parts").alias("category"),
+    )
+    dim = K.alias_rows(K.add_custom_aliases(K.dictionary(spark), added))
+    name = F.concat(F.lit("part-"), F.col("l_partkey"))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.struct("l_linenumber", name.alias("raw")).alias("x"))
+    lists = lines.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["raw"]).alias("raws"))
+    skills = K.normalize_lists(lists, dim, "raws", "l_orderkey")
+    flat = skills.select("l_orderkey", F.posexplode("skills").alias("i", "s"))
+    return flat.select(
+        "l_orderkey", "s.name", "s.canonical_name", "s.category", "s.confidence_score", (F.col("i") + 1).cast("long").alias("rank")
+    )
+
+
 @register(_LISTS + f" SELECT doc_id, pos, {strip_sql('raw')} AS name, canonical_name, category FROM kept")
 def first_skill_per_name(spark, folder):
     """The same as rows: a map-side merged aggregate instead of a window."""
