@@ -293,6 +293,20 @@ def test_main_text(spark):
     assert got[7].text == "Yes" and got[8].text == "Text"
 
 
+def test_runs_that_a_host_repeats_go_from_articles_too(spark):
+    story = lambda i: " ".join(f"s{i}w{k}" for k in range(30))
+    notice = "Sign up now for our weekly letter and never miss any news"
+    shared = "this passage of ten words stands in two articles only"
+    page = lambda i, more: PAGE.format(f"<article><p>{story(i)}</p><p>{notice}</p><p>{more}own{i} {notice}</p></article>")
+    rows = [(i, f"http://n.org/{i}", page(i, shared + " " if i < 2 else "")) for i in range(4)]
+    rows += [(10 + i, "http://two.org/", PAGE.format(f"<article><p>{story(10 + i // 2)}</p><p>{notice}</p></article>")) for i in range(4)]  # two contents
+    rows += [(20 + i, "http://w.org/", PAGE.format(f"<div class=content><p>{story(20 + i)}</p><p>{notice}</p></div>")) for i in range(3)]
+    got = {r.id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(4)] == [f"{story(i)} {shared + ' ' if i < 2 else ''}own{i}" for i in range(4)]
+    assert [got[10 + i] for i in range(4)] == [f"{story(10 + i // 2)} {notice}" for i in range(4)]
+    assert [got[20 + i] for i in range(3)] == [story(20 + i) for i in range(3)]
+
+
 def test_language_backoff_and_held_out_accuracy(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     model = langid.train(docs)

@@ -1,16 +1,21 @@
-"""Main text of web pages: what a page marks as its article, else what its host does not repeat.
+"""Main text of web pages: what a page marks as its article, without what its host repeats.
 
 A small reader turns html into blocks of text, each in one of four regions: the article, chrome
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or
-id), and the plain rest. A page with an article is its article without chrome.
-
-Pages without one are decided by a suffix array over each host: the token streams of all text
-outside articles, of every page, are laid end to end, and suffixes are brought together by their first
-``SPAN`` tokens. Equal beginnings on pages of different content are long repeated substrings. Sorting
-is by shuffle: a suffix is its key of 64 bits (host and ``SPAN`` tokens), so a host with a third of all
-pages spreads over all tasks, and keys are merged in the map tasks to the least and the greatest page
-seen. Blocks covered by repeated substrings are boilerplate; the unique runs stay. Html itself is never
-shuffled; only the blocks of undecided pages meet their marks.
+id), and the plain rest. Markup names the candidates: the article without chrome, or, of a page
+that marks none, all plain blocks. Repeats decide which of their tokens stay, on every page.
+
+The token streams of all pages are laid end to end, and suffixes are brought together by their first
+``SPAN`` tokens: windows of ``SPAN`` tokens in hash order stand for a full suffix order. A window in
+pages of ``SEVERAL`` different contents of the host is boilerplate wherever it stands, so a passage
+that two articles share is safe; in text outside articles two contents are enough for pages that
+mark none. Runs covered by such windows are cut; outside articles, blocks that are nearly all covered go whole.
+Sorting is by shuffle: a window is a key of 64 bits (host and ``SPAN`` tokens), so a host with a third
+of all pages spreads over all tasks, and keys are merged in the map tasks. Windows are only sorted
+where their anchor, the one of their pieces of ``PIECE`` tokens with the least hash, is the anchor
+of windows in two contents of the host, which loses none: equal windows have equal anchors, and
+neighbours mostly share theirs. Html itself is never shuffled; only the blocks of pages with a repeat
+meet their marks.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,8 +38,17 @@ from vitaframe.llm.urls import host_of
 
 #: Tokens of a long substring.
 SPAN = 8
-#: A block goes if at least this share of its tokens is repeated.
+#: Different page contents of a host that make a window boilerplate inside articles too.
+SEVERAL = 3
+#: Tokens of an anchor.
+PIECE = 4
+#: A block outside articles goes whole if at least this share of its tokens is repeated.
 COVERED = 0.9
+#: Bits of the broadcast marks that tell which windows may be repeated.
+MARKS = 1 << 24
+_OUT = 1  # the last bit of a key: windows outside articles
+_CONTENT = (1 << 31) - 1
+_FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -225,42 +240,101 @@ class Reader:
                 return
 
 
-def read(page: str | None) -> tuple[str | None, list[Block]]:
-    """The text of a page's article (null if the page marks none), and all blocks."""
-    blocks = Reader(page).blocks if page else []
+def chosen(blocks: list[Block]) -> tuple[list[bool], bool]:
+    """Which blocks are candidates, and if the page marks an article."""
     for of in ("main", "body"):
-        kept = [b.text for b in blocks if getattr(b, of) and not b.chrome]
-        if kept:
-            return " ".join(kept), blocks
-    return None, blocks
+        kept = [getattr(b, of) and not b.chrome for b in blocks]
+        if any(kept):
+            return kept, True
+    return [not b.chrome for b in blocks], False
 
 
-def windows(host: str, tokens: list[str]) -> list[int]:
-    """Keys of the suffixes of at least ``SPAN`` tokens, by place."""
-    seed = xxhash.xxh64_intdigest(host)
-    return [xxhash.xxh64_intdigest("\0".join(tokens[i : i + SPAN]), seed) - (1 << 63) for i in range(len(tokens) - SPAN + 1)]
+_hashes: dict[str, int] = {}
 
 
-def outside(blocks: list[Block], article: bool) -> list[str]:
-    """Tokens of the text outside the article, in page order."""
-    return [t for b in blocks if not (article and (b.main or b.body) and not b.chrome) for t in b.text.split()]
+def _runs(host: str, tokens: list[str], span: int) -> np.ndarray:
+    """Keys of every ``span`` tokens in a row, by place."""
+    n = len(tokens) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if len(_hashes) > 500_000:
+        _hashes.clear()
+    for t in set(tokens):
+        if t not in _hashes:
+            _hashes[t] = xxhash.xxh64_intdigest(t)
+    each = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    keys = np.full(n, xxhash.xxh64_intdigest(host), np.uint64)
+    for k in range(span):
+        keys += each[k : k + n] * _FACTORS[k]
+        keys ^= keys >> np.uint64(29)
+    keys *= np.uint64(0xBF58476D1CE4E5B9)
+    keys ^= keys >> np.uint64(32)
+    return keys
 
 
-def without_repeats(blocks: list[tuple[str, bool]], covered: set[int]) -> str:
-    """Plain blocks of an undecided page that the host does not repeat; all of them if none is left.
+def windows(host: str, tokens: list[str]) -> np.ndarray:
+    """Keys of the suffixes of at least ``SPAN`` tokens, by place; the last bit is 0."""
+    return _runs(host, tokens, SPAN).view(np.int64) & ~np.int64(_OUT)
+
+
+def anchors(host: str, tokens: list[str]) -> np.ndarray:
+    """The anchor of each window, by place."""
+    pieces = _runs(host, tokens, PIECE).view(np.int64)
+    if len(tokens) < SPAN:
+        return np.zeros(0, np.int64)
+    return np.lib.stride_tricks.sliding_window_view(pieces, SPAN - PIECE + 1).min(axis=1)
+
+
+def marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which keys have their bit in ``marks``."""
+    mark = (keys.view(np.uint64) >> np.uint64(1)) % np.uint64(MARKS)
+    return (marks[(mark >> np.uint64(6)).astype(np.int64)] >> (mark & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _tokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """All tokens in page order, and the number of each block's."""
+    split = [t.split() for t in texts]
+    return [t for part in split for t in part], np.array([len(part) for part in split], np.int64)
+
+
+def streams(blocks: list[Block]) -> tuple[list[str], list[str], int]:
+    """Tokens of all text of a page and of its text outside the article, and the hash of its content."""
+    article = chosen(blocks)[1]
+    tokens, _ = _tokens([b.text for b in blocks])
+    rest = _tokens([b.text for b in blocks if not ((b.main or b.body) and not b.chrome)])[0] if article else tokens
+    return tokens, rest, xxhash.xxh64_intdigest(" ".join(tokens)) & _CONTENT
+
+
+def asked(host: str, texts: list[str], kept: list[bool], article: bool, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the windows that touch a candidate block and may be repeated, and their places."""
+    tokens, sizes = _tokens(texts)
+    keys = windows(host, tokens)
+    sums = np.concatenate([[0], np.cumsum(np.repeat(np.array(kept, bool), sizes))])
+    at = np.arange(len(keys))
+    touching = sums[at + SPAN] > sums[at] if len(keys) else np.zeros(0, bool)
+    keys, at = keys[touching], at[touching]
+    if not article:
+        keys, at = np.concatenate([keys, keys | _OUT]), np.concatenate([at, at])
+    may = marked(keys, marks)
+    return keys[may], at[may]
+
+
+def without_repeats(texts: list[str], kept: list[bool], article: bool, covered: set[int]) -> str:
+    """Candidate blocks without the runs that the host repeats; all of them if nothing is left.
 
     ``covered`` holds the places of repeated windows in the stream of all blocks.
     """
-    kept, plain, at = [], [], 0
-    for text, chrome in blocks:
-        n = len(text.split())
-        if not chrome:
+    out, plain, at = [], [], 0
+    hit = {i for p in covered for i in range(p, p + SPAN)}
+    for text, stays in zip(texts, kept, strict=True):
+        tokens = text.split()
+        if stays:
             plain.append(text)
-            hit = sum(any(p in covered for p in range(i - SPAN + 1, i + 1)) for i in range(at, at + n)) if covered else 0
-            if hit < COVERED * n:
-                kept.append(text)
-        at += n
-    return " ".join(kept or plain)
+            left = [t for i, t in enumerate(tokens, at) if i not in hit]
+            if article or len(tokens) - len(left) < COVERED * len(tokens):
+                out += left
+        at += len(tokens)
+    return " ".join(out or plain)
 
 
 def _mapped(rows: DataFrame, task: Callable, schema: str, keep: int) -> DataFrame:
@@ -282,65 +356,92 @@ def _mapped(rows: DataFrame, task: Callable, schema: str, keep: int) -> DataFram
     return rows.mapInArrow(run, out)
 
 
+def _repeated(hosts: DataFrame) -> DataFrame:
+    """``key`` of the windows in text of several contents. ``hosts`` has ``host`` and ``html``.
+
+    Contents are numbers of 31 bits. Where all of a key's ``n`` pages are the least or the greatest
+    of them, their sum is ``n * a + m * (b - a)`` for a whole ``m`` of at most ``n``; a third content shows in it.
+    """
+
+    def emitted(part: pa.RecordBatch, of: Callable[[str, list[str], list[str]], np.ndarray]):
+        keys, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            tokens, rest, content = streams(Reader(page).blocks if page else [])
+            keys.append(np.unique(of(host, tokens, rest)))
+            contents.append(np.full(len(keys[-1]), content, np.int64))
+        return [], [pa.array(np.concatenate(keys)), pa.array(np.concatenate(contents))]
+
+    def both_anchors(host: str, tokens: list[str], rest: list[str]) -> np.ndarray:
+        return np.concatenate([anchors(host, tokens), anchors(host, rest)])
+
+    def suffixes(host: str, tokens: list[str], rest: list[str]) -> np.ndarray:
+        inside = windows(host, tokens)[marked(anchors(host, tokens), shipped.value)]
+        outside = windows(host, rest)[marked(anchors(host, rest), shipped.value)]
+        return np.concatenate([inside, outside | _OUT])
+
+    least, greatest = F.min("page").alias("a"), F.max("page").alias("b")
+    met = _mapped(hosts, lambda part: emitted(part, both_anchors), "key long, page long", 0).groupBy("key").agg(least, greatest)
+    shipped = hosts.sparkSession.sparkContext.broadcast(_marks_of(met.where("a < b")))
+    found = _mapped(hosts, lambda part: emitted(part, suffixes), "key long, page long", 0).groupBy("key")
+    found = found.agg(least, greatest, F.sum("page").alias("s"), F.count(F.lit(1)).alias("n"))
+    over, width = F.col("s") - F.col("n") * F.col("a"), F.when(F.col("a") < F.col("b"), F.col("b") - F.col("a"))
+    third = (over % width != 0) | (over > F.col("n") * width)
+    return found.where((F.col("a") < F.col("b")) & ((F.col("key").bitwiseAND(F.lit(_OUT)) == _OUT) | third)).select("key")
+
+
+def _marks_of(repeated: DataFrame) -> np.ndarray:
+    """A bit for each of ``MARKS`` remainders that a repeated key has: at most 2 MB, whatever the number of keys."""
+    mark = F.pmod(F.shiftrightunsigned("key", 1), F.lit(MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(64)).cast("int"))
+    words = repeated.groupBy(F.shiftright(mark, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64)
+    return marks.view(np.uint64)
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text, n_chars`` per row of ``pages``.
 
     Null html is an empty page; a page without text gives an empty string. Pages with null urls are
     those of the empty host. Copies of a page count as one page, so they do not make each other
-    boilerplate; an undecided page that is repeated as a whole keeps its plain blocks.
+    boilerplate; a page that is repeated as a whole keeps its candidate blocks.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    repeated = written(_repeated(rows.select("host", "html")), "pages-repeated")
+    shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(repeated))
+
+    def split(part: pa.RecordBatch, want: bool):
+        for i, (host, page) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            blocks = Reader(page).blocks if page else []
+            texts, (kept, article) = [b.text for b in blocks], chosen(blocks)
+            keys, at = asked(host, texts, kept, article, shipped.value)
+            if (len(keys) > 0) == want:
+                yield i, texts, kept, article, keys, at
 
     def decided(part: pa.RecordBatch):
-        texts = [read(page)[0] for page in part.column(2).to_pylist()]
-        picked = [i for i, t in enumerate(texts) if t is not None]
-        return picked, [pa.array([texts[i] for i in picked], pa.string())]
+        found = [(i, without_repeats(texts, kept, article, set())) for i, texts, kept, article, _, _ in split(part, False)]
+        return [i for i, _ in found], [pa.array([t for _, t in found], pa.string())]
 
     def undecided(part: pa.RecordBatch):
-        picked, blocks = [], []
-        for i, page in enumerate(part.column(2).to_pylist()):
-            article, found = read(page)
-            if article is None:
-                picked.append(i)
-                blocks.append([{"text": b.text, "chrome": b.chrome} for b in found])
-        kind = pa.list_(pa.struct([("text", pa.string()), ("chrome", pa.bool_())]))
-        return picked, [pa.array(blocks, kind)]
-
-    def suffixes(part: pa.RecordBatch):
-        keys, pages_ = [], []
-        for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            article, blocks = read(page)
-            content = xxhash.xxh64_intdigest(" ".join(b.text for b in blocks)) - (1 << 63)
-            own = set(windows(host, outside(blocks, article is not None)))
-            keys += own
-            pages_ += [content] * len(own)
-        return [], [pa.array(keys, pa.int64()), pa.array(pages_, pa.int64())]
+        found = list(split(part, True))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("kept", pa.bool_())]))
+        blocks = pa.array([[{"text": t, "kept": k} for t, k in zip(texts, kept, strict=True)] for _, texts, kept, *_ in found], kind)
+        asks = pa.array([[{"key": k, "at": a} for k, a in zip(keys.tolist(), at.tolist(), strict=True)] for *_, keys, at in found], pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())])))
+        return [f[0] for f in found], [blocks, pa.array([f[3] for f in found], pa.bool_()), asks]
 
     direct = _mapped(rows, decided, "text string", 2)
-    open_ = written(_mapped(rows, undecided, "blocks array<struct<text:string,chrome:boolean>>", 2).withColumn("place", F.monotonically_increasing_id()), "pages-undecided")
-    hosts = rows.select(host_of(F.col("url")).alias("host"), "html")
-    marks = _mapped(hosts, suffixes, "key long, page long", 0).groupBy("key").agg(F.min("page").alias("a"), F.max("page").alias("b"))
-    repeated = written(marks.where("a < b").select("key"), "pages-repeated")
-
-    def placed(part: pa.RecordBatch):
-        picked, keys, at = [], [], []
-        for i, (host, blocks) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-            for place, key in enumerate(windows(host, [t for b in blocks for t in b["text"].split()])):
-                picked.append(i)
-                keys.append(key)
-                at.append(place)
-        return picked, [pa.array(keys, pa.int64()), pa.array(at, pa.int32())]
-
-    own = _mapped(open_.select("place", host_of(F.col("url")).alias("host"), "blocks"), placed, "key long, at int", 1)
-    covered = own.join(repeated, "key", "left_semi").groupBy("place").agg(F.collect_list("at").alias("covered"))  # at most a page's length
+    kinds = "blocks array<struct<text:string,kept:boolean>>, article boolean, asks array<struct<key:long,at:int>>"
+    open_ = written(_mapped(rows, undecided, kinds, 2).withColumn("place", F.monotonically_increasing_id()), "pages-undecided")
+    own = open_.select("place", F.inline("asks"))
+    covered = own.join(repeated, "key", "left_semi").groupBy("place").agg(F.collect_set("at").alias("covered"))  # at most a page's length
 
     def resolved(part: pa.RecordBatch):
         texts = [
-            without_repeats([(b["text"], b["chrome"]) for b in blocks], set(hits or ()))
-            for blocks, hits in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+            without_repeats([b["text"] for b in blocks], [b["kept"] for b in blocks], article, set(hits or ()))
+            for blocks, article, hits in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
         ]
         return list(range(part.num_rows)), [pa.array(texts, pa.string())]
 
-    rest = open_.join(covered, "place", "left").select("id", "url", "blocks", "covered")
+    rest = open_.select("id", "url", "blocks", "article", "place").join(covered, "place", "left").select("id", "url", "blocks", "article", "covered")
     both = direct.unionByName(_mapped(rest, resolved, "text string", 2))
     return both.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
