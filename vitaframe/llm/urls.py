@@ -1,7 +1,8 @@
 """URL filter: rules first, gradient-boosted trees on lexical features for the rest. Built-in functions only.
 
-The trees learn from the urls that rules judge: at most ``TRAIN_ROWS`` distinct ones, chosen by a hash of
-the url. Suffix statistics (how many urls a suffix has, and the share of blocked ones among the judged)
+The trees learn from the urls that rules judge: about ``TRAIN_ROWS`` distinct ones at most, chosen by a hash
+of the url, half of them of each verdict (more where the other has fewer) and weighted back to the shares
+that the verdicts have, so a rare verdict is learned at every size. Suffix statistics (how many urls a suffix has, and the share of blocked ones among the judged)
 cover all rows; they are summed in the map tasks, and a suffix with a third of all urls is one row each.
 """
 
@@ -108,14 +109,18 @@ def train(rows: DataFrame, suffixes: DataFrame, train_rows: int = TRAIN_ROWS) ->
     seen = known.groupBy("judged.verdict").agg(F.count(F.lit(1)).alias("n")).collect()  # two verdicts at most
     if len(seen) < 2:
         return None, seen[0]["verdict"] if seen else "allow"
-    share = min(1.0, train_rows / sum(r.n for r in seen))
-    sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)).join(suffixes, "suffix")
-    sample = written(sample.withColumn("label", (F.col("judged.verdict") == "block").cast("double")).drop("url", "host", "path", "judged"), "url-sample")
+    total, shares = sum(r.n for r in seen), F.lit(None).cast("double")
+    for r in seen:
+        quota = max(train_rows / 2, train_rows - (total - r.n))
+        shares = F.when(F.col("judged.verdict") == r.verdict, min(1.0, quota / r.n)).otherwise(shares)
+    drawn = known.withColumn("share", shares).where(F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < F.col("share") * (1 << 40)).join(suffixes, "suffix")
+    labelled = drawn.withColumn("label", (F.col("judged.verdict") == "block").cast("double")).withColumn("weight", 1 / F.col("share"))
+    sample = written(labelled.drop("url", "host", "path", "judged", "share"), "url-sample")
     if sample.select("label").distinct().count() < 2:
-        return None, "allow"
+        return None, max(seen, key=lambda r: (r.n, r.verdict))["verdict"]
     inputs = [c for c in sample.columns if c.startswith(("x_", "suffix_"))]
     packed = VectorAssembler(inputCols=inputs, outputCol="features")
-    trees = GBTClassifier(maxIter=10, maxDepth=4, seed=SEED).fit(packed.transform(sample))
+    trees = GBTClassifier(maxIter=10, maxDepth=4, seed=SEED, weightCol="weight").fit(packed.transform(sample))
     return PipelineModel([packed, trees]), ""
 
 
