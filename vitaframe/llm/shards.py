@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaframe.llm import extendible
-from vitaframe.llm.common import written
+from vitaframe.llm.common import packed, written
 
 
 def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,15 +17,9 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     Rows that repeat an id (null ids too) are hashed by their place in the table as well, so they
     spread like others. Null text has 0 bytes. Only ids, sizes and hashes are shuffled.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("weight"))
+    sized = docs.select(F.col(id_col).alias("id"), _bytes_of(F.col(text_col)).alias("weight"))
     sized = written(sized.withColumn("place", F.monotonically_increasing_id()), "shard-sizes")
-    repeated = sized.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again"), F.lit(True).alias("salted"))
-    marked = sized.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left")
-    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    key = F.when(F.col("salted"), F.concat(name, F.lit("#"), F.col("place").cast("string"))).otherwise(name)
-    hashed = written(marked.select("id", "weight", extendible.md5_hash(key).alias("h")), "shard-hashes")
-    found = extendible.assign(hashed, limit)
-    return found.select(
+    return _assigned(sized, limit).select(
         "id",
         F.col("weight").alias("n_bytes"),
         extendible.bucket_name(F.col("depth"), F.col("number")).alias("shard"),
@@ -35,8 +29,25 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _bytes_of(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def _assigned(sized: DataFrame, limit: int) -> DataFrame:
+    """The bucket of every ``id, weight, place``, a written table."""
+    repeated = sized.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again"), F.lit(True).alias("salted"))
+    marked = sized.join(repeated, F.col("id").eqNullSafe(F.col("again")), "left")
+    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    key = F.when(F.col("salted"), F.concat(name, F.lit("#"), F.col("place").cast("string"))).otherwise(name)
+    hashed = written(marked.select("id", "place", "weight", extendible.md5_hash(key).alias("h")), "shard-hashes")
+    return extendible.assign(hashed, limit)
+
+
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows, a folder per shard. Ids must be unique and not null."""
-    found = shards(docs, limit, id_col, text_col).select(F.col("id").alias("_shard_id"), F.col("shard").alias("_shard"))
-    placed = docs.join(found, F.col(f"`{id_col}`") == F.col("_shard_id")).drop("_shard_id")
+    """Write whole rows, a folder per shard, each row of ``docs`` once. Rows meet their shard by their place in the table."""
+    keyed = packed(docs, id=F.col(f"`{id_col}`"), weight=_bytes_of(F.col(f"`{text_col}`")))
+    rows = written(keyed.withColumn("place", F.monotonically_increasing_id()), "shard-rows")
+    found = _assigned(rows.select("id", "weight", "place"), limit)
+    found = found.select("place", extendible.bucket_name(F.col("depth"), F.col("number")).alias("_shard"))
+    placed = rows.join(found, "place").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_shard")
     placed.repartition("_shard").write.mode("overwrite").partitionBy("_shard").parquet(path)
