@@ -1,8 +1,9 @@
 """Language of a text: words by log frequency per language, unseen words by ever shorter character n-grams.
 
 The model is fitted on a bounded sample of labelled rows: at most about ``ROWS_PER_LANGUAGE`` documents
-of each language, chosen by a hash of the id and taken whole. It keeps the ``MAX_WORDS`` most frequent
-words and ``MAX_GRAMS`` n-grams, so what is broadcast is bounded however large the corpus is. Every
+of each language, chosen by a hash of the id and taken whole. Of each language it keeps the ``MAX_WORDS`` most
+frequent words and, of each length, its share of ``MAX_GRAMS`` n-grams, so no language and no length takes
+the places of another, and what is broadcast is bounded by the number of languages however large the corpus is. Every
 whole text is then judged row by row, where it lies.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaframe.llm.common import packed, written
@@ -174,16 +175,19 @@ def train(
     )
     exploded = counted.select("lang", "n", F.explode(pieces).alias("token"))
     gram_counts = exploded.groupBy("lang", "token").agg(F.sum("n").alias("n")).withColumn("length", F.length("token"))
-    order = [F.desc("n"), F.asc("lang"), F.asc("token")]
-    top_words = counted.orderBy(*order).limit(max_words).toPandas()
-    top_grams = gram_counts.orderBy(*order).limit(max_grams).toPandas()
-    languages = sorted(set(top_words.lang))
-    return Model.of_counts(languages, top_words, top_grams[top_grams.lang.isin(languages)])
+    def top(table: DataFrame, n: int, *of: str) -> pd.DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("n"), F.asc("token")))
+        return table.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank").toPandas()
+
+    top_words = top(counted, max_words, "lang")
+    top_grams = top(gram_counts, max(1, max_grams // LONGEST), "lang", "length")
+    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    return Model.of_counts(languages, top_words, top_grams)
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``_row`` (the whole row of ``docs``), ``lang_pred`` and ``score``, from the text alone."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams a language
     judges: list[Judge] = []
 
     @F.pandas_udf("lang_pred string, score double")
