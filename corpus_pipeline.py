@@ -15,7 +15,7 @@ from vitaframe.sources.tables import table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Null texts and texts without a letter go; a short text of doubtful language is no reason to drop it."""
+    """Texts that no learned language has, null texts and texts without a letter go; a short text of doubtful language stays."""
     return langid.of_known_language(docs, langid.train(docs))
 
 

@@ -1,3 +1,5 @@
+import random
+
 from vitaframe.llm import langid
 
 
@@ -17,3 +19,16 @@ def test_large_languages_do_not_push_small_ones_out(spark):
     assert all(any(r[1] > r[0] for r in table.values()) for table in model.grams)  # every length has n-grams of the small one
     got = {r._row.text: r.lang_pred for r in langid.with_language(docs_of(spark, [("zozuzo", "?"), ("kk kabcd", "?")]), model).collect()}
     assert got == {"zozuzo": "zz", "kk kabcd": "aa"}
+
+
+def test_junk_goes_and_nothing_is_lost_without_labels(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng = random.Random(5)
+    noise = lambda signs: " ".join("".join(rng.choice(signs) for _ in range(rng.randint(6, 12))) for _ in range(60))
+    junk = [noise("abcdefghijklmnopqrstuvwxyz"), noise("qxzjkvwbfg"), noise("abcdef0123456789"), noise("абвгдежзиклмноп")]
+    clean = [r.text for r in docs.where("length(text) > 200").limit(5).collect()]
+    df = docs_of(spark, [(t, None) for t in [*junk, *clean, "zqx jkw", None, "12 !"]])
+    kept = [r.doc_id for r in langid.of_known_language(df, langid.train(docs)).collect()]
+    assert sorted(kept) == [4, 5, 6, 7, 8, 9]
+    unlabelled = langid.of_known_language(df, langid.train(df))
+    assert sorted(r.doc_id for r in unlabelled.collect()) == list(range(10))

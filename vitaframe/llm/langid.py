@@ -27,6 +27,11 @@ MAX_WORDS = 100_000
 MAX_GRAMS = 100_000
 LONGEST = 5
 UNKNOWN = "und"
+#: Length of the n-grams that show if a word can belong to a learned language.
+EVIDENT = 3
+#: Share of these that a text in a learned language has at least, and words from which a text is long enough to tell.
+LEAST_EVIDENCE = 0.5
+FEW_WORDS = 10
 
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -86,6 +91,13 @@ class Model:
                 return sum(found[1:], found[0]) / len(found)
         return np.zeros(len(self.languages))
 
+    def evidence(self, word: str) -> float:
+        """1 for a known word, else the share of its ``EVIDENT``-grams that are known."""
+        if word in self.words:
+            return 1.0
+        own = grams(word, EVIDENT)
+        return sum(g in self.grams[EVIDENT - 1] for g in own) / len(own)
+
 
 class Judge:
     """A model with a memory for words that were worked out before."""
@@ -95,25 +107,31 @@ class Judge:
     def __init__(self, model: Model):
         self.model = model
         self.fixed = len(model.words)
-        self.table = np.zeros((self.fixed + self.SPARE, len(model.languages)))
+        self.table = np.zeros((self.fixed + self.SPARE, len(model.languages) + 1))  # the last column is evidence
         self.base = {w: i for i, w in enumerate(model.words)}
         for w, i in self.base.items():
-            self.table[i] = model.words[w]
+            self.table[i, :-1] = model.words[w]
+        self.table[: self.fixed, -1] = 1.0
         self.memory: dict[str, int] = {}
 
     def row_of(self, word: str) -> int:
         if len(self.memory) == self.SPARE:
             self.memory.clear()
         at = self.memory[word] = self.fixed + len(self.memory)
-        self.table[at] = self.model.of_word(word)
+        self.table[at, :-1] = self.model.of_word(word)
+        self.table[at, -1] = self.model.evidence(word)
         return at
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the probability; ``und`` and 0 for null and for texts without a letter."""
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its share of the probability, and the evidence that the text is in a learned language at all.
+
+        ``und`` and 0 for null and for texts without a letter; ``und``, 0 and evidence 1 if no language was
+        learned. Texts of fewer than ``FEW_WORDS`` words have evidence 1.
+        """
         counts = words(text) if text else None
         if not counts or not self.model.languages:
-            return UNKNOWN, 0.0
-        totals = np.zeros(len(self.model.languages))
+            return UNKNOWN, 0.0, 1.0 if counts else 0.0
+        sums = np.zeros(len(self.model.languages) + 1)
         items = list(counts.items())
         for start in range(0, len(items), self.SPARE // 4):
             part = items[start : start + self.SPARE // 4]
@@ -126,9 +144,11 @@ class Judge:
                 if at is None:
                     at = memory.get(word)
                 rows.append(self.row_of(word) if at is None else at)
-            totals += np.array([n for _, n in part], dtype=float) @ self.table[rows]
+            sums += np.array([n for _, n in part], dtype=float) @ self.table[rows]
+        n_words, totals = sum(counts.values()), sums[:-1]
+        evidence = 1.0 if n_words < FEW_WORDS else float(sums[-1] / n_words)
         best = int(np.argmax(totals))  # languages are in code-point order: the first of equals
-        return self.model.languages[best], float(1.0 / np.exp(totals - totals[best]).sum())
+        return self.model.languages[best], float(1.0 / np.exp(totals - totals[best]).sum()), evidence
 
 
 def held_out(id_col: Column) -> Column:
@@ -186,22 +206,27 @@ def train(
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``_row`` (the whole row of ``docs``), ``lang_pred`` and ``score``, from the text alone."""
+    """``_row`` (the whole row of ``docs``), ``lang_pred``, ``score`` and ``evidence``, from the text alone."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams a language
     judges: list[Judge] = []
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, evidence double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if not judges:
             judges.append(Judge(shipped.value))
         for texts in batches:
-            yield pd.DataFrame([judges[0].judge(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([judges[0].judge(t) for t in texts], columns=["lang_pred", "score", "evidence"])
 
     rows = packed(docs, _text=F.col(f"`{text_col}`")).withColumn("_j", judged.asNondeterministic()("_text"))
-    return rows.select("_row", "_j.lang_pred", "_j.score")
+    return rows.select("_row", "_j.lang_pred", "_j.score", "_j.evidence")
+
 
+def of_known_language(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text", least_evidence: float = LEAST_EVIDENCE) -> DataFrame:
+    """The rows of ``docs`` whose text can be in a learned language (null text and texts without a letter go).
 
-def of_known_language(docs: DataFrame, model: Model, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language (null text and texts without a letter have none) at ``least`` this score."""
-    kept = with_language(docs, model, text_col).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    Texts of ``FEW_WORDS`` words or more go if their evidence is below ``least_evidence``: words and n-grams that
+    no learned language has. ``least`` is for the score. All texts with a letter stay if no language was learned.
+    """
+    judged = with_language(docs, model, text_col)
+    kept = judged.where((F.col("evidence") >= least_evidence) & (F.col("evidence") > 0) & ((F.col("lang_pred") == UNKNOWN) | (F.col("score") >= least)))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
