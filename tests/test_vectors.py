@@ -60,3 +60,15 @@ def test_stored_index_gives_the_same(spark, embeddings, tmp_path):
     index.write(str(tmp_path / "index"))
     stored = spark.read.parquet(str(tmp_path / "index"))
     assert found(index.search(queries, 3, 2, index=stored)) == found(index.search(queries, 3, 2))
+
+
+def test_recall_at_the_registered_setting_and_refused_vectors(spark, embeddings, data):
+    from vitaframe.queries import QUERIES
+
+    got = QUERIES["recall_of_half_the_lists"](spark, data).first()
+    asked = embeddings.where("vec_id % 50 = 0").count()
+    assert got.expected == asked * 5 and got.recall == round(got.found / got.expected, 4)
+    rows = QUERIES["nearest_by_inverted_lists"](spark, data)
+    assert {r.query_id for r in rows.collect()} == {r.vec_id for r in embeddings.where("vec_id % 50 = 0").collect()}
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0]), (4, None), (5, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    assert {(r.vec_id, r.length, r.reason) for r in E.refused(odd).collect()} == {(2, 2, "zero"), (3, 1, "length"), (4, None, "null")}

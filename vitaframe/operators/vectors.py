@@ -191,6 +191,16 @@ class InvertedLists:
         return _top(out, k)
 
 
+def refused(df: DataFrame, dim: int | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``id, length, reason`` of the vectors that a search of length ``dim`` (by default the most frequent) leaves out."""
+    length = F.when(F.col(vector).isNotNull(), F.size(vector))
+    if dim is None:
+        most = df.where(F.col(vector).isNotNull()).groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dim = most.n if most else 0
+    reason = F.when(F.col(vector).isNull(), "null").when(length != dim, "length").when(unit(F.col(vector)).isNull(), "zero")
+    return df.select(F.col(id_col), length.alias("length"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact neighbours that were found, over all queries."""
     hits = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")

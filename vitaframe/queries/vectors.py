@@ -1,4 +1,4 @@
-"""Queries over embeddings: nearest vectors of every label's mean, exact and by inverted lists."""
+"""Queries over embeddings: nearest vectors of every label's mean and of every 50th row, exact and by inverted lists."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from vitaframe.queries.base import register
 from vitaframe.sources.tables import table
 
 _K = 5
+_LISTS, _PROBED = 16, 8
 _MEANS = (
     "dims AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), "
     "m AS (SELECT label, list(a ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS a FROM dims GROUP BY 1, 2) GROUP BY 1)"
@@ -31,12 +32,42 @@ def nearest_to_label_means(spark, folder):
     return E.nearest(table(spark, folder, "embeddings"), _queries(spark, folder), _K)
 
 
+def _rows_asked(spark, folder):
+    """One query per row whose id is divisible by 50."""
+    return table(spark, folder, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@register(
+    "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity "
+    "FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) "
+    f"SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= {_K}"
+)
+def nearest_to_rows(spark, folder):
+    """Exact nearest vectors of every 50th row over the whole table."""
+    return E.nearest(table(spark, folder, "embeddings"), _rows_asked(spark, folder), _K)
+
+
 @register()
 def nearest_by_inverted_lists(spark, folder):
-    """The same by inverted lists, reading half of them."""
+    """Nearest vectors of every 50th row by inverted lists, reading half of them."""
     vectors = table(spark, folder, "embeddings")
-    index = E.InvertedLists.build(vectors, lists=16)
-    return index.search(_queries(spark, folder), _K, nprobe=8)
+    index = E.InvertedLists.build(vectors, lists=_LISTS)
+    return index.search(_rows_asked(spark, folder), _K, nprobe=_PROBED)
+
+
+@register()
+def recall_of_half_the_lists(spark, folder):
+    """Share of the exact neighbours of every 50th row that ``nearest_by_inverted_lists`` finds."""
+    vectors, queries = table(spark, folder, "embeddings"), _rows_asked(spark, folder)
+    found = E.InvertedLists.build(vectors, lists=_LISTS).search(queries, _K, nprobe=_PROBED)
+    return E.recall(found, E.nearest(vectors, queries, _K))
+
+
+@register()
+def refused_vectors(spark, folder):
+    """Vectors that no search over the table's most frequent length compares."""
+    return E.refused(table(spark, folder, "embeddings"))
 
 
 @register(
