@@ -1,4 +1,4 @@
-"""Exact duplicates: an extendible-hash index of texts on shared files.
+"""Exact duplicates: Spark's aggregation finds them; an extendible-hash index of its result is kept on shared files.
 
 1. Every row gets the 64-bit key of its normalised text (A-Z in lower case, null as empty). The
    keys are written, and a directory is built from their counts: it doubles until no bucket holds
