@@ -6,7 +6,7 @@ import os
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,3 +47,17 @@ def packed(df: DataFrame, **keys: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` as a written table with ``_rank``, the place from 0 in ``order``.
+
+    A range shuffle sorts; places are those inside the sorted partitions plus the rows of the
+    partitions before, so no task sees more than its share however the keys are spread.
+    """
+    ordered = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row per sorted partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    return ordered.withColumn("_part", part).join(offsets, "_part").withColumn("_rank", F.col("_before") + place).drop("_part", "_before", "_at")

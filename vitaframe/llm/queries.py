@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm import bpe, chat, exact, html, langid, lattice, mixing, shards, simhash, urls
+from vitaframe.llm import bpe, chat, exact, html, langid, lattice, merkle, mixing, shards, simhash, urls
+from vitaframe.llm.common import ascii_lower
 from vitaframe.sources.tables import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -155,3 +156,61 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = langid.with_language(docs.select("doc_id", "text"), langid.train(docs))
     doc_id = F.col("_row.doc_id")
     return judged.select(doc_id.alias("doc_id"), langid.held_out(doc_id).alias("held_out"), "lang_pred", "score")
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)".format(text)
+    bits = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: {bits}), 4294967295)"
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query(f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS claim
+  FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS part
+  FROM d
+), low AS (
+  SELECT part, 0 AS height, place, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT part, height + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY part, height, place // 8, n
+), top AS (
+  SELECT part AS place, 0 AS height, digest, (SELECT count(DISTINCT part) FROM l) AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT place // 8, height + 1, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY height, place // 8, n
+), nodes AS (
+  SELECT part, height, place, digest, n FROM low WHERE n > 1 UNION ALL SELECT -1, height, place, digest, n FROM top WHERE n > 1
+), kin AS (
+  SELECT part, height, place,
+         coalesce(string_agg(digest, '' ORDER BY place) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(digest, '' ORDER BY place) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WINDOW run AS (PARTITION BY part, height, place // 8 ORDER BY place)
+), climb AS (
+  SELECT doc_id, leaf, part, part AS at, 0 AS height, place, n, claim AS h, '' AS proof, 0 AS step FROM l
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.part, CASE WHEN c.n = 1 THEN -1 ELSE c.at END, CASE WHEN c.n = 1 THEN 0 ELSE c.height + 1 END, CASE WHEN c.n = 1 THEN c.part ELSE c.place // 8 END,
+         CASE WHEN c.n = 1 THEN (SELECT count(DISTINCT part) FROM l) ELSE (c.n + 7) // 8 END,
+         CASE WHEN c.n = 1 THEN c.h ELSE sha256(k.l || c.h || k.r) END, CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || k.l || k.r END, step + 1
+  FROM climb c LEFT JOIN kin k ON k.part = c.at AND k.height = c.height AND k.place = c.place WHERE c.n > 1 OR c.at >= 0
+)
+SELECT doc_id, leaf, s.digest AS subroot, t.digest AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = t.digest AS verified
+FROM climb c JOIN low s ON s.n = 1 AND s.part = c.part JOIN top t ON t.n = 1 WHERE c.at = -1 AND c.n = 1
+""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document checked against the manifest, a third of them after tampering."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.when(text.isNotNull(), ascii_lower(text))).otherwise(text)
+    return merkle.checked(docs, now={"text": tampered}).withColumnRenamed("id", "doc_id")
