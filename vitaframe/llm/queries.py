@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm import bpe, chat, exact, html, langid, lattice, merkle, mixing, shards, simhash, urls
+from vitaframe.llm import bpe, chat, exact, html, langid, lattice, merkle, mixing, shards, simhash, turns, urls
 from vitaframe.llm.common import ascii_lower
 from vitaframe.sources.tables import table
 
@@ -214,3 +214,101 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.when(text.isNotNull(), ascii_lower(text))).otherwise(text)
     return merkle.checked(docs, now={"text": tampered}).withColumnRenamed("id", "doc_id")
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with planted faults, by a hash of conversation and turn: dropped, emptied, cut off, repeated, user."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), fault.alias("fault")).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy"))
+
+
+# SQL parses from left to right: states are 1 start, 2 after system, 3 after user, 4 after assistant, and q[state] is
+# the cheapest (cost, audit) that leads there, null where none does.
+def _cell(*options: str) -> str:
+    return f"list_min(list_filter([{', '.join(options)}], lambda c: c IS NOT NULL))"
+
+
+def _plus(state: int, cost: str, letter: str, when: str = "TRUE") -> str:
+    return f"CASE WHEN q[{state}] IS NOT NULL AND ({when}) THEN {{'cost': q[{state}].cost + {cost}, 'audit': q[{state}].audit || '{letter}'}} END"
+
+
+def _edit_or(state: int, before: list[tuple[int, str]], may: str) -> str:
+    """A state's cell after a row: the row deleted, or kept or given another role on a move into the state."""
+    options = [_plus(state, "4", "D")]
+    for p, initial in before:
+        options.append(_plus(p, "extra", "K", f"{may} AND initial = '{initial}'"))
+        if initial != "s":
+            options.append(_plus(p, "extra + 3", "R", f"{may} AND initial <> '{initial}'"))
+    return _cell(*options)
+
+
+def _inserted(state: int, before: list[int]) -> str:
+    return _cell(f"q[{state}]", *[_plus(p, "3", "I") for p in before])
+
+
+_AFTER_ROW = "[" + ", ".join(_edit_or(k, b, "fault NOT IN ('b', 'd')") for k, b in ((1, []), (2, [(1, "s")]), (3, [(1, "u"), (2, "u"), (4, "u")]), (4, [(3, "a")]))) + "]"
+_AFTER_INSERTION = "[q[1], q[2], " + _inserted(3, [1, 2, 4]) + ", " + _inserted(4, [3]) + "]"
+
+
+@query(rf"""
+WITH RECURSIVE planted AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f
+  FROM conversations
+), rows AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM planted, range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM rows
+), timed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS time FROM placed
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN time > 1 THEN 'd'
+                 WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS fault,
+         substr(role, 1, 1) AS initial, lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS following
+  FROM timed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), steps AS (  -- one step for a row, then three for insertions, which lead from any state to any later one
+  SELECT conv_id, place, k, initial, fault, CASE fault WHEN 't' THEN 3 ELSE 0 END AS extra, 4 * place + k AS step FROM judged, range(4) t(k)
+  UNION ALL SELECT conv_id, 0, k, '', '', 0, k FROM counts, range(1, 4) t(k)
+), best AS (
+  SELECT conv_id, 0 AS step, [{{'cost': 0, 'audit': ''}}, NULL, NULL, NULL] AS q FROM counts
+  UNION ALL
+  SELECT b.conv_id, b.step + 1, CASE WHEN s.k = 0 THEN {_AFTER_ROW} ELSE {_AFTER_INSERTION} END
+  FROM best b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.step = b.step + 1
+), least AS (
+  SELECT b.conv_id, {_cell("q[1]", "q[4]")} AS c FROM best b JOIN counts c ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND step = 4 * n + 3
+), letters AS (
+  SELECT conv_id, k, c.audit[k] AS letter, count(*) FILTER (c.audit[k] <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS place
+  FROM least, range(1, len(c.audit) + 1) t(k)
+), kept AS (
+  SELECT l.conv_id, k, letter, role, text, row_number() OVER (PARTITION BY l.conv_id ORDER BY k) AS i,
+         first_value(letter = 'K' AND role LIKE 's%') OVER (PARTITION BY l.conv_id ORDER BY k) AS system
+  FROM letters l LEFT JOIN judged j ON l.conv_id IS NOT DISTINCT FROM j.conv_id AND l.place = j.place AND letter <> 'I' WHERE letter <> 'D'
+), said AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role || ':' || text WHEN (i - system::INT) % 2 = 1 THEN 'user:' || coalesce(text, '') ELSE 'assistant:' || coalesce(text, '') END, chr(10) ORDER BY k) AS said
+  FROM kept GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(c.cost, 0)::BIGINT AS cost, coalesce(c.audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN least ON o.conv_id IS NOT DISTINCT FROM least.conv_id LEFT JOIN said ON o.conv_id IS NOT DISTINCT FROM said.conv_id
+""")
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired after planted damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    found = turns.repaired(damaged(conversations)).withColumnRenamed("conv", "_conv")
+    every = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
