@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaframe.llm import bpe, chat, exact, html, langid, lattice, merkle, mixing, shards, simhash, turns, urls
+from vitaframe.llm import bpe, chat, exact, html, langid, lattice, merkle, mixing, repeats, shards, simhash, turns, urls
 from vitaframe.llm.common import ascii_lower
 from vitaframe.sources.tables import table
 
@@ -312,3 +312,11 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(
         "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     )
+
+
+@query()
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that occur twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.without_repeats(docs)
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
