@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -28,6 +29,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 PIECE = 1 << 16
 CALL = 1 << 19
 
+#: Fixed value: the pattern that the rank files are made for; each match is encoded by itself.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Matches whose ids are remembered, and the longest of them.
+KNOWN = 300_000
+LONGEST = 64
+
+_MATCH = regex.compile(PATTERN)
 _CUT = re.compile(r"(?<=\w)[ \n]")
 
 
@@ -74,6 +82,10 @@ class ByteBpe:
                 merges.append((name[halves[0]], name[halves[1]]))
         self.tokenizer = Tokenizer(models.BPE({name[t]: r for t, r in ranks.items()}, merges, cache_capacity=200_000))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
+        self.by_match = Tokenizer(self.tokenizer.model)
+        self.by_match.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
+        self.ids_of: dict[str, str] = {}
+        self.bytes_of: dict[str, bytes] = {}
         back = {char: byte for byte, char in enumerate(table)}
         self.bytes = {i: bytes(back[c] for c in t) for t, i in self.tokenizer.get_vocab().items()}
 
@@ -108,6 +120,60 @@ class ByteBpe:
         if texts:
             yield ids, spans
 
+    def _learn(self, wanted: list[str]) -> None:
+        """Ids as decimal text, joined by commas, and decoded bytes of whole matches of the pattern."""
+        encoded = self.by_match.encode(wanted, is_pretokenized=True, add_special_tokens=False)
+        ids, owners = encoded.ids, encoded.word_ids
+        texts, values = list(map(str, ids)), list(map(self.bytes.__getitem__, ids))
+        borders = [*(i for i, owner in enumerate(owners) if not i or owner != owners[i - 1]), len(ids)]
+        for match, a, b in zip(wanted, borders[:-1], borders[1:], strict=True):
+            self.ids_of[match] = ",".join(texts[a:b])
+            self.bytes_of[match] = b"".join(values[a:b])
+
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, SHA-256 of the ids joined by commas and of the decoded bytes, of each text in order.
+
+        A match that came before is not encoded again. What is remembered is bounded, and long texts are
+        worked on piece by piece.
+        """
+        waiting: list[tuple[int, list[str]]] = []
+        size = done = n = 0
+        ids_sha, raw_sha = hashlib.sha256(), hashlib.sha256()
+
+        def flush() -> Iterator[tuple[int, str, str]]:
+            nonlocal done, n, ids_sha, raw_sha
+            all_matches = set().union(*[matches for _, matches in waiting])
+            lacking = [m for m in all_matches if m not in self.ids_of]
+            if len(self.ids_of) + len(lacking) > KNOWN:
+                self.ids_of.clear()
+                self.bytes_of.clear()
+                lacking = list(all_matches)
+            if lacking:
+                self._learn(lacking)
+            for owner, matches in waiting:
+                while done < owner:
+                    yield n, ids_sha.hexdigest(), raw_sha.hexdigest()
+                    ids_sha, raw_sha, n, done = hashlib.sha256(), hashlib.sha256(), 0, done + 1
+                if matches:
+                    ids = ",".join(map(self.ids_of.__getitem__, matches))
+                    ids_sha.update(("," + ids if n else ids).encode())
+                    n += ids.count(",") + 1
+                    raw_sha.update(b"".join(map(self.bytes_of.__getitem__, matches)))
+            waiting.clear()
+            for match in [m for m in lacking if len(m) > LONGEST]:
+                del self.ids_of[match], self.bytes_of[match]
+
+        for owner, text in enumerate(texts):
+            for _, piece in _pieces(text):
+                waiting.append((owner, _MATCH.findall(piece)))
+                size += len(piece)
+                if size >= CALL:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+        if texts:
+            yield n, ids_sha.hexdigest(), raw_sha.hexdigest()
+
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids; they need not end at a character's end."""
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -174,22 +240,20 @@ def decode(tokens: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256``: digests of a text's ids and of the bytes they decode to.
 
-    One row per row of ``docs``; null and empty text have no tokens. Tokens do not leave the task.
+    One row per row of ``docs``, also of repeated rows and null ids; null and empty text have no tokens, a text of any
+    length is encoded whole. An empty table stays empty. Tokens do not leave the task.
     """
     rows = _texts(docs, id_col, text_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        decimal = [str(i) for i in range(max(bpe.bytes) + 1)]
         for batch in batches:
-            counts, ids_sha, raw_sha = [], [], []
+            found: list[tuple[int, str, str]] = []
             for start in range(0, batch.num_rows, 256):  # a few texts as Python strings at a time
-                for ids, _ in bpe.encode(batch.column(1).slice(start, 256).to_pylist()):
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    raw_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                found += bpe.round_trips(batch.column(1).slice(start, 256).to_pylist())
+            columns = list(zip(*found, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
+                [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
