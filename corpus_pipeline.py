@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitaframe.llm import bpe, exact, langid, mixing, simhash_wide
+from vitaframe.llm import bpe, exact, langid, mixing, simhash
 from vitaframe.llm.common import written
 from vitaframe.llm.queries import RANKS
 from vitaframe.sources.tables import table
@@ -25,8 +25,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the one with the smallest id stays."""
-    return simhash_wide.one_of_each_similar_group(docs, shingle=5)
+    """Of each group of near-duplicates (fingerprints of three-word shingles, 2 differing bits) the one with the smallest id stays."""
+    return simhash.one_of_each_group(docs, shingle=3)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
