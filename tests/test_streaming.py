@@ -1,3 +1,9 @@
+import glob
+import os
+import random
+from datetime import timedelta
+
+import pytest
 from pyspark.sql import functions as F
 
 from vitaframe.operators.metrics import EVENT_DDL
@@ -54,8 +60,119 @@ def test_latest_status(spark, tmp_path):
     assert got == {"a": "completed", "b": "failed"}
 
 
-def test_window_lengths_are_checked(spark):
-    import pytest
+def rows_by_step(spark, folder, steps, ddl):
+    """One file per step, to be read one after the other."""
+    for i, rows in enumerate(steps):
+        path = f"{folder}/{i}"
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(path)
+        for part in glob.glob(f"{path}/*.parquet"):
+            os.utime(part, (1_700_000_000 + i, 1_700_000_000 + i))
+    schema = spark.read.parquet(f"{folder}/0").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_finished_jobs_leave_the_state_and_come_back(spark, tmp_path):
+    day = 86_400
+    steps = [
+        [(1, "a", "pending", 10), (2, "b", "processing", 20)],
+        [(3, "a", "completed", 30)],
+        [(4, "c", "pending", 3 * day)],  # passes the time that "a" is kept
+        [(5, "d", "pending", 4 * day)],
+        [(6, "a", "processing", 4 * day + 5), (7, "a", "failed", 40)],  # the second is far too late
+        [(8, "d", "completed", 4 * day + 6)],
+    ]
+    df = rows_by_step(spark, f"{tmp_path}/in", steps, "event_id bigint, job_id string, status string, t int")
+    stream = J.current_status(df.withColumn("ts", F.timestamp_seconds("t")), keep=timedelta(days=1))
+    query = J.run_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/ck", mode="update")
+    rows = [max(p.stateOperators[0].numRowsTotal, 0) for p in query.recentProgress if p.stateOperators]
+    assert max(rows) > rows[0] or rows[0] >= 2
+    got = {r.job_id: (r.status, r.updated_at.timestamp()) for r in J.upserted(spark, f"{tmp_path}/out", ["job_id"]).collect()}
+    want = spark.createDataFrame([r for step in steps for r in step if r[0] != 7], "event_id bigint, job_id string, status string, t int")
+    batch = J.current_status(want.withColumn("ts", F.timestamp_seconds("t"))).collect()
+    assert got == {r.job_id: (r.status, r.updated_at.timestamp()) for r in batch}
+
+
+def test_state_of_finished_jobs_does_not_grow(spark, tmp_path):
+    steps = [[(100 * i + k, f"job {i}.{k}", "completed", 1_000_000 + 200_000 * i + k) for k in range(20)] for i in range(5)]
+    df = rows_by_step(spark, f"{tmp_path}/in", steps, "event_id bigint, job_id string, status string, t int")
+    stream = J.current_status(df.withColumn("ts", F.timestamp_seconds("t")), keep=timedelta(days=1))
+    query = J.run_to_parquet(stream, f"{tmp_path}/out", f"{tmp_path}/ck", mode="update")
+    rows = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    per_job = max(rows[:1])  # a value and a timer for each job of the first step
+    assert rows[-1] <= 2 * per_job
+    assert J.upserted(spark, f"{tmp_path}/out", ["job_id"]).count() == 100
+
+
+def kept_by_hand(rows, within):
+    out, last = [], {}
+    for checksum, name, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        if checksum is not None and (checksum not in last or at > last[checksum] + within):
+            out.append((checksum, name, at))
+            last[checksum] = at
+    return sorted(out)
+
+
+def random_uploads(seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "hot", "hot", *"abcdef"]), i, 1_000_000 + rng.randrange(40 * 3600)) for i in range(600)]
+    return rows + [("edge", 1000, 1_000_000), ("edge", 1001, 1_007_200), ("edge", 1002, 1_007_201), ("tie", 1004, 1_000_005), ("tie", 1003, 1_000_005)]
+
+
+def test_first_uploads_in_batch(spark, monkeypatch):
+    from vitaframe.operators import dedupe
+
+    rows = random_uploads(1)
+    df = spark.createDataFrame([*rows, (None, 7, 3), ("x", 8, None)], "checksum string, id bigint, t int").withColumn("ts", F.timestamp_seconds("t"))
+    want = kept_by_hand(rows, 7200)
+    read = lambda: sorted((r.checksum, r.id, int(r.ts.timestamp())) for r in J.first_uploads(df, timedelta(hours=2)).collect())
+    assert read() == want
+    monkeypatch.setattr(dedupe, "CHUNK", 20)  # the hot checksum and some others go bucket by bucket
+    assert read() == want
+    assert J.first_uploads(df.limit(0)).count() == 0
 
+
+def test_first_uploads_in_a_stream(spark, tmp_path):
+    rows = sorted(random_uploads(2), key=lambda r: r[2])
+    rng = random.Random(3)
+    steps = [rows[i : i + 100] for i in range(0, len(rows), 100)]
+    for step in steps:
+        rng.shuffle(step)
+    end = rows[-1][2] + 9000
+    steps.append([("end", 5000, end)])
+    df = rows_by_step(spark, f"{tmp_path}/in", steps, "checksum string, id bigint, t int").withColumn("ts", F.timestamp_seconds("t"))
+    query = J.run_to_parquet(J.first_uploads(df, timedelta(hours=2)), f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = sorted((r.checksum, r.id, int(r.ts.timestamp())) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [r for r in kept_by_hand([*rows, ("end", 5000, end)], 7200) if r[0] != "end"]
+    left = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1]
+    assert left < 10  # periods that are over have left the state
+
+
+def test_open_windows_are_there_and_marked(spark, tmp_path):
+    batch = J.trailing_kpis(write_events(spark, str(tmp_path / "in")), 6)
+    rows = J.live_windows(J.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), 6, True)
+    got = rows.collect()
+    assert sorted(tuple(r)[:-1] for r in got) == sorted(map(tuple, batch.collect()))
+    newest = max(r.window_end for r in got) - timedelta(hours=6)
+    assert {r.window_end for r in got if r.is_open} >= {r.window_end for r in got if r.window_end > newest} and not all(r.is_open for r in got)
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from vitaframe.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session(), "x")
+
+
+def test_window_lengths_are_checked(spark):
     with pytest.raises(ValueError):
         J.tumbling_kpis(spark.createDataFrame([], EVENT_DDL), 5)

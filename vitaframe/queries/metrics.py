@@ -266,14 +266,47 @@ def stream_kpis_trailing_day(spark, folder):
     return _window_out(_run(spark, J.trailing_kpis(_event_stream(spark, folder), 24), "trailing"))
 
 
-@register("SELECT count(*) AS kept, count(DISTINCT checksum) AS checksums FROM (SELECT DISTINCT sha256(text) AS checksum FROM documents)")
+@register(f"WITH {_HOURS_SQL} SELECT {_WINDOW_OUT}, window_end > (SELECT max(ts) FROM me) - INTERVAL 1 HOUR AS is_open FROM k")
+def stream_live_kpis_per_window(spark, folder):
+    """All windows of the stream, those still open marked."""
+    root = shared_dir(spark, "live")
+    return _window_out(J.live_windows(_event_stream(spark, folder), f"{root}/out", f"{root}/checkpoint", 6, False))
+
+
+@register(f"WITH {_TRAILING_SQL} SELECT {_WINDOW_OUT}, window_end > (SELECT max(ts) FROM me) - INTERVAL 1 HOUR AS is_open FROM k")
+def stream_live_kpis_trailing_day(spark, folder):
+    root = shared_dir(spark, "live-day")
+    return _window_out(J.live_windows(_event_stream(spark, folder), f"{root}/out", f"{root}/checkpoint", 24, True))
+
+
+# Every event counts as the upload of a file that its user and value name; a third of them are one file.
+_UPLOAD = "CASE WHEN event_id % 3 = 0 THEN 'file 0' ELSE concat('file ', CAST(user_id AS STRING), '.', CAST(event_id % 4 AS STRING)) END"
+_UPLOADS_SQL = (
+    f"u AS (SELECT sha256({_UPLOAD}) AS checksum, event_id AS id, ts FROM events), "
+    "firsts AS (SELECT checksum, min(ts) AS ts FROM u GROUP BY 1 "
+    "UNION ALL SELECT f.checksum, min(u.ts) FROM firsts f JOIN u ON u.checksum = f.checksum AND u.ts > f.ts + INTERVAL 24 HOUR GROUP BY f.checksum, f.ts), "
+    "kept AS (SELECT f.checksum, min(u.id) AS id, f.ts FROM firsts f JOIN u USING (checksum, ts) GROUP BY 1, 3)"
+)
+
+
+def _uploads(events):
+    return events.select(F.sha2(F.expr(_UPLOAD), 256).alias("checksum"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@register(f"WITH RECURSIVE {_UPLOADS_SQL} SELECT checksum, id, {_stamp_sql('ts')} AS at FROM kept")
+def first_uploads(spark, folder):
+    """Uploads that stay where a file may come again after a day."""
+    return J.first_uploads(_uploads(table(spark, folder, "events"))).select("checksum", "id", _stamp("ts").alias("at"))
+
+
+@register(
+    f"WITH RECURSIVE {_UPLOADS_SQL} SELECT checksum, id, {_stamp_sql('ts')} AS at FROM kept "
+    "WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) FROM u) - 3600000"
+)
 def stream_first_uploads(spark, folder):
-    """Copies of a document are dropped as they stream in (all within one day)."""
-    schema = table(spark, folder, "documents").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
-    uploads = raw.select("doc_id", F.sha2("text", 256).alias("checksum"), F.lit(AS_OF).cast("timestamp").alias("ts"))
-    kept = _run(spark, J.first_uploads(uploads), "uploads")
-    return kept.agg(F.count("*").alias("kept"), F.countDistinct("checksum").alias("checksums"))
+    """The same as the uploads stream in: those that the watermark has passed."""
+    raw = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return _run(spark, J.first_uploads(_uploads(raw)), "uploads").select("checksum", "id", _stamp("ts").alias("at"))
 
 
 @register(redact_sql("conversations", "conv_id, turn, role") + " SELECT conv_id, turn, role, redacted AS text, true AS _pii_redacted FROM done")
