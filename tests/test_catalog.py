@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitaframe.operators import catalog as C
@@ -8,7 +9,7 @@ def test_numbering_of_a_hot_group(spark):
     rows = spark.range(3000).selectExpr(
         "id", "IF(id % 10 = 0, concat('k', id), 'hot') AS k", "timestamp_seconds(id * 5000) AS ts"
     )
-    got = C.numbered(rows, ["k"], "ts", "id", chunk="day").where("k = 'hot'").orderBy("ts").collect()
+    got = C.numbered(rows, ["k"], "ts", "id").where("k = 'hot'").orderBy("ts").collect()
     assert [r.version for r in got] == list(range(1, 2701))
 
 
@@ -51,3 +52,12 @@ def test_retention_by_age_and_size(spark):
     a = a.withColumn("created_at", F.to_timestamp("d"))
     kept = C.retained(a, F.to_timestamp(F.lit("2024-02-01")), max_age_days=90, max_bytes=50)
     assert [r.id for r in kept.collect()] == [1]
+
+
+def test_one_group_at_one_time_is_spread(spark):
+    rows = spark.range(20_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("u")).alias("user"), F.lit("t").alias("title"), F.lit("2024-01-01").cast("timestamp").alias("ts")
+    )
+    got = C.numbered(rows, ["user", "title"], "ts", "id")
+    want = rows.withColumn("version", F.row_number().over(Window.partitionBy("user", "title").orderBy("ts", "id")).cast("long"))
+    assert got.exceptAll(want).isEmpty() and got.count() == 20_000

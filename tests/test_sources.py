@@ -3,6 +3,7 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitaframe.functions import crypto
@@ -45,6 +46,72 @@ def test_ingest_store_and_record(spark, tmp_path):
     assert linked.count() == 4
 
 
+def test_a_run_may_be_repeated_or_end_between_two_tables(spark, tmp_path, monkeypatch):
+    for name, data in {"a.pdf": b"one", "b.docx": b"two"}.items():
+        put(tmp_path / "in" / name, data)
+    listing = S.list_files(spark, str(tmp_path / "in"))
+    owner = spark.createDataFrame([("admin", "admin@x.local")], "id string, email string")
+    root = str(tmp_path / "cat")
+    names = ("artifacts", "resumes", "users")
+    rows = lambda: {t: sorted(map(str, S.catalog_table(spark, root, t).collect())) for t in names}
+
+    def run(day):
+        at = S.started_at(spark, root, "r1", F.lit(f"2024-02-{day} 10:00:00").cast("timestamp"))
+        accepted = S.accepted_uploads(listing, "r1", at, "admin")
+        S.store_content(accepted, root)
+        S.record_uploads(spark, accepted, root, owner)
+
+    whole = S.replace_runs
+
+    def ends_early(frame, path, *by):
+        if path.endswith("/users"):
+            raise OSError("the driver is lost")
+        whole(frame, path, *by)
+
+    monkeypatch.setattr(S, "replace_runs", ends_early)
+    with pytest.raises(OSError):
+        run(10)
+    assert S.read_or_none(spark, f"{root}/runs") is None  # nothing to be seen yet
+    monkeypatch.setattr(S, "replace_runs", whole)
+    run(11)
+    first = rows()
+    assert [len(first[t]) for t in names] == [2, 2, 1] and all("10, 10, 0" in r for r in first["artifacts"])
+    run(29)
+    assert rows() == first and spark.read.parquet(f"{root}/original").count() == 2
+    other = S.accepted_uploads(listing, "r2", F.lit("2024-03-01").cast("timestamp"), "admin")
+    S.record_uploads(spark, other, root, owner)
+    assert [len(v) for v in rows().values()] == [4, 4, 1]
+    S.record_uploads(spark, other.limit(0), root, owner)
+    assert [len(v) for v in rows().values()] == [4, 4, 1]
+
+
+def test_event_batches_are_recorded_once(spark, tmp_path):
+    from vitaframe.streaming import jobs as J
+
+    events = spark.sql("SELECT 1L AS event_id, timestamp'2024-01-01' AS ts, 'parse_success' AS metric_type, 1.0D AS value")
+    for batch in (0, 1, 1, 0):
+        J.append_event_batch(events, str(tmp_path / "in"), batch)
+    J.run_to_parquet(J.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    J.append_event_batch(events, str(tmp_path / "in"), 1)
+    J.run_to_parquet(J.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_newest_paths(spark):
+    listing = spark.createDataFrame([("a/r1/x", 1), ("a/r2/x", 5), ("a/r3/x", 5), ("a/r9/y/x", 9), ("b", 1)], "path string, modificationTime int")
+    asked = spark.createDataFrame([("a/[RUN_ID]/x",), ("[RUN_ID]/r1/x",), ("a/r1/x",), ("a/[RUN_ID]",), (None,), ("[RUN_ID]",)], "path string")
+    got = {r.path: r.found for r in S.newest_paths(asked, listing).collect()}
+    assert got == {"a/[RUN_ID]/x": "a/r3/x", "[RUN_ID]/r1/x": "a/r1/x", "a/r1/x": "a/r1/x", "a/[RUN_ID]": None, None: None, "[RUN_ID]": "b"}
+
+
+def test_manifests_as_text(spark):
+    good = json.dumps({"fixtures": [{"id": "a", "filename": "a.pdf"}, {"id": "b"}], "more": 1})
+    df = spark.createDataFrame([(1, good), (2, "{"), (3, None), (4, "{}"), (5, '{"fixtures": []}'), (6, "[1]")], "n int, m string")
+    got = sorted(((r.n, r.fixture and r.fixture.id, r.read_error) for r in T.manifests(df, "m").collect()), key=str)
+    assert got[:5] == [(1, "a", None), (1, "b", None), (2, None, "Invalid JSON"), (3, None, "Invalid JSON"), (4, None, "No fixtures")]
+    assert got[5] == (5, None, None)
+
+
 def test_placeholder_finds_the_newest(spark, tmp_path):
     put(tmp_path / "r1" / "cv.pdf", b"1")
     time.sleep(1.1)

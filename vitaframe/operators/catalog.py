@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitaframe.session import written
+
 # Life cycle of an artifact.
 STATUSES = ("pending", "processing", "completed", "failed")
 
@@ -88,29 +90,23 @@ def resume_file_paths(ids: DataFrame, artifacts: DataFrame, id_col: str = "resum
     )
 
 
-def numbered(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str = "version", chunk: str = "day"
-) -> DataFrame:
-    """Number the rows of each group by ``(ts, tie)`` from 1.
+def numbered(df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str = "version") -> DataFrame:
+    """Number the rows of each group by ``(ts, tie)`` from 1, null keys being a group of their own.
 
-    A plain window would sort a whole group in one task. Here rows are numbered inside
-    ``(group, time chunk)`` and shifted by the sizes of the earlier chunks, which is a
-    window over one row per chunk.
+    A range shuffle over ``(keys, ts, tie)`` puts the rows of a group into as many neighbouring partitions as they need, also
+    where all of them have one time. A row's place in the whole table is its place in its partition plus the rows of
+    the partitions before; less the first place of its group, that is its number.
     """
-    at = F.date_trunc(chunk, F.col(ts))
-    staged = df.withColumn("_chunk", at)
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(ts, tie)
-    local = staged.withColumn("_n", F.row_number().over(inner))
-    sizes = staged.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-    )
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_chunk").eqNullSafe(F.col("_k_chunk"))]
-    joined = local.join(offsets, reduce(lambda a, b: a & b, on))
-    return joined.select(*df.columns, (F.col("_n") + F.col("_before")).cast("long").alias(name))
+    order = [F.asc_nulls_first(c) for c in (*keys, ts, tie)]
+    ordered = written(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row per partition
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ordered.withColumn("_part", part).join(sizes.select("_part", before.alias("_before")), "_part")
+    placed = placed.withColumn("_place", F.col("_before") + inside)
+    firsts = placed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_place").alias("_first"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return placed.join(firsts, on).select(*df.columns, (F.col("_place") - F.col("_first") + 1).cast("long").alias(name))
 
 
 # ------------------------------------------------------------------ integrity and erasure

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from vitaframe.functions.text import date_range_label
 from vitaframe.operators import catalog as C
-from vitaframe.queries.base import register
+from vitaframe.queries.base import FILE_NAME, register
+from vitaframe.session import shared_dir
+from vitaframe.sources import files as S
+from vitaframe.sources import tables as T
 from vitaframe.sources.tables import table
 
 _USER = {
@@ -112,7 +115,7 @@ def file_path_of_id(spark, folder):
 )
 def resume_versions(spark, folder):
     rows = resume_rows(spark, folder).select("id", "user_id", "title", "created_at")
-    return C.numbered(rows, ["user_id", "title"], "created_at", "id", chunk="month").drop("created_at")
+    return C.numbered(rows, ["user_id", "title"], "created_at", "id").drop("created_at")
 
 
 # ------------------------------------------------------------------ integrity, erasure, export
@@ -262,3 +265,85 @@ def date_range_labels(spark, folder):
         "CASE WHEN o_orderkey % 7 = 0 THEN concat('since ', o_orderpriority) END AS raw",
     )
     return rows.select("o_orderkey", date_range_label(*[F.col(c) for c in ("s", "e", "cur", "raw")]).alias("label"))
+
+
+# ------------------------------------------------------------------ uploads, listings and manifests
+
+_RUN = "2024-02-29 10:00:00"
+_FILES_SQL = (
+    f"f AS (SELECT doc_id, {FILE_NAME} AS name, concat('in/', CAST(doc_id % 7 AS STRING), '/', {FILE_NAME}) AS path, sha256(text) AS checksum, strlen(text) AS size "
+    "FROM documents WHERE text IS NOT NULL), "
+    "ok AS (SELECT *, sha256(concat_ws('|', 'run1', path, checksum)) AS id FROM f WHERE size BETWEEN 1 AND 10485760 AND name LIKE '%.%' AND lower(regexp_extract(name, '[^.]*$')) IN ('pdf', 'docx'))"
+)
+
+
+def _file_listing(spark, folder):
+    """Documents as a listing of files with their content."""
+    docs = table(spark, folder, "documents").where("text IS NOT NULL")
+    path = F.concat(F.lit("in/"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.expr(FILE_NAME))
+    content = F.col("text").cast("binary")
+    return docs.select(path.alias("path"), F.octet_length("text").cast("long").alias("length"), content.alias("content"))
+
+
+@register(
+    f"WITH {_FILES_SQL} "
+    "SELECT 'artifact' AS kind, id, sha256(id || '|resume') AS other_id, name AS title, concat('original/2024/02/run1/', name) AS detail, CAST(size AS BIGINT) AS size FROM ok "
+    "UNION ALL SELECT 'resume', sha256(id || '|resume'), 'admin', name, '{\"source\":\"upload\",\"run_id\":\"run1\"}', 1 FROM ok "
+    "UNION ALL SELECT 'user', 'admin', NULL, 'admin@example.org', NULL, NULL WHERE EXISTS (SELECT 1 FROM ok)"
+)
+def uploads_recorded_twice(spark, folder):
+    """The catalog after a run that was repeated, at another time, and one that was never ended."""
+    root = shared_dir(spark, "catalog")
+    listing = _file_listing(spark, folder)
+    owner = spark.createDataFrame([("admin", "admin@example.org")], "id string, email string")
+    for at in (_RUN, "2024-03-01 09:00:00"):
+        as_of = S.started_at(spark, root, "run1", F.lit(at).cast("timestamp"))
+        S.record_uploads(spark, S.accepted_uploads(listing, "run1", as_of, "admin"), root, owner)
+    unfinished = S.accepted_uploads(listing.where("length < 1000"), "run2", F.lit(_RUN).cast("timestamp"), "admin")
+    S.replace_runs(unfinished.drop("content"), f"{root}/artifacts", "run_id")
+    artifacts, resumes, users = (S.catalog_table(spark, root, name) for name in ("artifacts", "resumes", "users"))
+    none = F.lit(None)
+    return (
+        artifacts.select(F.lit("artifact").alias("kind"), "id", F.col("resume_id").alias("other_id"), F.col("file_name").alias("title"), F.col("file_path").alias("detail"), F.col("file_size").cast("long").alias("size"))
+        .unionAll(resumes.select(F.lit("resume"), "id", "user_id", "title", "metadata", F.col("version").cast("long")))
+        .unionAll(users.select(F.lit("user"), "id", none.cast("string"), "email", none.cast("string"), none.cast("long")))
+    )
+
+
+@register(
+    "WITH l AS (SELECT concat('data/original/run-', CAST(doc_id % 11 AS STRING), '/cv_', CAST(doc_id % 40 AS STRING), '.pdf') AS path, max(n_chars) AS t FROM documents GROUP BY 1), "
+    "q AS (SELECT DISTINCT concat('data/original/[RUN_ID]/cv_', CAST(doc_id % 50 AS STRING), '.pdf') AS path FROM documents) "
+    "SELECT q.path, (SELECT arg_max(l.path, {'t': l.t, 'p': l.path}) FROM l WHERE l.path LIKE replace(q.path, '[RUN_ID]', '%')) AS found FROM q"
+)
+def newest_of_runs(spark, folder):
+    """For every path with a placeholder the newest file of any run."""
+    docs = table(spark, folder, "documents")
+    name = lambda run, n: F.concat(F.lit("data/original/"), run, F.lit("/cv_"), (F.col("doc_id") % n).cast("string"), F.lit(".pdf"))
+    run = F.concat(F.lit("run-"), (F.col("doc_id") % 11).cast("string"))
+    listing = docs.groupBy(name(run, 40).alias("path")).agg(F.max("n_chars").alias("modificationTime"))
+    return S.newest_paths(docs.select(name(F.lit("[RUN_ID]"), 50).alias("path")).distinct(), listing)
+
+
+@register(
+    f"WITH d AS (SELECT doc_id, source, {FILE_NAME} AS name, n_chars FROM documents) "
+    "SELECT source, name AS filename, 'pdf' AS category, CAST(n_chars % 9 AS INTEGER) AS sections, n_chars % 2 = 0 AS skills, CAST(NULL AS VARCHAR) AS read_error "
+    "FROM d WHERE substr(source, 4) NOT IN ('3', '4') "
+    "UNION ALL SELECT DISTINCT source, NULL, NULL, NULL, NULL, CASE substr(source, 4) WHEN '3' THEN 'Invalid JSON' ELSE 'No fixtures' END FROM d WHERE substr(source, 4) IN ('3', '4')"
+)
+def manifest_fixtures(spark, folder):
+    """A manifest per source, written as text and read back; one is cut off and one has another key."""
+    docs = table(spark, folder, "documents")
+    fixture = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.expr(FILE_NAME).alias("filename"), F.lit("pdf").alias("category"),
+        F.create_map(F.lit("skills"), F.col("n_chars") % 2 == 0).alias("expected_sections"),
+        F.struct((F.col("n_chars") % 9).cast("int").alias("sections_detected")).alias("parsing_expectations"),
+    )
+    text = F.to_json(F.struct(F.collect_list(fixture).alias("fixtures")))
+    written = docs.groupBy("source").agg(text.alias("manifest"))
+    number = F.substring("source", 4, 9)
+    cut = F.when(number == "3", F.concat(F.lit("{"), F.col("manifest"))).when(number == "4", F.regexp_replace("manifest", "fixtures", "files"))
+    rows = T.manifests(written.withColumn("manifest", cut.otherwise(F.col("manifest"))), "manifest")
+    return rows.select(
+        "source", "fixture.filename", "fixture.category", F.col("fixture.parsing_expectations.sections_detected").alias("sections"),
+        F.col("fixture.expected_sections")["skills"].alias("skills"), "read_error",
+    )

@@ -39,6 +39,19 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("fixtures").alias("f")).select("f.*")
 
 
+def manifests(df: DataFrame, json: str) -> DataFrame:
+    """The rows of ``df`` with one fixture each, from manifests held as text: ``fixture`` and ``read_error``.
+
+    A text that is no JSON (or null) or has no list of fixtures is one row without a fixture and with the reason.
+    """
+    parsed = F.from_json(F.col(json), f"struct<{MANIFEST_DDL},_bad:string>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    staged = df.withColumn("_m", parsed)
+    broken = F.col("_m._bad").isNotNull() | F.col("_m").isNull()
+    error = F.when(broken, F.lit("Invalid JSON")).when(F.col("_m.fixtures").isNull(), F.lit("No fixtures"))
+    staged = staged.withColumn("read_error", error).withColumn("fixture", F.explode_outer(F.when(error.isNull(), F.col("_m.fixtures"))))
+    return staged.select(*df.columns, "fixture", "read_error")
+
+
 def profiles_from_json(df: DataFrame, json: str) -> DataFrame:
     """Parse profile JSON into the profile struct ``profile``, with ``read_error``.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,12 +25,26 @@ WINDOW_HOURS = (1, 6, 24, 72, 168)
 
 def event_stream(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     """Metric events that arrive as JSON files."""
-    return spark.readStream.schema(EVENT_DDL).options(**options).json(folder)
+    return spark.readStream.schema(EVENT_DDL).option("recursiveFileLookup", True).options(**options).json(folder)
 
 
-def append_event_batch(events: DataFrame, folder: str) -> None:
-    """Record metric events where ``event_stream`` picks them up."""
-    events.write.mode("append").json(folder)
+def append_event_batch(events: DataFrame, folder: str, batch: str | int | None = None) -> None:
+    """Record metric events where ``event_stream`` picks them up.
+
+    A named ``batch`` is recorded once: files appear when the whole batch is there, and a batch that is there
+    already is left as it is, so a writer (or ``foreachBatch``) may repeat it.
+    """
+    if batch is None:
+        events.write.mode("append").json(folder)
+        return
+    target = f"{folder}/{batch}"
+    try:
+        if not events.sparkSession.read.format("binaryFile").load(target).isEmpty():
+            return
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    events.write.mode("overwrite").json(target)
 
 
 def tumbling_kpis(events: DataFrame, hours: int = 1, late: str = "1 hour") -> DataFrame:
