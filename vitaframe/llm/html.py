@@ -3,19 +3,18 @@
 A small reader turns html into blocks of text, each in one of four regions: the article, chrome
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, by element, role, class or
 id), and the plain rest. Markup names the candidates: the article without chrome, or, of a page
-that marks none, all plain blocks. Repeats decide which of their tokens stay, on every page.
-
-The token streams of all pages are laid end to end, and suffixes are brought together by their first
-``SPAN`` tokens: windows of ``SPAN`` tokens in hash order stand for a full suffix order. A window in
-pages of ``SEVERAL`` different contents of the host is boilerplate wherever it stands, so a passage
-that two articles share is safe; in text outside articles two contents are enough for pages that
-mark none. Runs covered by such windows are cut; outside articles, blocks that are nearly all covered go whole.
-Sorting is by shuffle: a window is a key of 64 bits (host and ``SPAN`` tokens), so a host with a third
-of all pages spreads over all tasks, and keys are merged in the map tasks. Windows are only sorted
-where their anchor, the one of their pieces of ``PIECE`` tokens with the least hash, is the anchor
-of windows in two contents of the host, which loses none: equal windows have equal anchors, and
-neighbours mostly share theirs. Html itself is never shuffled; only the blocks of pages with a repeat
-meet their marks.
+that marks none, all plain blocks. Repeats decide which of their tokens stay, on every page: a run of
+``SPAN`` tokens or more is boilerplate if more than half of the different page contents of its host hold it, in
+any region, and at least ``SEVERAL`` of them (``FEW``, on pages that mark no article). So a passage that some articles share
+stays, however many pages the table holds.
+
+1. Every page is read once; its blocks are written, and only they are used from then on.
+2. The contents of a host are dealt into groups of ``GROUP`` to twice as many. What more than half of all hold, more than half of
+   some group hold. The token streams of a group are concatenated and put in suffix order (``suffixes``: linear
+   grouping); neighbours with ``SPAN`` equal tokens in more than half of its pages, and in a candidate block of one, are
+   candidates. A group is bounded, so a host with a third of all pages is many of them.
+3. Candidates are counted over all contents. A bitmap of fixed size says which windows need to be counted.
+4. Maximal covered runs are cut out of the pages that hold any; outside articles, blocks that are nearly all covered go whole.
 """
 
 from __future__ import annotations
@@ -33,21 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from vitaframe.llm.common import written
+from vitaframe.llm.common import numbered, written
+from vitaframe.llm.suffixes import suffix_orders
 from vitaframe.llm.urls import host_of
 
 #: Tokens of a long substring.
 SPAN = 8
-#: Different page contents of a host that make a window boilerplate inside articles too.
-SEVERAL = 3
-#: Tokens of an anchor.
-PIECE = 4
+#: Different contents that hold a run at least, in articles and on pages that mark none.
+SEVERAL, FEW = 3, 2
+#: Contents of a host whose token streams are concatenated.
+GROUP = 16
+#: Tokens that are put in order together.
+BATCH = 1 << 18
 #: A block outside articles goes whole if at least this share of its tokens is repeated.
 COVERED = 0.9
 #: Bits of the broadcast marks that tell which windows may be repeated.
 MARKS = 1 << 24
-_OUT = 1  # the last bit of a key: windows outside articles
-_CONTENT = (1 << 31) - 1
 _FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
@@ -75,6 +75,9 @@ _BODY_WORDS = {"article", "articlebody", "post", "entry", "story", "content", "m
 _NOT = {"no", "has", "with", "without", "not"}
 
 
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("kept", pa.bool_())]))
+
+
 class Block(NamedTuple):
     text: str
     chrome: bool
@@ -273,21 +276,13 @@ def _runs(host: str, tokens: list[str], span: int) -> np.ndarray:
 
 
 def windows(host: str, tokens: list[str]) -> np.ndarray:
-    """Keys of the suffixes of at least ``SPAN`` tokens, by place; the last bit is 0."""
-    return _runs(host, tokens, SPAN).view(np.int64) & ~np.int64(_OUT)
-
-
-def anchors(host: str, tokens: list[str]) -> np.ndarray:
-    """The anchor of each window, by place."""
-    pieces = _runs(host, tokens, PIECE).view(np.int64)
-    if len(tokens) < SPAN:
-        return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(pieces, SPAN - PIECE + 1).min(axis=1)
+    """Keys of the suffixes of at least ``SPAN`` tokens, by place."""
+    return _runs(host, tokens, SPAN).view(np.int64)
 
 
 def marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Which keys have their bit in ``marks``."""
-    mark = (keys.view(np.uint64) >> np.uint64(1)) % np.uint64(MARKS)
+    mark = keys.view(np.uint64) % np.uint64(MARKS)
     return (marks[(mark >> np.uint64(6)).astype(np.int64)] >> (mark & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -297,26 +292,63 @@ def _tokens(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return [t for part in split for t in part], np.array([len(part) for part in split], np.int64)
 
 
-def streams(blocks: list[Block]) -> tuple[list[str], list[str], int]:
-    """Tokens of all text of a page and of its text outside the article, and the hash of its content."""
-    article = chosen(blocks)[1]
-    tokens, _ = _tokens([b.text for b in blocks])
-    rest = _tokens([b.text for b in blocks if not ((b.main or b.body) and not b.chrome)])[0] if article else tokens
-    return tokens, rest, xxhash.xxh64_intdigest(" ".join(tokens)) & _CONTENT
-
-
-def asked(host: str, texts: list[str], kept: list[bool], article: bool, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the windows that touch a candidate block and may be repeated, and their places."""
+def _touching(kept: list[bool], sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` windows touch a candidate block."""
+    sums = np.concatenate([[0], np.cumsum(np.repeat(np.array(kept, bool), sizes))])
+    at = np.arange(n)
+    return sums[at + SPAN] > sums[at] if n else np.zeros(0, bool)
+
+
+def shared_windows(groups: list[list[tuple[str, list[str], list[bool]]]]) -> list[np.ndarray]:
+    """For each group of pages ``(host, texts, kept)`` the keys of windows that more than half of the pages hold, by suffix order."""
+    pages = []  # group, tokens, keys, touching
+    for g, group in enumerate(groups):
+        for host, texts, kept in group:
+            tokens, sizes = _tokens(texts)
+            keys = windows(host, tokens)
+            pages.append((g, tokens, keys, _touching(kept, sizes, len(keys))))
+    lengths = np.bincount([g for g, *_ in pages], [len(t) + 1 for _, t, *_ in pages], len(groups)).astype(np.int64) + 1
+    order_of = np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(groups), np.int64)
+    rank[order_of] = np.arange(len(groups))
+    pages.sort(key=lambda page: rank[page[0]])
+    number: dict[str, int] = {}
+    parts, page_of, key_of, touch_of = [], [], [], []
+    for k, (g, tokens, keys, touching) in enumerate(pages):
+        last = k + 1 == len(pages) or pages[k + 1][0] != g
+        rest = len(tokens) - len(keys) + 1 + last  # places that begin no window, and the ends of page and group
+        parts.append(np.array([*[number.setdefault(t, len(number) + 2) for t in tokens], 1, *[0] * last], np.int64))
+        page_of.append(np.concatenate([np.full(len(keys), k), np.full(rest, -1)]))
+        key_of.append(np.concatenate([keys, np.zeros(rest, np.int64)]))
+        touch_of.append(np.concatenate([touching, np.zeros(rest, bool)]))
+    symbols, page, key, touch = map(np.concatenate, (parts, page_of, key_of, touch_of))
+    ends = np.cumsum(lengths[order_of])
+    order = suffix_orders(symbols, ends - lengths[order_of], ends)
+    order = order[page[order] >= 0]
+    group_of = np.array([rank[g] for g, *_ in pages])
+    group = group_of[page[order]]
+    same = np.flatnonzero(group[1:] == group[:-1])
+    for k in range(SPAN):
+        same = same[symbols[order[same] + k] == symbols[order[same + 1] + k]]
+    fresh = np.ones(len(order), bool)
+    fresh[same + 1] = False
+    run = np.cumsum(fresh) - 1
+    if not len(order):
+        return [np.zeros(0, np.int64) for _ in groups]
+    holders = np.bincount(np.unique(run * len(pages) + page[order]) // len(pages))  # different pages of each run
+    touched = np.bincount(run, touch[order]) > 0
+    members = np.bincount(group_of, minlength=len(groups))
+    heads = np.flatnonzero(fresh)
+    found = touched & (2 * holders > members[group[heads]])
+    return [key[order[heads[found & (group[heads] == rank[g])]]] for g in range(len(groups))]
+
+
+def asked(host: str, texts: list[str], kept: list[bool], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the windows that touch a candidate block and may be boilerplate, and their places."""
     tokens, sizes = _tokens(texts)
     keys = windows(host, tokens)
-    sums = np.concatenate([[0], np.cumsum(np.repeat(np.array(kept, bool), sizes))])
-    at = np.arange(len(keys))
-    touching = sums[at + SPAN] > sums[at] if len(keys) else np.zeros(0, bool)
-    keys, at = keys[touching], at[touching]
-    if not article:
-        keys, at = np.concatenate([keys, keys | _OUT]), np.concatenate([at, at])
-    may = marked(keys, marks)
-    return keys[may], at[may]
+    at = np.flatnonzero(_touching(kept, sizes, len(keys)) & marked(keys, marks)) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], at
 
 
 def without_repeats(texts: list[str], kept: list[bool], article: bool, covered: set[int]) -> str:
@@ -356,42 +388,65 @@ def _mapped(rows: DataFrame, task: Callable, schema: str, keep: int) -> DataFram
     return rows.mapInArrow(run, out)
 
 
-def _repeated(hosts: DataFrame) -> DataFrame:
-    """``key`` of the windows in text of several contents. ``hosts`` has ``host`` and ``html``.
-
-    Contents are numbers of 31 bits. Where all of a key's ``n`` pages are the least or the greatest
-    of them, their sum is ``n * a + m * (b - a)`` for a whole ``m`` of at most ``n``; a third content shows in it.
-    """
-
-    def emitted(part: pa.RecordBatch, of: Callable[[str, list[str], list[str]], np.ndarray]):
-        keys, contents = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            tokens, rest, content = streams(Reader(page).blocks if page else [])
-            keys.append(np.unique(of(host, tokens, rest)))
-            contents.append(np.full(len(keys[-1]), content, np.int64))
-        return [], [pa.array(np.concatenate(keys)), pa.array(np.concatenate(contents))]
+def _candidates(read: DataFrame, contents: DataFrame) -> DataFrame:
+    """``key`` of the windows that more than half of some group of contents hold."""
+    grouped = contents.where(F.col("contents") >= FEW).select("place", F.concat_ws("/", "number", "group").alias("group"))
+    pages = read.join(grouped, "place").select("group", "host", "blocks")
 
-    def both_anchors(host: str, tokens: list[str], rest: list[str]) -> np.ndarray:
-        return np.concatenate([anchors(host, tokens), anchors(host, rest)])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        size = 0
 
-    def suffixes(host: str, tokens: list[str], rest: list[str]) -> np.ndarray:
-        inside = windows(host, tokens)[marked(anchors(host, tokens), shipped.value)]
-        outside = windows(host, rest)[marked(anchors(host, rest), shipped.value)]
-        return np.concatenate([inside, outside | _OUT])
+        def solved(rows: list[tuple]) -> pa.RecordBatch:
+            groups: dict[str, list[tuple]] = {}
+            for group, host, blocks in rows:
+                groups.setdefault(group, []).append((host, [b["text"] for b in blocks], [b["kept"] for b in blocks]))
+            found = shared_windows(list(groups.values()))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
 
-    least, greatest = F.min("page").alias("a"), F.max("page").alias("b")
-    met = _mapped(hosts, lambda part: emitted(part, both_anchors), "key long, page long", 0).groupBy("key").agg(least, greatest)
-    shipped = hosts.sparkSession.sparkContext.broadcast(_marks_of(met.where("a < b")))
-    found = _mapped(hosts, lambda part: emitted(part, suffixes), "key long, page long", 0).groupBy("key")
-    found = found.agg(least, greatest, F.sum("page").alias("s"), F.count(F.lit(1)).alias("n"))
-    over, width = F.col("s") - F.col("n") * F.col("a"), F.when(F.col("a") < F.col("b"), F.col("b") - F.col("a"))
-    third = (over % width != 0) | (over > F.col("n") * width)
-    return found.where((F.col("a") < F.col("b")) & ((F.col("key").bitwiseAND(F.lit(_OUT)) == _OUT) | third)).select("key")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                for row in zip(*[c.to_pylist() for c in batch.slice(start, 64).columns], strict=True):
+                    if size > BATCH and row[0] != waiting[-1][0]:
+                        yield solved(waiting)
+                        waiting, size = [], 0
+                    waiting.append(row)
+                    size += sum(b["text"].count(" ") + 1 for b in row[2])
+        if waiting:
+            yield solved(waiting)
+
+    return pages.repartition("group").sortWithinPartitions("group").mapInArrow(task, "key long").distinct()
+
+
+def _boilerplate(read: DataFrame) -> DataFrame:
+    """``key, holders`` of the windows that more than half of the host's contents hold, and at least ``FEW``."""
+    firsts = read.groupBy("host", "content").agg(F.min("place").alias("place"))
+    ranked = numbered(firsts, [F.asc("host"), F.asc("content")], "page-contents")
+    hosts = ranked.groupBy("host").agg(F.min("_rank").alias("number"), F.count(F.lit(1)).alias("contents"))
+    groups = F.greatest(F.lit(1), F.floor(F.col("contents") / GROUP))
+    group = F.least(F.floor((F.col("_rank") - F.col("number")) / GROUP), groups - 1)
+    contents = written(ranked.join(hosts, "host").select("place", "number", "contents", group.alias("group")), "page-groups")
+    candidates = written(_candidates(read, contents), "page-candidates")
+    shipped = read.sparkSession.sparkContext.broadcast(_marks_of(candidates))
+
+    def counted(part: pa.RecordBatch):
+        picked, found = [], [np.zeros(0, np.int64)]
+        for i, (host, blocks) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            keys = windows(host, _tokens([b["text"] for b in blocks])[0])
+            keys = np.unique(keys[marked(keys, shipped.value)]) if len(keys) else keys
+            picked += [i] * len(keys)
+            found.append(keys)
+        return picked, [pa.array(np.concatenate(found), pa.int64())]
+
+    held = _mapped(read.select("place", "host", "blocks"), counted, "key long", 1).join(contents.select("place", "contents"), "place")
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.max("contents").alias("contents"))
+    over = counts.where((F.col("holders") >= FEW) & (2 * F.col("holders") > F.col("contents")))
+    return over.join(candidates, "key", "left_semi").select("key", "holders")
 
 
 def _marks_of(repeated: DataFrame) -> np.ndarray:
     """A bit for each of ``MARKS`` remainders that a repeated key has: at most 2 MB, whatever the number of keys."""
-    mark = F.pmod(F.shiftrightunsigned("key", 1), F.lit(MARKS))
+    mark = F.pmod(F.col("key"), F.lit(MARKS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(mark, F.lit(64)).cast("int"))
     words = repeated.groupBy(F.shiftright(mark, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
     marks = np.zeros(MARKS // 64, np.int64)
@@ -403,45 +458,48 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``id, url, text, n_chars`` per row of ``pages``.
 
     Null html is an empty page; a page without text gives an empty string. Pages with null urls are
-    those of the empty host. Copies of a page count as one page, so they do not make each other
-    boilerplate; a page that is repeated as a whole keeps its candidate blocks.
+    those of the empty host. Copies of a page, and rows that repeat one, count as one page, so they do not make each other
+    boilerplate; a page that is repeated as a whole keeps its candidate blocks. A page of any length is read whole.
+    Other columns have no effect; an empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    repeated = written(_repeated(rows.select("host", "html")), "pages-repeated")
-    shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(repeated))
-
-    def split(part: pa.RecordBatch, want: bool):
-        for i, (host, page) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-            blocks = Reader(page).blocks if page else []
-            texts, (kept, article) = [b.text for b in blocks], chosen(blocks)
-            keys, at = asked(host, texts, kept, article, shipped.value)
-            if (len(keys) > 0) == want:
-                yield i, texts, kept, article, keys, at
-
-    def decided(part: pa.RecordBatch):
-        found = [(i, without_repeats(texts, kept, article, set())) for i, texts, kept, article, _, _ in split(part, False)]
-        return [i for i, _ in found], [pa.array([t for _, t in found], pa.string())]
-
-    def undecided(part: pa.RecordBatch):
-        found = list(split(part, True))
-        kind = pa.list_(pa.struct([("text", pa.string()), ("kept", pa.bool_())]))
-        blocks = pa.array([[{"text": t, "kept": k} for t, k in zip(texts, kept, strict=True)] for _, texts, kept, *_ in found], kind)
-        asks = pa.array([[{"key": k, "at": a} for k, a in zip(keys.tolist(), at.tolist(), strict=True)] for *_, keys, at in found], pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())])))
-        return [f[0] for f in found], [blocks, pa.array([f[3] for f in found], pa.bool_()), asks]
-
-    direct = _mapped(rows, decided, "text string", 2)
-    kinds = "blocks array<struct<text:string,kept:boolean>>, article boolean, asks array<struct<key:long,at:int>>"
-    open_ = written(_mapped(rows, undecided, kinds, 2).withColumn("place", F.monotonically_increasing_id()), "pages-undecided")
-    own = open_.select("place", F.inline("asks"))
-    covered = own.join(repeated, "key", "left_semi").groupBy("place").agg(F.collect_set("at").alias("covered"))  # at most a page's length
+
+    def split(part: pa.RecordBatch):
+        blocks, contents, articles = [], [], []
+        for page in part.column(3).to_pylist():
+            own = Reader(page).blocks if page else []
+            kept, article = chosen(own)
+            blocks.append([{"text": b.text, "kept": k} for b, k in zip(own, kept, strict=True)])
+            contents.append(xxhash.xxh64_intdigest(" ".join(b.text for b in own)) - (1 << 63))
+            articles.append(article)
+        return list(range(part.num_rows)), [pa.array(blocks, _BLOCKS), pa.array(contents, pa.int64()), pa.array(articles, pa.bool_())]
+
+    read = _mapped(rows, split, "blocks array<struct<text:string,kept:boolean>>, content long, article boolean", 3)
+    read = written(read.withColumn("place", F.monotonically_increasing_id()), "pages-read")
+    boilerplate = written(_boilerplate(read), "page-boilerplate")
+    shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(boilerplate))
+
+    def asks(part: pa.RecordBatch):
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+        found = []
+        for host, blocks in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            keys, at = asked(host, [b["text"] for b in blocks], [b["kept"] for b in blocks], shipped.value)
+            found.append([{"key": k, "at": a} for k, a in zip(keys.tolist(), at.tolist(), strict=True)])
+        picked = [i for i, x in enumerate(found) if x]
+        return picked, [pa.array([found[i] for i in picked], kind)]
+
+    own = _mapped(read.select("place", "host", "blocks", "article"), asks, "asks array<struct<key:long,at:int>>", 1).select("place", F.inline("asks"))
+    met = own.join(boilerplate, "key").groupBy("place")
+    covered = met.agg(F.collect_list(F.struct("at", "holders")).alias("covered"))  # at most a page's length
 
     def resolved(part: pa.RecordBatch):
-        texts = [
-            without_repeats([b["text"] for b in blocks], [b["kept"] for b in blocks], article, set(hits or ()))
-            for blocks, article, hits in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
-        ]
+        texts = []
+        for blocks, article, hits in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            least = SEVERAL if article else FEW
+            places = {h["at"] for h in hits or () if h["holders"] >= least}
+            texts.append(without_repeats([b["text"] for b in blocks], [b["kept"] for b in blocks], article, places))
         return list(range(part.num_rows)), [pa.array(texts, pa.string())]
 
-    rest = open_.select("id", "url", "blocks", "article", "place").join(covered, "place", "left").select("id", "url", "blocks", "article", "covered")
-    both = direct.unionByName(_mapped(rest, resolved, "text string", 2))
-    return both.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    rest = read.join(covered, "place", "left").select("id", "url", "blocks", "article", "covered")
+    out = _mapped(rest, resolved, "text string", 2)
+    return out.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
