@@ -1,7 +1,10 @@
-"""Skill normalisation against an alias dictionary, by row or inside a document row."""
+"""Skill normalisation against an alias dictionary of any size, as rows or as one list per document."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +21,6 @@ from vitaframe.functions.text import dialect, is_set, let, strip, title_case
 # ``place`` is the order in which spellings were written.
 DICTIONARY_DDL = "canonical string, category string, spelling string, is_alias boolean, rank bigint, place bigint"
 KNOWN, UNKNOWN = 0.95, 0.7
-# A dictionary up to this many spellings is built into the plan or broadcast; beyond it the
-# lookup is an ordinary join that Spark sizes at run time.
-INLINE_LIMIT = 5_000
 
 
 # ------------------------------------------------------------------ dictionary
@@ -35,7 +35,10 @@ def dictionary(spark: SparkSession, index_keys: bool = False) -> DataFrame:
     for pos, (key, name, category, aliases) in enumerate(SKILL_DICTIONARY):
         spellings = [(name, False), *[(a, True) for a in aliases]] + ([(key, False)] if index_keys else [])
         rows += [(name, category, s, alias, pos, pos * 1000 + i) for i, (s, alias) in enumerate(spellings)]
-    return spark.createDataFrame(rows, DICTIONARY_DDL)
+    # as Arrow: the plan holds the rows and so knows their size
+    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+    names = [part.split()[0] for part in DICTIONARY_DDL.split(", ")]
+    return spark.createDataFrame(pa.table(columns, names=names), DICTIONARY_DDL)
 
 
 def alias_rows(spellings: DataFrame) -> DataFrame:
@@ -46,13 +49,27 @@ def alias_rows(spellings: DataFrame) -> DataFrame:
     return best.select("alias_lower", "e.canonical", "e.category", "dict_pos")
 
 
-def lookup_table(spellings: DataFrame) -> DataFrame:
-    """``alias_rows`` with each entry's list of aliases, which normalised skills carry along."""
+@dataclass(frozen=True)
+class Lookup:
+    """Two keyed tables: where each spelling leads, and the aliases of each entry.
+
+    A list of aliases is joined onto answers by the entry's name, never onto spellings, so an entry with very many of them
+    costs a row for each and one list. All joins are left to Spark's byte threshold.
+    """
+
+    rows: DataFrame
+    lists: DataFrame | None = None
+
+
+def alias_lists(spellings: DataFrame) -> DataFrame:
+    """``_name, aliases``: each entry's aliases in the order in which they were written."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "spelling"))), lambda x: x["spelling"])
-    lists = spellings.where("is_alias").groupBy("canonical").agg(ordered.alias("aliases"))
-    return alias_rows(spellings).join(lists, "canonical", "left").withColumn(
-        "aliases", F.coalesce("aliases", F.array().cast("array<string>"))
-    )
+    return spellings.where("is_alias").groupBy(F.col("canonical").alias("_name")).agg(ordered.alias("aliases"))
+
+
+def lookup_table(spellings: DataFrame) -> Lookup:
+    """A dictionary to look names up in; its answers carry their entry's aliases."""
+    return Lookup(alias_rows(spellings), alias_lists(spellings))
 
 
 _ADDED_RANK = 1_000_000
@@ -138,23 +155,25 @@ def _entry(name: Column, cleaned: Column, canonical: Column, aliases: Column, ca
 # ------------------------------------------------------------------ row form
 
 
-def _sized(dim: DataFrame) -> DataFrame:
-    """Broadcast the dictionary when its measured size allows, else leave the join to Spark."""
-    small = dim.limit(INLINE_LIMIT + 1).count() <= INLINE_LIMIT
-    return F.broadcast(dim) if small else dim
+def _looked_up(rows: DataFrame, dim: Lookup | DataFrame) -> DataFrame:
+    """Rows with ``cleaned`` and, where it is a spelling, ``canonical``, ``category`` and the entry's ``aliases``."""
+    dim = dim if isinstance(dim, Lookup) else Lookup(dim)
+    found = rows.join(dim.rows.select("alias_lower", "canonical", "category"), F.lower("cleaned") == F.col("alias_lower"), "left")
+    if dim.lists is None:
+        return found.withColumn("aliases", F.lit(None).cast("array<string>"))
+    return found.join(dim.lists, F.col("canonical") == F.col("_name"), "left")
 
 
-def normalize_rows(skills: DataFrame, dim: DataFrame, raw: str = "raw", context: str | None = None) -> DataFrame:
+def normalize_rows(skills: DataFrame, dim: Lookup | DataFrame, raw: str = "raw", context: str | None = None) -> DataFrame:
     """One normalised entry per raw skill row; ``dim`` comes from ``lookup_table`` or ``alias_rows``.
 
-    With a small dictionary a map-side hash join: the skill rows are not shuffled. ``alias_rows`` carry no lists of
-    aliases (the entries' lists stay empty), so a name with very many spellings costs one row each.
+    With a small dictionary two map-side hash joins: the skill rows are not shuffled. ``alias_rows`` carry no lists of
+    aliases (the entries' lists stay empty).
     """
     cleaned = skills.withColumn("cleaned", clean_name(F.col(raw)))
-    looked = cleaned.join(_sized(dim), F.lower("cleaned") == F.col("alias_lower"), "left")
+    looked = _looked_up(cleaned, dim)
     ctx = F.col(context) if context else F.lit(None).cast("string")
-    aliases = F.col("aliases") if "aliases" in dim.columns else F.lit(None).cast("array<string>")
-    fields = _entry(F.col(raw), F.col("cleaned"), F.col("canonical"), aliases, F.col("category"), ctx)
+    fields = _entry(F.col(raw), F.col("cleaned"), F.col("canonical"), F.col("aliases"), F.col("category"), ctx)
     keep = [c for c in cleaned.columns if c not in fields]
     return looked.select(*keep, *[v.alias(k) for k, v in fields.items()])
 
@@ -178,20 +197,27 @@ def normalize_lists_by_row(skills: DataFrame, dim: DataFrame, doc: str = "doc_id
     return first_per_canonical(normalize_rows(rows, dim, raw), doc, pos)
 
 
-def normalize_lists(lists: DataFrame, dim: DataFrame, raws: str, doc: str = "doc_id") -> DataFrame:
-    """``(doc, skills)``: what ``normalize_array`` gives for each document, with a dictionary of any size.
+def normalize_lists(lists: DataFrame, dim: Lookup | DataFrame, raws: str, doc: str = "doc_id") -> DataFrame:
+    """``(doc, skills)``: the normalised, deduplicated and sorted skills of each document, with a dictionary of any size.
 
-    ``doc`` is a key of ``lists``. Skills are looked up row by row and come together again per document only;
-    documents without a skill get an empty list.
+    ``doc`` is a key of ``lists``. Skills are looked up row by row and come together again per document, in one shuffle;
+    there the first of each canonical name (any case) stays. Documents without a skill get an empty list.
     """
-    rows = lists.select(doc, F.posexplode(raws).alias("pos", "raw"))
-    kept = normalize_lists_by_row(rows, dim, doc, "pos", "raw")
+    rows = lists.select(doc, F.posexplode_outer(raws).alias("pos", "raw"))
     fields = ["name", "canonical_name", "aliases", "category", "context", "confidence_score"]
-    order = [F.coalesce("category", F.lit("z_other")).alias("k1"), F.col("canonical_name").alias("k2"), F.col("pos").alias("k3")]
-    sorted_ = F.sort_array(F.collect_list(F.struct(*order, F.struct(*fields).alias("e"))))
-    grouped = kept.groupBy(doc).agg(F.transform(sorted_, lambda x: x["e"]).alias("skills"))
-    joined = lists.select(doc).join(grouped, doc, "left")
-    return joined.withColumn("skills", F.coalesce("skills", F.array().cast(grouped.schema["skills"].dataType)))
+    known = normalize_rows(rows, dim, "raw").withColumn("_present", F.coalesce(F.col("name") != "", F.lit(False)))
+    entry = F.struct(F.lower("canonical_name").alias("c"), F.col("pos").alias("i"), F.struct(*fields).alias("e"))
+    grouped = known.groupBy(doc).agg(F.array_sort(F.collect_list(F.when(F.col("_present"), entry))).alias("_all"))
+    return grouped.select(doc, let(F.col("_all"), _first_of_each).alias("skills"))
+
+
+def _first_of_each(runs: Column) -> Column:
+    """Of entries sorted by name and position the first of each name, in the order of category and name."""
+    kept = F.filter(runs, lambda x, i: (i == 0) | (F.get(runs, i - 1)["c"] != x["c"]))
+    key = lambda x: F.struct(
+        F.coalesce(x["e"]["category"], F.lit("z_other")).alias("k1"), x["e"]["canonical_name"].alias("k2"), x["i"].alias("k3"), x["e"].alias("e")
+    )
+    return F.transform(F.array_sort(F.transform(kept, key)), lambda x: x["e"])
 
 
 def category_stats(normalized: DataFrame) -> DataFrame:
@@ -200,62 +226,7 @@ def category_stats(normalized: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ document form
-
-
-def inline_lookup(dim: DataFrame) -> Column | None:
-    """The dictionary as a map literal, or null when it is too large to stand in a plan (see ``normalize_lists``)."""
-    rows = dim.select("alias_lower", "canonical", "aliases", "category").limit(INLINE_LIMIT + 1).collect()
-    if len(rows) > INLINE_LIMIT:
-        return None
-    text = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    pairs = [
-        f"{text(r.alias_lower)}, named_struct('canonical', {text(r.canonical)}, 'aliases', "
-        f"cast(array({', '.join(map(text, r.aliases))}) AS array<string>), 'category', {text(r.category)})"
-        for r in rows
-    ]
-    # As SQL text: one parse instead of a thousand column calls; the optimizer folds it to a constant.
-    return F.expr(f"map({', '.join(pairs)})")
-
-
-def normalize_array(raw_skills: Column, lookup: Column, context: Column | None = None) -> Column:
-    """Normalised, deduplicated and sorted skills of one document, without a shuffle.
-
-    Sorting by (name, position) and keeping the first of each run finds first occurrences
-    in n log n; a second sort gives the (category, canonical name) order.
-    """
-    ctx = F.lit(None).cast("string") if context is None else context
-
-    def one(raw: Column, i: Column) -> Column:
-        def build(cleaned: Column) -> Column:
-            hit = F.try_element_at(lookup, F.lower(cleaned))
-            return let(
-                hit,
-                lambda h: F.struct(
-                    *[v.alias(k) for k, v in _entry(raw, cleaned, h["canonical"], h["aliases"], h["category"], ctx).items()]
-                ),
-            )
-
-        return let(clean_name(raw), lambda c: let(build(c), lambda e: F.struct(F.lower(e["canonical_name"]).alias("c"), i.alias("i"), e.alias("e"))))
-
-    present = F.filter(raw_skills, lambda r: F.coalesce(strip(r) != "", F.lit(False)))
-
-    def firsts(runs: Column) -> Column:
-        kept = F.filter(runs, lambda x, i: (i == 0) | (F.get(runs, i - 1)["c"] != x["c"]))
-        ordered = F.array_sort(
-            F.transform(
-                kept,
-                lambda x: F.struct(
-                    F.coalesce(x["e"]["category"], F.lit("z_other")).alias("k1"),
-                    x["e"]["canonical_name"].alias("k2"),
-                    x["i"].alias("k3"),
-                    x["e"].alias("e"),
-                ),
-            )
-        )
-        return F.transform(ordered, lambda x: x["e"])
-
-    return let(F.array_sort(F.transform(present, one)), firsts)
+# ------------------------------------------------------------------ for display
 
 
 def by_category(skills: Column) -> Column:
@@ -296,7 +267,7 @@ def suggest(terms: DataFrame, dim: DataFrame, term: str = "term", limit: int = 1
     asked = terms.select(F.col(term).alias("term")).where(F.length("term") >= 2).distinct()
     asked = asked.withColumn("_t", F.lower("term")).withColumn("_gram", F.substring("_t", 1, 2))
     pieces = dim.select("canonical", "dict_pos", "alias_lower", F.explode(_bigrams(F.col("alias_lower"))).alias("_gram"))
-    hits = asked.join(_sized(pieces), "_gram").where(F.contains(F.col("alias_lower"), F.col("_t")))
+    hits = asked.join(pieces, "_gram").where(F.contains(F.col("alias_lower"), F.col("_t")))
     # One row per term and name; both sides of this are bounded by terms x dictionary.
     named = hits.groupBy("term", "_t", "canonical").agg(F.min("dict_pos").alias("dict_pos"))
     rank = F.row_number().over(

@@ -197,7 +197,7 @@ def profile_of(
     """Profile struct from a parser result; null where there is no result.
 
     Only the file name is kept of the path. ``skills`` takes an already normalised skill
-    array (``operators.skills.normalize_array``) instead of the raw names.
+    array (``operators.skills.normalize_lists``) instead of the raw names.
     """
     s = result["sections"]
     source = F.coalesce(basename(path), F.lit("unknown.docx"))

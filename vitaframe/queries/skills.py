@@ -121,6 +121,12 @@ def normalize_skills_with_keys(spark, folder):
     )
 
 
+def _skill_lists(spark, folder):
+    lists = _raw(spark, folder).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("x"))
+    lists = lists.select("doc_id", F.transform("x", lambda e: e["raw"]).alias("raws"))
+    return K.normalize_lists(lists, K.lookup_table(K.dictionary(spark)), "raws")
+
+
 _LISTS = (
     f"WITH {_RAW_CTE}, {_dim_cte()}, {_norm_cte('WHERE ' + strip_sql('raw') + quote('').join([' <> ', '']))}, "
     "firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(canonical_name) ORDER BY pos) AS rn FROM norm), "
@@ -132,11 +138,8 @@ _LISTS = (
     _LISTS + f" SELECT doc_id, {strip_sql('raw')} AS name, canonical_name, category, row_number() OVER (PARTITION BY doc_id ORDER BY category, canonical_name) AS rank FROM kept"
 )
 def normalize_skill_lists(spark, folder):
-    """One list per document inside its row: blanks dropped, first of each name kept, sorted."""
-    lists = _raw(spark, folder).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("x"))
-    lookup = K.inline_lookup(K.lookup_table(K.dictionary(spark)))
-    skills = K.normalize_array(F.transform("x", lambda e: e["raw"]), lookup)
-    flat = lists.select("doc_id", F.posexplode(skills).alias("i", "s"))
+    """One list per document: blanks dropped, first of each name kept, sorted."""
+    flat = _skill_lists(spark, folder).select("doc_id", F.posexplode("skills").alias("i", "s"))
     return flat.select("doc_id", "s.name", "s.canonical_name", "s.category", (F.col("i") + 1).cast("long").alias("rank"))
 
 
@@ -182,10 +185,7 @@ def skill_category_stats(spark, folder):
 )
 def skills_by_category(spark, folder):
     """Skills of each document grouped for display."""
-    lists = _raw(spark, folder).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "raw"))).alias("x"))
-    lookup = K.inline_lookup(K.lookup_table(K.dictionary(spark)))
-    skills = lists.select("doc_id", K.normalize_array(F.transform("x", lambda e: e["raw"]), lookup).alias("s"))
-    flat = skills.select("doc_id", F.explode(K.by_category(F.col("s"))).alias("g"))
+    flat = _skill_lists(spark, folder).select("doc_id", F.explode(K.by_category(F.col("skills"))).alias("g"))
     return flat.select("doc_id", "g.category", F.array_join("g.skills", ",").alias("skills"))
 
 
