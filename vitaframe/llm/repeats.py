@@ -40,7 +40,7 @@ MOST = 32
 BLOCKS = (32, 8, 1)
 #: Bytes that are looked at together.
 PIECE = 1 << 19
-BATCH = 1 << 21
+BATCH = 1 << 20
 #: Words of 64 marks each in a bitmap.
 WORDS = 1 << 20
 
@@ -350,7 +350,9 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
 def _crowds(rows: DataFrame) -> DataFrame:
     """Rows whose core occurs twice, with ``crowd``, the number of its different contexts."""
     totals = rows.groupBy("core").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("crowd"))
-    return rows.join(totals.where("total > 1").drop("total"), "core")
+    # written, so that the rows of one core are free to be split among tasks when they meet its total
+    totals = written(totals.where("total > 1").drop("total"), "repeat-cores")
+    return rows.join(totals, "core")
 
 
 def _repeats(rows: DataFrame, crowded: Callable[[], DataFrame], blocks: tuple[int, ...]) -> DataFrame:
@@ -364,7 +366,7 @@ def _repeats(rows: DataFrame, crowded: Callable[[], DataFrame], blocks: tuple[in
     merged = pieces.groupBy("core", "context").agg(
         F.sum("weight").alias("weight"), F.first("first").alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes")
     )
-    merged = written(_crowds(merged), "repeat-blocks")
+    merged = written(_crowds(written(merged, "repeat-merged")), "repeat-blocks")
     names = [part.split()[0] for part in _CONTEXT.split(", ")]
     few = merged.where(F.col("crowd") <= MOST).select(*names)
     below = _repeats(few, lambda: merged.where(F.col("crowd") > MOST).select(*names), blocks[1:])
@@ -379,7 +381,8 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     places = written(_occurrences(texts, _marks(cores, "core")), "repeat-places")
     # equal contexts are one, with a count and one of its places
     groups = places.groupBy("core", "context").agg(F.sum(_part("place", 0, 16)).alias("weight"), F.min(F.struct("text_key", "place")).alias("at"))
-    wanted = written(_crowds(groups.select("core", "context", "weight", "at.text_key", "at.place")), "repeat-contexts")
+    groups = written(groups.select("core", "context", "weight", "at.text_key", "at.place"), "repeat-groups")
+    wanted = written(_crowds(groups), "repeat-contexts")
     few, many = wanted.where(F.col("crowd") <= MOST), wanted.where(F.col("crowd") > MOST)
     found = written(_repeats(_cut_out(texts, few), lambda: _cut_out(texts, many), BLOCKS), "repeat-windows")
     met = places.join(found, ["core", "context"])
