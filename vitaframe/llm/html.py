@@ -8,13 +8,15 @@ that marks none, all plain blocks. Repeats decide which of their tokens stay, on
 any region, and at least ``SEVERAL`` of them (``FEW``, on pages that mark no article). So a passage that some articles share
 stays, however many pages the table holds.
 
-1. Every page is read once; its blocks are written, and only they are used from then on.
-2. The contents of a host are dealt into groups of ``GROUP`` to twice as many. What more than half of all hold, more than half of
+1. The different contents of every host are counted.
+2. They are dealt into groups of about ``GROUP`` to twice as many, each content once. What more than half of all hold, more than half of
    some group hold. The token streams of a group are concatenated and put in suffix order (``suffixes``: linear
    grouping); neighbours with ``SPAN`` equal tokens in more than half of its pages, and in a candidate block of one, are
    candidates. A group is bounded, so a host with a third of all pages is many of them.
-3. Candidates are counted over all contents. A bitmap of fixed size says which windows need to be counted.
+3. Candidates, if there are any, are counted over all contents. A bitmap of fixed size says which windows need to be counted.
 4. Maximal covered runs are cut out of the pages that hold any; outside articles, blocks that are nearly all covered go whole.
+
+Pages are read anew for each of these, as their text is nearly all of them: written or shuffled twice it would need more room.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from vitaframe.llm.common import numbered, written
+from vitaframe.llm.common import written
 from vitaframe.llm.suffixes import suffix_orders
 from vitaframe.llm.urls import host_of
 
@@ -300,47 +302,62 @@ def _touching(kept: list[bool], sizes: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_windows(groups: list[list[tuple[str, list[str], list[bool]]]]) -> list[np.ndarray]:
-    """For each group of pages ``(host, texts, kept)`` the keys of windows that more than half of the pages hold, by suffix order."""
-    pages = []  # group, tokens, keys, touching
+    """For each group of pages ``(host, texts, kept)`` the keys of windows that more than half of the pages hold, by suffix order.
+
+    A token of such a window is in more than half of the pages itself, so only stretches of ``SPAN`` or more of these
+    tokens are concatenated and put in order.
+    """
+    number: dict[str, int] = {}
+    pages = []  # group, token numbers, touching
     for g, group in enumerate(groups):
-        for host, texts, kept in group:
+        for _, texts, kept in group:
             tokens, sizes = _tokens(texts)
-            keys = windows(host, tokens)
-            pages.append((g, tokens, keys, _touching(kept, sizes, len(keys))))
-    lengths = np.bincount([g for g, *_ in pages], [len(t) + 1 for _, t, *_ in pages], len(groups)).astype(np.int64) + 1
-    order_of = np.argsort(-lengths, kind="stable")
-    rank = np.empty(len(groups), np.int64)
-    rank[order_of] = np.arange(len(groups))
-    pages.sort(key=lambda page: rank[page[0]])
-    number: dict[str, int] = {}
-    parts, page_of, key_of, touch_of = [], [], [], []
-    for k, (g, tokens, keys, touching) in enumerate(pages):
-        last = k + 1 == len(pages) or pages[k + 1][0] != g
-        rest = len(tokens) - len(keys) + 1 + last  # places that begin no window, and the ends of page and group
-        parts.append(np.array([*[number.setdefault(t, len(number) + 2) for t in tokens], 1, *[0] * last], np.int64))
-        page_of.append(np.concatenate([np.full(len(keys), k), np.full(rest, -1)]))
-        key_of.append(np.concatenate([keys, np.zeros(rest, np.int64)]))
-        touch_of.append(np.concatenate([touching, np.zeros(rest, bool)]))
-    symbols, page, key, touch = map(np.concatenate, (parts, page_of, key_of, touch_of))
-    ends = np.cumsum(lengths[order_of])
-    order = suffix_orders(symbols, ends - lengths[order_of], ends)
+            pages.append((g, np.array([number.setdefault(t, len(number)) for t in tokens], np.int64), _touching(kept, sizes, max(0, len(tokens) - SPAN + 1))))
+    members = np.bincount([g for g, *_ in pages], minlength=len(groups))
+    seen, times = np.unique(np.concatenate([np.unique(tokens) + g * len(number) for g, tokens, _ in pages]), return_counts=True)
+    common = seen[2 * times > members[seen // max(1, len(number))]]
+    parts: list[list[np.ndarray]] = [[] for _ in groups]  # symbols, page, place, touching, side by side
+    for k, (g, tokens, touching) in enumerate(pages):
+        at = np.searchsorted(common, tokens + g * len(number))
+        often = common[np.minimum(at, len(common) - 1)] == tokens + g * len(number) if len(common) else np.zeros(len(tokens), bool)
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], often.astype(np.int8), [0])))).reshape(-1, 2)
+        for low, high in edges[edges[:, 1] - edges[:, 0] >= SPAN].tolist():
+            starts = np.arange(low, high + 1) <= high - SPAN  # of windows; the last place is the stretch's end
+            own = np.zeros((4, high - low + 1), np.int64)
+            own[0, :-1], own[0, -1] = tokens[low:high] + 2, 1
+            own[1] = np.where(starts, k, -1)
+            first = np.arange(low, high - SPAN + 1)
+            own[2, : len(first)], own[3, : len(first)] = first, touching[first]
+            parts[g].append(own)
+    full = sorted((g for g in range(len(groups)) if parts[g]), key=lambda g: -sum(x.shape[1] for x in parts[g]))
+    found = [np.zeros(0, np.int64) for _ in groups]
+    if not full:
+        return found
+    end = np.array([[0], [-1], [0], [0]])
+    strings = [np.concatenate([*parts[g], end], axis=1) for g in full]
+    lengths = np.array([x.shape[1] for x in strings])
+    symbols, page, place, touch = np.concatenate(strings, axis=1)
+    ends = np.cumsum(lengths)
+    order = suffix_orders(symbols, ends - lengths, ends)
+    string = np.repeat(np.arange(len(full)), lengths)
     order = order[page[order] >= 0]
-    group_of = np.array([rank[g] for g, *_ in pages])
-    group = group_of[page[order]]
+    group = string[order]
     same = np.flatnonzero(group[1:] == group[:-1])
     for k in range(SPAN):
         same = same[symbols[order[same] + k] == symbols[order[same + 1] + k]]
     fresh = np.ones(len(order), bool)
     fresh[same + 1] = False
     run = np.cumsum(fresh) - 1
-    if not len(order):
-        return [np.zeros(0, np.int64) for _ in groups]
     holders = np.bincount(np.unique(run * len(pages) + page[order]) // len(pages))  # different pages of each run
     touched = np.bincount(run, touch[order]) > 0
-    members = np.bincount(group_of, minlength=len(groups))
     heads = np.flatnonzero(fresh)
-    found = touched & (2 * holders > members[group[heads]])
-    return [key[order[heads[found & (group[heads] == rank[g])]]] for g in range(len(groups))]
+    chosen_runs = touched & (2 * holders > members[np.array(full)][group[heads]])
+    names = list(number)
+    for k, g in enumerate(full):
+        at = order[heads[chosen_runs & (group[heads] == k)]]
+        runs = [[names[t] for t in pages[page[i]][1][place[i] : place[i] + SPAN]] for i in at]
+        found[g] = np.array([windows(groups[g][0][0], run)[0] for run in runs], np.int64)
+    return found
 
 
 def asked(host: str, texts: list[str], kept: list[bool], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,60 +405,92 @@ def _mapped(rows: DataFrame, task: Callable, schema: str, keep: int) -> DataFram
     return rows.mapInArrow(run, out)
 
 
-def _candidates(read: DataFrame, contents: DataFrame) -> DataFrame:
-    """``key`` of the windows that more than half of some group of contents hold."""
-    grouped = contents.where(F.col("contents") >= FEW).select("place", F.concat_ws("/", "number", "group").alias("group"))
-    pages = read.join(grouped, "place").select("group", "host", "blocks")
+def _blocks(page: str | None) -> tuple[list[str], list[bool], bool, int]:
+    """Texts of a page's blocks, which of them are candidates, if it marks an article, and the hash of its content."""
+    own = Reader(page).blocks if page else []
+    kept, article = chosen(own)
+    texts = [b.text for b in own]
+    return texts, kept, article, xxhash.xxh64_intdigest(" ".join(texts)) - (1 << 63)
+
+
+def _contents(hosts: DataFrame) -> DataFrame:
+    """``host, contents``: hosts with the number of their different contents, where there are ``FEW`` or more."""
+
+    def task(part: pa.RecordBatch):
+        found = {}
+        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+            found.setdefault((host, _blocks(page)[3]), i)
+        return list(found.values()), [pa.array([content for _, content in found], pa.int64())]
+
+    distinct = _mapped(hosts, task, "content long", 1).distinct()
+    return distinct.groupBy("host").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") >= FEW)
+
+
+def _candidates(pages: DataFrame, contents: DataFrame) -> DataFrame:
+    """``key`` of the windows that more than half of some group of contents hold. Blocks travel as lines of text."""
+    parts = F.greatest(F.lit(1), F.floor(F.col("contents") / GROUP))
+
+    def streams(part: pa.RecordBatch):
+        """Each content once, however often a batch has it."""
+        found: dict[tuple[str, int], tuple] = {}
+        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            texts, kept, _, content = _blocks(page)
+            found.setdefault((host, content), (i, "\n".join(texts), "".join("+" if k else "-" for k in kept)))
+        rows = list(found.values())
+        columns = [pa.array([c for _, c in found], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+        return [r[0] for r in rows], columns
+
+    read = _mapped(pages.join(contents, "host").select("host", parts.alias("parts"), "html"), streams, "content long, texts string, kept string", 2)
+    grouped = read.select("host", F.pmod(F.col("content"), F.col("parts")).alias("group"), "content", "texts", "kept")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        size = 0
-
-        def solved(rows: list[tuple]) -> pa.RecordBatch:
-            groups: dict[str, list[tuple]] = {}
-            for group, host, blocks in rows:
-                groups.setdefault(group, []).append((host, [b["text"] for b in blocks], [b["kept"] for b in blocks]))
-            found = shared_windows(list(groups.values()))
+        waiting: dict[tuple, dict[int, tuple]] = {}
+        last, size = None, 0
+
+        def solved() -> pa.RecordBatch:
+            found = shared_windows([list(group.values()) for group in waiting.values()])
+            waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                for row in zip(*[c.to_pylist() for c in batch.slice(start, 64).columns], strict=True):
-                    if size > BATCH and row[0] != waiting[-1][0]:
-                        yield solved(waiting)
-                        waiting, size = [], 0
-                    waiting.append(row)
-                    size += sum(b["text"].count(" ") + 1 for b in row[2])
+            for host, group, content, texts, kept in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (host, group) != last and size > BATCH:
+                    yield solved()
+                    size = 0
+                last = (host, group)
+                own = waiting.setdefault(last, {})
+                if content not in own:
+                    own[content] = (host, texts.split("\n") if texts else [], [k == "+" for k in kept])
+                    size += texts.count(" ") + 1
         if waiting:
-            yield solved(waiting)
+            yield solved()
 
-    return pages.repartition("group").sortWithinPartitions("group").mapInArrow(task, "key long").distinct()
+    return grouped.repartition("host", "group").sortWithinPartitions("host", "group").mapInArrow(task, "key long").distinct()
 
 
-def _boilerplate(read: DataFrame) -> DataFrame:
+def _boilerplate(pages: DataFrame) -> DataFrame:
     """``key, holders`` of the windows that more than half of the host's contents hold, and at least ``FEW``."""
-    firsts = read.groupBy("host", "content").agg(F.min("place").alias("place"))
-    ranked = numbered(firsts, [F.asc("host"), F.asc("content")], "page-contents")
-    hosts = ranked.groupBy("host").agg(F.min("_rank").alias("number"), F.count(F.lit(1)).alias("contents"))
-    groups = F.greatest(F.lit(1), F.floor(F.col("contents") / GROUP))
-    group = F.least(F.floor((F.col("_rank") - F.col("number")) / GROUP), groups - 1)
-    contents = written(ranked.join(hosts, "host").select("place", "number", "contents", group.alias("group")), "page-groups")
-    candidates = written(_candidates(read, contents), "page-candidates")
-    shipped = read.sparkSession.sparkContext.broadcast(_marks_of(candidates))
+    contents = written(_contents(pages), "page-hosts")
+    candidates = written(_candidates(pages, contents), "page-candidates")
+    none = candidates.select("key", F.lit(0).cast("long").alias("holders")).where("false")
+    if candidates.isEmpty():
+        return none
+    shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(candidates))
 
     def counted(part: pa.RecordBatch):
-        picked, found = [], [np.zeros(0, np.int64)]
-        for i, (host, blocks) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-            keys = windows(host, _tokens([b["text"] for b in blocks])[0])
+        picked, found, of = [], [np.zeros(0, np.int64)], []
+        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+            texts, _, _, content = _blocks(page)
+            keys = windows(host, _tokens(texts)[0])
             keys = np.unique(keys[marked(keys, shipped.value)]) if len(keys) else keys
             picked += [i] * len(keys)
+            of += [content] * len(keys)
             found.append(keys)
-        return picked, [pa.array(np.concatenate(found), pa.int64())]
+        return picked, [pa.array(np.concatenate(found), pa.int64()), pa.array(of, pa.int64())]
 
-    held = _mapped(read.select("place", "host", "blocks"), counted, "key long", 1).join(contents.select("place", "contents"), "place")
-    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("holders"), F.max("contents").alias("contents"))
-    over = counts.where((F.col("holders") >= FEW) & (2 * F.col("holders") > F.col("contents")))
-    return over.join(candidates, "key", "left_semi").select("key", "holders")
+    held = _mapped(pages, counted, "key long, content long", 1).join(candidates, "key", "left_semi").distinct()
+    counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("holders")).join(contents, "host")
+    return counts.where((F.col("holders") >= FEW) & (2 * F.col("holders") > F.col("contents"))).select("key", "holders")
 
 
 def _marks_of(repeated: DataFrame) -> np.ndarray:
@@ -464,32 +513,33 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
-    def split(part: pa.RecordBatch):
-        blocks, contents, articles = [], [], []
-        for page in part.column(3).to_pylist():
-            own = Reader(page).blocks if page else []
-            kept, article = chosen(own)
-            blocks.append([{"text": b.text, "kept": k} for b, k in zip(own, kept, strict=True)])
-            contents.append(xxhash.xxh64_intdigest(" ".join(b.text for b in own)) - (1 << 63))
-            articles.append(article)
-        return list(range(part.num_rows)), [pa.array(blocks, _BLOCKS), pa.array(contents, pa.int64()), pa.array(articles, pa.bool_())]
-
-    read = _mapped(rows, split, "blocks array<struct<text:string,kept:boolean>>, content long, article boolean", 3)
-    read = written(read.withColumn("place", F.monotonically_increasing_id()), "pages-read")
-    boilerplate = written(_boilerplate(read), "page-boilerplate")
+    boilerplate = written(_boilerplate(rows.select("host", "html")), "page-boilerplate")
     shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(boilerplate))
-
-    def asks(part: pa.RecordBatch):
+    none, nothing = boilerplate.isEmpty(), np.zeros(0, np.int64)
+
+    def read(part: pa.RecordBatch):
+        """The text of a page without marked windows; of the others the blocks, and the windows to be looked up."""
+        texts_of, blocks_of, articles, asks = [], [], [], []
+        for host, page in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+            texts, kept, article, _ = _blocks(page)
+            keys, at = (nothing, nothing) if none else asked(host, texts, kept, shipped.value)
+            plain = not len(keys)
+            texts_of.append(without_repeats(texts, kept, article, set()) if plain else None)
+            blocks_of.append(None if plain else [{"text": t, "kept": k} for t, k in zip(texts, kept, strict=True)])
+            articles.append(article)
+            asks.append([{"key": k, "at": a} for k, a in zip(keys.tolist(), at.tolist(), strict=True)])
         kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
-        found = []
-        for host, blocks in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-            keys, at = asked(host, [b["text"] for b in blocks], [b["kept"] for b in blocks], shipped.value)
-            found.append([{"key": k, "at": a} for k, a in zip(keys.tolist(), at.tolist(), strict=True)])
-        picked = [i for i, x in enumerate(found) if x]
-        return picked, [pa.array([found[i] for i in picked], kind)]
-
-    own = _mapped(read.select("place", "host", "blocks", "article"), asks, "asks array<struct<key:long,at:int>>", 1).select("place", F.inline("asks"))
-    met = own.join(boilerplate, "key").groupBy("place")
+        columns = [pa.array(texts_of, pa.string()), pa.array(blocks_of, _BLOCKS), pa.array(articles, pa.bool_()), pa.array(asks, kind)]
+        return list(range(part.num_rows)), columns
+
+    kinds = "text string, blocks array<struct<text:string,kept:boolean>>, article boolean, asks array<struct<key:long,at:int>>"
+    found = _mapped(rows, read, kinds, 2).withColumn("place", F.monotonically_increasing_id())
+    if none:  # no page is open
+        return found.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = written(found, "pages-read")
+    plain = found.where(F.col("text").isNotNull()).select("id", "url", "text")
+    open_ = found.where(F.col("text").isNull())
+    met = open_.select("place", F.inline("asks")).join(boilerplate, "key").groupBy("place")
     covered = met.agg(F.collect_list(F.struct("at", "holders")).alias("covered"))  # at most a page's length
 
     def resolved(part: pa.RecordBatch):
@@ -500,6 +550,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts.append(without_repeats([b["text"] for b in blocks], [b["kept"] for b in blocks], article, places))
         return list(range(part.num_rows)), [pa.array(texts, pa.string())]
 
-    rest = read.join(covered, "place", "left").select("id", "url", "blocks", "article", "covered")
-    out = _mapped(rest, resolved, "text string", 2)
+    rest = open_.join(covered, "place", "left").select("id", "url", "blocks", "article", "covered")
+    out = plain.unionByName(_mapped(rest, resolved, "text string", 2))
     return out.select("id", "url", "text", F.length("text").cast("long").alias("n_chars"))
