@@ -319,6 +319,71 @@ def model_errors(variant_column: str, model: Model = PROFILE_RULES) -> Column:
     return F.expr(_model_sql(variant_column, model, None, _Names()))
 
 
+# ------------------------------------------------------------------ rules for typed profiles
+#
+# A struct column has its types already; what is left to check are required fields, lengths, formats
+# and nulls in lists. A null field counts as absent, as it is when the profile is written as JSON.
+
+
+def _typed_leaf_sql(v: str, rule: Leaf, path: str) -> str:
+    """Errors of a scalar column that is not null."""
+    pairs: list[tuple[str, str]] = []
+    if rule.kind == "object":
+        pairs = [(f"NOT coalesce(schema_of_variant(try_parse_json({v})) LIKE 'OBJECT%', false)", MESSAGES["object"])]
+    elif rule.kind == "string" and rule.check == "category":
+        pairs = [(f"{v} NOT IN ({', '.join(_quoted(c) for c in SKILL_CATEGORIES)})", MESSAGES["category"])]
+    elif rule.kind == "string":
+        if rule.longest is not None:
+            pairs.append((f"length({v}) > {rule.longest}", f"String should have at most {rule.longest} characters"))
+        test = {"email": EMAIL_TEST, "phone": PHONE_TEST}.get(rule.check)
+        if test:
+            pairs.append((f"{v} <> '' AND NOT ({test.format(v)})", MESSAGES[rule.check]))
+        if rule.check == "semver":
+            pairs.append((f"NOT ({SEMVER_TEST.format(v)})", MESSAGES["semver"]))
+    return _cases(path, *pairs) if pairs else ""
+
+
+def _typed_value_sql(v: str, rule, path: str, names: _Names) -> str:
+    """Errors of a column that is not null, as an array; empty text where nothing can be wrong."""
+    if isinstance(rule, Leaf) and rule.kind == "string_map":
+        entry = names("entry")
+        where = f"concat({path}, ' -> ', {entry}.key)"
+        return f"transform(filter(map_entries({v}), {entry} -> {entry}.value IS NULL), {entry} -> {_message_sql(where, MESSAGES['string'])})"
+    if isinstance(rule, Leaf):
+        return _typed_leaf_sql(v, rule, path)
+    if isinstance(rule, Strings):
+        item, at = names("item"), names("at")
+        where = f"concat({path}, ' -> ', cast({at} AS string))"
+        return f"array_compact(transform({v}, ({item}, {at}) -> CASE WHEN {item} IS NULL THEN {_message_sql(where, MESSAGES['string'])} END))"
+    if isinstance(rule, Model):
+        return _typed_model_sql(v, rule, path, names)
+    item, at, where = names("item"), names("at"), names("where")
+    checked = f"CASE WHEN {item} IS NULL THEN array({_message_sql(where, MESSAGES['object'])}) ELSE {_typed_model_sql(item, rule.item, where, names)} END"
+    per_item = _bind(f"concat({path}, ' -> ', cast({at} AS string))", where, checked)
+    return f"flatten(transform({v}, ({item}, {at}) -> {per_item}))"
+
+
+def _typed_field_sql(parent: str, name: str, rule, prefix: str | None, names: _Names) -> str:
+    path = _quoted(name) if prefix is None else f"concat({prefix}, {_quoted(' -> ' + name)})"
+    v = f"{parent}.{name}"
+    none = "cast(array() AS array<string>)"
+    absent = f"array({_message_sql(path, MESSAGES['missing'])})" if rule.required else none
+    found = _typed_value_sql(v, rule, path, names)
+    if not found and not rule.required:
+        return ""
+    return f"CASE WHEN {v} IS NULL THEN {absent} ELSE {found or none} END"
+
+
+def _typed_model_sql(v: str, model: Model, prefix: str | None, names: _Names) -> str:
+    parts = [sql for n, r in model.fields.items() if (sql := _typed_field_sql(v, n, r, prefix, names))]
+    return "concat(" + ", ".join(parts) + ")" if parts else "cast(array() AS array<string>)"
+
+
+def typed_errors(profile: str, model: Model = PROFILE_RULES) -> Column:
+    """Errors of all fields of a profile struct column, in field order."""
+    return F.expr(_typed_model_sql(profile, model, None, _Names()))
+
+
 # ------------------------------------------------------------------ prohibited keys
 
 
@@ -391,42 +456,42 @@ def disallowed_contact_keys(contact_json: Column) -> Column:
 # ------------------------------------------------------------------ reports
 
 
-def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
-    """Add ``is_valid, errors, warnings, profile_valid, schema_version`` for a JSON column.
+_BODY = Model({n: r for n, r in PROFILE_RULES.fields.items() if n != "schema_version"})
+_REQUIRED = [n for n, r in PROFILE_RULES.fields.items() if r.required]
+#: Errors of a whole top-level field, which a lenient check may drop.
+_TOP = r"^Field '([a-z_]+)': "
 
-    Strict: an incompatible version is the only error reported. Lenient: invalid top-level
-    fields are dropped and their errors become warnings; a broken required field or an error
-    further inside keeps the profile invalid.
+
+def _prohibited(extra: Column) -> Column:
+    return F.transform(
+        F.coalesce(prohibited_in_row(extra), no_strings()),
+        lambda p: F.concat(F.lit("Field '': Value error, Prohibited derived PII field detected: "), p),
+    )
+
+
+def _report(staged: DataFrame, strict: bool) -> DataFrame:
+    """Errors, warnings and verdict from ``_parsed, _version, _fields`` (errors but the version's).
+
+    ``_dropped`` are the top-level fields that a lenient check leaves out of a valid profile.
     """
-    v = F.col("_v")
-    version = F.try_variant_get(v, "$.schema_version", "string")
-    staged = df.withColumn("_v", F.try_parse_json(json)).withColumn("_version", version)
-    parsed = F.col("_v").isNotNull() & F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
     missing = F.coalesce(F.col("_version") == "", F.lit(True))
     same = F.col("_version") == SCHEMA_VERSION
     compatible = is_compatible(F.col("_version"))
     refused = ~missing & ~same & ~compatible
     # A missing or compatible version is rewritten before the check, so it cannot fail.
-    body = Model({n: r for n, r in PROFILE_RULES.fields.items() if n != "schema_version"})
     version_errors = F.when(
         refused & ~is_semver("_version"), F.array(F.lit(f"Field 'schema_version': {MESSAGES['semver']}"))
     ).otherwise(no_strings())
-    extra = F.to_json(F.try_variant_get(v, "$.additional_sections", "variant"))
-    prohibited = F.transform(
-        F.coalesce(prohibited_in_row(extra), no_strings()),
-        lambda p: F.concat(F.lit("Field '': Value error, Prohibited derived PII field detected: "), p),
-    )
     staged = staged.withColumns(
         {
-            "_parsed": parsed,
-            "_fields": F.when(parsed, F.concat(version_errors, model_errors("_v", body), prohibited)).otherwise(no_strings()),
+            "_fields": F.when(F.col("_parsed"), F.concat(version_errors, "_fields")).otherwise(no_strings()),
             "_refused": F.when(
                 refused,
                 F.concat(F.lit("Incompatible schema version: "), F.col("_version"), F.lit(f" (current: {SCHEMA_VERSION})")),
             ),
             "_notes": F.array_compact(
                 F.array(
-                    F.when(missing & parsed, f"No schema version found, assuming {SCHEMA_VERSION}"),
+                    F.when(missing & F.col("_parsed"), f"No schema version found, assuming {SCHEMA_VERSION}"),
                     F.when(
                         ~missing & ~same & compatible,
                         F.concat(F.lit("Migrated schema from "), F.col("_version"), F.lit(f" to {SCHEMA_VERSION}")),
@@ -436,6 +501,7 @@ def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
         }
     )
     unreadable = F.array(F.lit("Invalid JSON"))
+    dropped = no_strings()
     if strict:
         errors = (
             F.when(~F.col("_parsed"), unreadable)
@@ -444,11 +510,9 @@ def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
         )
         warnings = F.col("_notes")
     else:
-        required = [n for n, r in PROFILE_RULES.fields.items() if r.required]
-        top = r"^Field '[a-z_]+': "
         keeps_failing = F.exists(
             F.col("_fields"),
-            lambda e: ~e.rlike(top) | e.rlike("^Field '(?:" + "|".join(required) + ")': "),
+            lambda e: ~e.rlike(_TOP) | e.rlike("^Field '(?:" + "|".join(_REQUIRED) + ")': "),
         )
         failing = F.col("_parsed") & keeps_failing
         moved = F.concat(
@@ -463,11 +527,78 @@ def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
         warnings = F.when(failing | ~F.col("_parsed"), F.col("_notes")).otherwise(
             F.concat(F.col("_notes"), version_note, moved)
         )
-    staged = staged.withColumns({"errors": errors, "warnings": warnings})
+        dropped = F.transform(F.col("_fields"), lambda e: F.regexp_extract(e, _TOP, 1))
+    staged = staged.withColumns({"errors": errors, "warnings": warnings, "_dropped": dropped})
     valid = F.size("errors") == 0
-    return staged.withColumns(
-        {"is_valid": valid, "profile_valid": valid, "schema_version": F.when(valid, SCHEMA_VERSION)}
-    ).drop("_v", "_version", "_parsed", "_fields", "_refused", "_notes")
+    return staged.withColumns({"is_valid": valid, "profile_valid": valid, "schema_version": F.when(valid, SCHEMA_VERSION)})
+
+
+_WORKING = ("_v", "_version", "_parsed", "_fields", "_refused", "_notes", "_dropped")
+
+
+def _of_json(df: DataFrame, json: str, strict: bool) -> DataFrame:
+    v = F.col("_v")
+    staged = df.withColumn("_v", F.try_parse_json(json)).withColumn("_version", F.try_variant_get(v, "$.schema_version", "string"))
+    parsed = v.isNotNull() & F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    extra = F.to_json(F.try_variant_get(v, "$.additional_sections", "variant"))
+    staged = staged.withColumns({"_parsed": parsed, "_fields": F.concat(model_errors("_v", _BODY), _prohibited(extra))})
+    return _report(staged, strict)
+
+
+def validate(df: DataFrame, json: str, strict: bool = True) -> DataFrame:
+    """Add ``is_valid, errors, warnings, profile_valid, schema_version`` for a JSON column.
+
+    Strict: an incompatible version is the only error reported. Lenient: invalid top-level
+    fields are dropped and their errors become warnings; a broken required field or an error
+    further inside keeps the profile invalid.
+    """
+    return _of_json(df, json, strict).drop(*_WORKING)
+
+
+def clean(df: DataFrame, json: str, strict: bool = False) -> DataFrame:
+    """``validate`` with ``cleaned``, the profile that passed, as JSON; null where none did.
+
+    It has the known fields that were there and were right, nulls and empty lists as they came, and the current
+    schema version. What a lenient check dropped is named in ``warnings``. ``sources.tables.profiles_from_json`` reads it.
+    """
+    staged = _of_json(df, json, strict)
+    fields = F.try_variant_get("_v", "$", "map<string,variant>")
+    known = F.array(*[F.lit(n) for n in _BODY.fields])
+    kept = F.map_filter(fields, lambda name, _: F.array_contains(known, name) & ~F.array_contains(F.col("_dropped"), name))
+    version = F.create_map(F.lit("schema_version"), F.try_parse_json(F.lit(f'"{SCHEMA_VERSION}"')))
+    return staged.withColumn("cleaned", F.when(F.col("is_valid"), F.to_json(F.map_concat(version, kept)))).drop(*_WORKING)
+
+
+def _of_struct(df: DataFrame, profile: str, strict: bool) -> DataFrame:
+    staged = df.withColumns(
+        {
+            "_version": F.col(f"{profile}.schema_version"),
+            "_parsed": F.col(profile).isNotNull(),
+            "_fields": F.concat(typed_errors(profile, _BODY), _prohibited(F.col(f"{profile}.additional_sections"))),
+        }
+    )
+    return _report(staged, strict)
+
+
+def validate_profiles(df: DataFrame, profile: str = "profile", strict: bool = True) -> DataFrame:
+    """``validate`` for a typed profile column, without a way through JSON; a null profile is no profile ("Invalid JSON")."""
+    return _of_struct(df, profile, strict).drop(*_WORKING)
+
+
+def clean_profiles(df: DataFrame, profile: str = "profile", strict: bool = False) -> DataFrame:
+    """``validate_profiles`` with the profile column cleaned and migrated: failing top-level fields are null, the version
+    is the current one, and profiles that did not pass are null."""
+    staged = _of_struct(df, profile, strict)
+    kinds = {f.name: f.dataType for f in df.schema[profile].dataType.fields}
+
+    def kept(name: str) -> Column:
+        own = F.col(f"{profile}.{name}")
+        if name == "schema_version":
+            return F.lit(SCHEMA_VERSION)
+        return F.when(~F.array_contains("_dropped", F.lit(name)), own).cast(kinds[name])
+
+    rebuilt = F.struct(*[kept(name).alias(name) for name in kinds])
+    return staged.withColumn(profile, F.when(F.col("is_valid"), rebuilt)).drop(*_WORKING)
 
 
 def error_counts(report: DataFrame) -> DataFrame:

@@ -141,6 +141,44 @@ def validate_lenient(spark, folder):
     return out.select("c_custkey", "is_valid", F.array_join("warnings", ";").alias("warnings"))
 
 
+_CLEAN_SQL = (
+    f"WITH p AS (SELECT c_custkey, c_custkey % {_K} AS kind, {_TITLE} AS title, {PROFILE_JSON} AS j, "
+    f"c_custkey % {_K} IN ({', '.join(map(str, _LENIENT_OK))}) AND NOT {_IS_LONG} AS is_valid FROM customer) "
+)
+
+
+@register(
+    _CLEAN_SQL + "SELECT c_custkey, is_valid, CASE WHEN is_valid THEN '1.0.0' END AS version, CASE WHEN is_valid THEN 'a.pdf' END AS source_file, "
+    "CASE WHEN is_valid THEN 0.5::DOUBLE END AS confidence, CASE WHEN is_valid THEN title END AS title, "
+    "CASE WHEN is_valid THEN array_to_string(list_sort(list_distinct(list_append(list_filter(json_keys(j), lambda k: kind <> 7 OR k <> 'experience'), 'schema_version'))), ',') END AS fields "
+    "FROM p"
+)
+def cleaned_profiles(spark, folder):
+    """The profiles that pass a lenient check, without what it dropped and in the current version, read back field by field."""
+    cleaned = V.clean(_profile_json(spark, folder), "j")
+    read = profiles_from_json(cleaned, "cleaned")
+    return read.select(
+        "c_custkey", "is_valid", F.col("profile.schema_version").alias("version"), F.col("profile.source_file").alias("source_file"),
+        F.col("profile.metadata.confidence_score").alias("confidence"), F.col("profile.achievements")[0]["title"].alias("title"),
+        F.array_join(F.array_sort(F.json_object_keys("cleaned")), ",").alias("fields"),
+    )
+
+
+_TYPED_BAD = "(c_custkey % 13 = 0 OR c_custkey % {k} IN (1, 6, 8, {last}))".format(k=_K, last=_K - 1)
+
+
+@register(
+    f"SELECT c_custkey, NOT {_TYPED_BAD} AS is_valid, CASE WHEN NOT {_TYPED_BAD} THEN '1.0.0' END AS version, CASE WHEN NOT {_TYPED_BAD} THEN c_name END AS title FROM customer"
+)
+def cleaned_typed_profiles(spark, folder):
+    """The same for typed profiles: those read from JSON, where fields of another type are null already."""
+    typed = profiles_from_json(_profile_json(spark, folder), "j").drop("read_error")
+    out = V.clean_profiles(typed)
+    return out.select(
+        "c_custkey", "is_valid", F.col("profile.schema_version").alias("version"), F.col("profile.achievements")[0]["title"].alias("title")
+    )
+
+
 @register(
     f"WITH b AS (SELECT c_custkey, {_BASE} AS base FROM customer), e AS (SELECT {_ERRORS_SQL} AS errors FROM b), "
     "x AS (SELECT regexp_replace(unnest(string_split(errors, ';')), '-> \\d+', '-> *', 'g') AS error FROM e WHERE errors <> '') "
@@ -207,16 +245,16 @@ _AT = "2024-03-01 12:00:00"
     "CASE WHEN n > 2000 THEN 'Field ''summary -> text'': String should have at most 2000 characters' END], lambda e: e IS NOT NULL), ';') AS errors FROM x"
 )
 def profiles_of_resumes(spark, folder):
-    """Parse, build the profile, write it as JSON, and validate that JSON."""
+    """Parse, build the profile and check it as it is."""
     parsed = parse.parse_plain(resumes(spark, folder), boundary="ascii", limits=X.PUBLISHED_LIMITS)
     path = F.concat(F.lit("/in/2024/"), F.expr(FILE_NAME))
     built = P.with_profiles(parsed, path, F.lit(_AT).cast("timestamp"))
-    checked = V.validate(built.select("doc_id", P.to_profile_json(F.col("profile")).alias("j")), "j")
-    read = lambda p: F.get_json_object("j", f"$.{p}")
+    checked = V.validate_profiles(built.select("doc_id", "profile"))
+    read = lambda p: F.col(f"profile.{p}")
     return checked.select(
         "doc_id", read("source_file").alias("source_file"), read("extraction_method").alias("extraction_method"),
         read("contact.email").alias("email"), read("contact.github").alias("github"), read("contact.website").alias("website"),
-        read("generated_at").alias("generated_at"), "is_valid", F.array_join("errors", ";").alias("errors"),
+        F.date_format(read("generated_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated_at"), "is_valid", F.array_join("errors", ";").alias("errors"),
     )
 
 
