@@ -140,10 +140,11 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str = "email
 def erase_users(gone: DataFrame, users: DataFrame, resumes: DataFrame, artifacts: DataFrame) -> dict[str, DataFrame]:
     """Remove users (``gone.id``) and, with them, their resumes and artifacts.
 
-    Artifacts of other users that point to a removed resume keep their row, without the link.
+    Artifacts of other users that point to a removed resume keep their row, without the link. The keys that go are
+    written once and serve all three tables.
     """
-    ids = gone.select(F.col("id").alias("user_id")).distinct()
-    dropped = resumes.join(ids, "user_id", "left_semi").select("id")
+    ids = written(gone.select(F.col("id").alias("user_id")).distinct(), "gone-users")
+    dropped = written(resumes.join(ids, "user_id", "left_semi").select("id").distinct(), "gone-resumes")
     kept = artifacts.join(ids, "user_id", "left_anti")
     return {
         "users": users.join(ids.withColumnRenamed("user_id", "id"), "id", "left_anti").select(*users.columns),
