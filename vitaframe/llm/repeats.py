@@ -39,7 +39,7 @@ CORE = 50
 MOST = 32
 BLOCKS = (32, 8, 1)
 #: Bytes that are looked at together.
-PIECE = 1 << 19
+PIECE = 1 << 17
 BATCH = 1 << 20
 #: Words of 64 marks each in a bitmap.
 WORDS = 1 << 20
@@ -250,7 +250,7 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes]]]) -> list[list[np
     own = np.array([sum(len(b) + 1 for _, _, b in groups[g]) + 1 for g in by_size])
     ends = np.cumsum(own)
     raw = np.frombuffer(b"".join(parts) + bytes(8), np.uint8)
-    symbols = raw[: ends[-1]].astype(np.int64) + 2
+    symbols = raw[: ends[-1]].astype(np.int32) + 2
     counts = np.array([len(groups[g]) for g in by_size])
     after = np.repeat(np.arange(len(by_size)), counts)  # group ends before a context
     context_ends = np.cumsum(lengths) + after
@@ -258,7 +258,7 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes]]]) -> list[list[np
     symbols[context_ends - 1] = 1
     symbols[ends - 1] = 0
     order = suffix_orders(symbols, ends - own, ends)
-    context = np.full(len(symbols), -1)  # of the windows' places
+    context = np.full(len(symbols), -1, np.int32)  # of the windows' places
     for_windows = np.repeat(np.arange(len(starts)), windows)
     n = np.array(windows)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
@@ -366,7 +366,7 @@ def _repeats(rows: DataFrame, crowded: Callable[[], DataFrame], blocks: tuple[in
     merged = pieces.groupBy("core", "context").agg(
         F.sum("weight").alias("weight"), F.first("first").alias("first"), F.first("n").alias("n"), F.first("bytes").alias("bytes")
     )
-    merged = written(_crowds(written(merged, "repeat-merged")), "repeat-blocks")
+    merged = written(_crowds(merged), "repeat-blocks")
     names = [part.split()[0] for part in _CONTEXT.split(", ")]
     few = merged.where(F.col("crowd") <= MOST).select(*names)
     below = _repeats(few, lambda: merged.where(F.col("crowd") > MOST).select(*names), blocks[1:])
@@ -381,8 +381,7 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     places = written(_occurrences(texts, _marks(cores, "core")), "repeat-places")
     # equal contexts are one, with a count and one of its places
     groups = places.groupBy("core", "context").agg(F.sum(_part("place", 0, 16)).alias("weight"), F.min(F.struct("text_key", "place")).alias("at"))
-    groups = written(groups.select("core", "context", "weight", "at.text_key", "at.place"), "repeat-groups")
-    wanted = written(_crowds(groups), "repeat-contexts")
+    wanted = written(_crowds(groups.select("core", "context", "weight", "at.text_key", "at.place")), "repeat-contexts")
     few, many = wanted.where(F.col("crowd") <= MOST), wanted.where(F.col("crowd") > MOST)
     found = written(_repeats(_cut_out(texts, few), lambda: _cut_out(texts, many), BLOCKS), "repeat-windows")
     met = places.join(found, ["core", "context"])
