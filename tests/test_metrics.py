@@ -25,14 +25,17 @@ def test_percentile_rank(spark, n):
 
 
 @pytest.mark.parametrize("skewed", [False, True])
-def test_percentiles_by_narrowing(spark, monkeypatch, skewed):
-    """With a small bracket the sketch passes do the work; a third of all values is equal."""
-    monkeypatch.setattr(M, "_BRACKET_ROWS", 50)
+def test_percentiles_in_wide_brackets(spark, monkeypatch, skewed):
+    """With a rough sketch the brackets hold most values and overlap; a third of all values is equal."""
+    monkeypatch.setattr(M, "_ACCURACY", 20)
     rnd = random.Random(7)
     values = [5.0 if skewed and i % 3 == 0 else rnd.lognormvariate(3, 2) for i in range(4000)]
     got = M.duration_percentiles(events(spark, [("parse_duration", v) for v in values])).first()
     ordered = sorted(values)
     assert (got.p50, got.p90, got.p95) == tuple(ordered[math.floor(4000 * p)] for p in (0.5, 0.9, 0.95))
+    many = {f"p{k}": k / 100 for k in range(0, 100, 7)}
+    row = M.duration_percentiles(events(spark, [("parse_duration", v) for v in values]), many).first()
+    assert {k: row[k] for k in many} == {k: ordered[math.floor(4000 * p)] for k, p in many.items()}
 
 
 def test_percentiles_of_nothing(spark):

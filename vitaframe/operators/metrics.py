@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaframe.functions.text import rounded
+from vitaframe.session import written
 
 EVENT_DDL = (
     "event_id bigint, ts timestamp, metric_type string, value double, "
@@ -177,78 +178,51 @@ def recent_events(events: DataFrame, limit: int = 100) -> DataFrame:
 
 # ------------------------------------------------------------------ percentiles
 
-# Values that may enter the exact aggregate, and the sketch's accuracy.
-_BRACKET_ROWS = 200_000
+# Accuracy of the sketch: ranks are off by at most this share.
 _ACCURACY = 10_000
 
 
-def _narrow(values: DataFrame, low: float, high: float, below: int, size: int, rank: int):
-    """A smaller bracket ``(low, high, below, size)`` that still holds the value of ``rank``.
-
-    ``below`` values lie under the bracket and ``size`` in it. Every call drops some values.
-    """
-    inside = values.where(F.col("v").between(low, high))
-    at, slack = (rank - below) / size, 2.0 / _ACCURACY
-    marks = [max(0.0, at - slack), min(1.0, at + slack)]
-    lo, hi = inside.agg(F.percentile_approx("v", marks, _ACCURACY).alias("m")).first()["m"]
-    v = F.col("v")
-    seen = inside.agg(
-        F.count_if(v < lo).alias("under"),
-        F.count_if(v.between(lo, hi)).alias("within"),
-        F.max(F.when(v < lo, v)).alias("left"),
-        F.min(F.when(v > hi, v)).alias("right"),
-    ).first()
-    if rank < below + seen["under"]:
-        return low, seen["left"], below, seen["under"]
-    if rank >= below + seen["under"] + seen["within"]:
-        rest = size - seen["under"] - seen["within"]
-        return seen["right"], high, size - rest + below, rest
-    if seen["within"] < size:
-        return lo, hi, below + seen["under"], seen["within"]
-    # Nearly all values equal one of the two ends: test those, else go between them.
-    ends = inside.agg(
-        F.count_if(v == low).alias("lows"),
-        F.count_if(v == high).alias("highs"),
-        F.min(F.when(v > low, v)).alias("left"),
-        F.max(F.when(v < high, v)).alias("right"),
-    ).first()
-    if rank < below + ends["lows"]:
-        return low, low, below, ends["lows"]
-    if rank >= below + size - ends["highs"]:
-        return high, high, below + size - ends["highs"], ends["highs"]
-    return ends["left"], ends["right"], below + ends["lows"], size - ends["lows"] - ends["highs"]
-
-
 def duration_percentiles(
     events: DataFrame, percents: dict[str, float] | None = None, kind: str = "parse_duration", value: str = "value"
 ) -> DataFrame:
     """Exact order statistics ``sorted[floor(n * p)]`` plus min and max, as one row.
 
-    ``percentile_disc`` over all values would gather every distinct value in one task.
-    Instead a fixed-size sketch brackets each percentile; passes narrow the bracket until
-    few rows are left in it (or a single value), and only those enter the exact aggregate.
-    Each pass is one map-side aggregate and brings one row to the driver. NaN is no measurement and is
-    left out; infinities are ordered like other values.
+    Two scans, however many percentiles: a sketch of fixed size brackets all of them at once, then the values inside the
+    brackets are counted, and those below only summed up. ``percentile_disc`` would gather every distinct value in one
+    task; here counts are combined before the shuffle, sorted by range, and added up over the sorted
+    partitions, so a bracket of any size is spread. NaN is no measurement and is left out; infinities are
+    ordered like other values. Without values all are null.
     """
     percents = {"p50": 0.5, "p90": 0.9, "p95": 0.95} if percents is None else percents
-    values = events.where(_is(kind) & F.col(value).isNotNull()).select(F.col(value).alias("v")).where(~F.isnan("v"))
-    total = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = total["n"]
-    brackets = {}
-    for name, p in percents.items():
-        rank, low, high, below, size = math.floor(n * p), total["lo"], total["hi"], 0, n
-        while size > _BRACKET_ROWS and low != high:
-            low, high, below, size = _narrow(values, low, high, below, size, rank)
-        brackets[name] = (low, high, rank - below, size)
-    columns = []
-    for name, (low, high, rank, size) in brackets.items():
-        if low == high:  # also covers an empty input, where both are null
-            columns.append(F.lit(low).cast("double").alias(name))
-            continue
-        # percentile_disc(q) is the value of 1-based rank ceil(q * size).
-        exact = f"percentile_disc({(rank + 0.5) / size!r}D) WITHIN GROUP (ORDER BY v)"
-        columns.append(F.expr(f"{exact} FILTER (WHERE v BETWEEN CAST('{low!r}' AS DOUBLE) AND CAST('{high!r}' AS DOUBLE))").alias(name))
-    return values.agg(*columns, F.min("v").alias("min"), F.max("v").alias("max"))
+    values = events.where(_is(kind) & F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).where(~F.isnan("v"))
+    slack = 2.0 / _ACCURACY
+    marks = [min(1.0, max(0.0, p + side)) for p in percents.values() for side in (-slack, slack)]
+    seen = values.agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", marks, _ACCURACY).alias("m")
+    ).first()
+    ends = [F.lit(seen.lo).cast("double").alias("min"), F.lit(seen.hi).cast("double").alias("max")]
+    if not seen.n:
+        return events.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(name) for name in percents], *ends)
+    brackets = [(k, min(seen.n - 1, math.floor(seen.n * p)), seen.m[2 * k], seen.m[2 * k + 1]) for k, p in enumerate(percents.values())]
+    # a value counts for every bracket that it is below (as null) or inside
+    places = [
+        F.when(F.col("v") <= F.lit(hi).cast("double"), F.struct(F.lit(k).alias("k"), F.when(F.col("v") >= F.lit(lo).cast("double"), F.col("v")).alias("v")))
+        for k, _, lo, hi in brackets
+    ]
+    spread = values.select(F.explode(F.array_compact(F.array(*places))).alias("x")).select("x.k", "x.v")
+    counts = spread.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    ordered = written(counts.orderBy("k", F.asc_nulls_first("v")).withColumn("_at", F.monotonically_increasing_id()), "percentiles")
+    ordered = ordered.withColumn("_part", F.shiftright("_at", 33))
+    sums = ordered.groupBy("_part").agg(F.sum("c").alias("_sum"))  # a row per sorted partition
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("c").over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    added = ordered.withColumn("_inside", inside).join(sums.select("_part", before.alias("_before")), "_part")
+    added = added.withColumn("_end", F.col("_before") + F.col("_inside"))
+    starts = added.groupBy("k").agg(F.min(F.col("_end") - F.col("c")).alias("_start"))  # a row per percentile
+    rank = F.element_at(F.array(*[F.lit(r).cast("long") for _, r, _, _ in brackets]), F.col("k") + 1)
+    placed = added.join(starts, "k").withColumn("_end", F.col("_end") - F.col("_start"))
+    hit = placed.where((F.col("_end") > rank) & (F.col("_end") - F.col("c") <= rank))
+    return hit.agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(name) for k, name in enumerate(percents)], *[F.max(e).alias(n) for e, n in zip(ends, ("min", "max"), strict=True)])
 
 
 # ------------------------------------------------------------------ traces and reports
