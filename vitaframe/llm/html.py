@@ -30,7 +30,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -373,6 +373,8 @@ def without_repeats(texts: list[str], kept: list[bool], article: bool, covered:
 
     ``covered`` holds the places of repeated windows in the stream of all blocks.
     """
+    if not covered:
+        return " ".join(text for text, stays in zip(texts, kept, strict=True) if stays)
     out, plain, at = [], [], 0
     hit = {i for p in covered for i in range(p, p + SPAN)}
     for text, stays in zip(texts, kept, strict=True):
@@ -405,42 +407,41 @@ def _mapped(rows: DataFrame, task: Callable, schema: str, keep: int) -> DataFram
     return rows.mapInArrow(run, out)
 
 
-def _blocks(page: str | None) -> tuple[list[str], list[bool], bool, int]:
-    """Texts of a page's blocks, which of them are candidates, if it marks an article, and the hash of its content."""
+def _blocks(page: str | None) -> tuple[list[str], list[bool], bool]:
+    """Texts of a page's blocks, which of them are candidates, and if it marks an article."""
     own = Reader(page).blocks if page else []
     kept, article = chosen(own)
-    texts = [b.text for b in own]
-    return texts, kept, article, xxhash.xxh64_intdigest(" ".join(texts)) - (1 << 63)
+    return [b.text for b in own], kept, article
 
 
-def _contents(hosts: DataFrame) -> DataFrame:
-    """``host, contents``: hosts with the number of their different contents, where there are ``FEW`` or more."""
+def _content(page: Column) -> Column:
+    """Pages of one content are those with equal text between their tags, white space aside."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(page, F.lit("")), r"<[^>]*>", " "), r"\s+", " ")
+    return F.xxhash64(text)
 
-    def task(part: pa.RecordBatch):
-        found = {}
-        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-            found.setdefault((host, _blocks(page)[3]), i)
-        return list(found.values()), [pa.array([content for _, content in found], pa.int64())]
 
-    distinct = _mapped(hosts, task, "content long", 1).distinct()
+def _contents(pages: DataFrame) -> DataFrame:
+    """``host, contents``: hosts with the number of their different contents, where there are ``FEW`` or more."""
+    distinct = pages.select("host", "content").distinct()
     return distinct.groupBy("host").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") >= FEW)
 
 
 def _candidates(pages: DataFrame, contents: DataFrame) -> DataFrame:
-    """``key`` of the windows that more than half of some group of contents hold. Blocks travel as lines of text."""
+    """``key, host`` of the windows that more than half of some group of contents hold. Blocks travel as lines of text."""
     parts = F.greatest(F.lit(1), F.floor(F.col("contents") / GROUP))
 
     def streams(part: pa.RecordBatch):
         """Each content once, however often a batch has it."""
         found: dict[tuple[str, int], tuple] = {}
-        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-            texts, kept, _, content = _blocks(page)
-            found.setdefault((host, content), (i, "\n".join(texts), "".join("+" if k else "-" for k in kept)))
+        for i, (host, content) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            if (host, content) not in found:
+                texts, kept, _ = _blocks(part.column(3)[i].as_py())
+                found[host, content] = (i, "\n".join(texts), "".join("+" if k else "-" for k in kept))
         rows = list(found.values())
-        columns = [pa.array([c for _, c in found], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
-        return [r[0] for r in rows], columns
+        return [r[0] for r in rows], [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
 
-    read = _mapped(pages.join(contents, "host").select("host", parts.alias("parts"), "html"), streams, "content long, texts string, kept string", 2)
+    asked_of = pages.join(contents, "host").select("host", parts.alias("parts"), "content", "html")
+    read = _mapped(asked_of, streams, "texts string, kept string", 3)
     grouped = read.select("host", F.pmod(F.col("content"), F.col("parts")).alias("group"), "content", "texts", "kept")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,8 +450,9 @@ def _candidates(pages: DataFrame, contents: DataFrame) -> DataFrame:
 
         def solved() -> pa.RecordBatch:
             found = shared_windows([list(group.values()) for group in waiting.values()])
+            hosts = [host for (host, _), keys in zip(waiting, found, strict=True) for _ in keys]
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(hosts, pa.string())], names=["key", "host"])
 
         for batch in batches:
             for host, group, content, texts, kept in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -465,32 +467,31 @@ def _candidates(pages: DataFrame, contents: DataFrame) -> DataFrame:
         if waiting:
             yield solved()
 
-    return grouped.repartition("host", "group").sortWithinPartitions("host", "group").mapInArrow(task, "key long").distinct()
+    return grouped.repartition("host", "group").sortWithinPartitions("host", "group").mapInArrow(task, "key long, host string").distinct()
 
 
 def _boilerplate(pages: DataFrame) -> DataFrame:
-    """``key, holders`` of the windows that more than half of the host's contents hold, and at least ``FEW``."""
+    """``key, host, holders`` of the windows that more than half of the host's contents hold, and at least ``FEW``.
+
+    Only hosts with candidates are read for it.
+    """
     contents = written(_contents(pages), "page-hosts")
     candidates = written(_candidates(pages, contents), "page-candidates")
-    none = candidates.select("key", F.lit(0).cast("long").alias("holders")).where("false")
-    if candidates.isEmpty():
-        return none
     shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(candidates))
 
     def counted(part: pa.RecordBatch):
-        picked, found, of = [], [np.zeros(0, np.int64)], []
-        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-            texts, _, _, content = _blocks(page)
-            keys = windows(host, _tokens(texts)[0])
+        picked, found = [], [np.zeros(0, np.int64)]
+        for i, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+            keys = windows(host, _tokens(_blocks(page)[0])[0])
             keys = np.unique(keys[marked(keys, shipped.value)]) if len(keys) else keys
             picked += [i] * len(keys)
-            of += [content] * len(keys)
             found.append(keys)
-        return picked, [pa.array(np.concatenate(found), pa.int64()), pa.array(of, pa.int64())]
+        return picked, [pa.array(np.concatenate(found), pa.int64())]
 
-    held = _mapped(pages, counted, "key long, content long", 1).join(candidates, "key", "left_semi").distinct()
+    concerned = pages.join(candidates.select("host").distinct(), "host", "left_semi").select("host", "content", "html")
+    held = _mapped(concerned, counted, "key long", 2).join(candidates.select("key"), "key", "left_semi").distinct()
     counts = held.groupBy("host", "key").agg(F.count(F.lit(1)).alias("holders")).join(contents, "host")
-    return counts.where((F.col("holders") >= FEW) & (2 * F.col("holders") > F.col("contents"))).select("key", "holders")
+    return counts.where((F.col("holders") >= FEW) & (2 * F.col("holders") > F.col("contents"))).select("key", "host", "holders")
 
 
 def _marks_of(repeated: DataFrame) -> np.ndarray:
@@ -513,16 +514,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
 
-    boilerplate = written(_boilerplate(rows.select("host", "html")), "page-boilerplate")
-    shipped = pages.sparkSession.sparkContext.broadcast(_marks_of(boilerplate))
+    boilerplate = written(_boilerplate(rows.select("host", _content(F.col("html")).alias("content"), "html")), "page-boilerplate")
+    marks, hosts = _marks_of(boilerplate), _marks_of(boilerplate.select(F.xxhash64("host").alias("key")))
+    shipped = pages.sparkSession.sparkContext.broadcast((marks, hosts))
     none, nothing = boilerplate.isEmpty(), np.zeros(0, np.int64)
 
     def read(part: pa.RecordBatch):
         """The text of a page without marked windows; of the others the blocks, and the windows to be looked up."""
         texts_of, blocks_of, articles, asks = [], [], [], []
+        marks, hosts = shipped.value
+        clear = {h: not marked(np.array([xxhash.xxh64_intdigest(h, 42)], np.uint64), hosts)[0] for h in set(part.column(2).to_pylist())}
         for host, page in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-            texts, kept, article, _ = _blocks(page)
-            keys, at = (nothing, nothing) if none else asked(host, texts, kept, shipped.value)
+            texts, kept, article = _blocks(page)
+            keys, at = (nothing, nothing) if clear[host] else asked(host, texts, kept, marks)
             plain = not len(keys)
             texts_of.append(without_repeats(texts, kept, article, set()) if plain else None)
             blocks_of.append(None if plain else [{"text": t, "kept": k} for t, k in zip(texts, kept, strict=True)])
@@ -539,7 +543,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     found = written(found, "pages-read")
     plain = found.where(F.col("text").isNotNull()).select("id", "url", "text")
     open_ = found.where(F.col("text").isNull())
-    met = open_.select("place", F.inline("asks")).join(boilerplate, "key").groupBy("place")
+    met = open_.select("place", F.inline("asks")).join(boilerplate.select("key", "holders"), "key").groupBy("place")
     covered = met.agg(F.collect_list(F.struct("at", "holders")).alias("covered"))  # at most a page's length
 
     def resolved(part: pa.RecordBatch):
