@@ -314,7 +314,29 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (  -- a window is cut out of a piece, as finding a place in a string takes time that grows with the place
+  SELECT r, c, n, substr(h, 500 * c + 1, 500 + {2 * repeats.LENGTH}) AS p FROM (SELECT r, h, len(h) // 2 AS n, unnest(range(0, len(h) // 500 + 1)) AS c FROM d)
+), w AS (
+  SELECT r, 250 * c + k AS i, hash(substr(p, 2 * k + 1, {2 * repeats.LENGTH})) AS s FROM pieces, range(250) t(k) WHERE 250 * c + k + {repeats.LENGTH} <= n
+), twice AS (
+  SELECT r, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+), starts AS (
+  SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {repeats.LENGTH} THEN 0 ELSE 1 END AS fresh FROM twice
+), numbered AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM starts
+), spans AS (
+  SELECT r, run, min(i) AS a, max(i) + {repeats.LENGTH} AS b, coalesce(lag(max(i)) OVER (PARTITION BY r ORDER BY run) + {repeats.LENGTH}, 0) AS before
+  FROM numbered GROUP BY r, run
+), cut AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept
+  FROM spans JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+""")
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages that occur twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
