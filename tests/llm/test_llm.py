@@ -134,6 +134,9 @@ def test_chat_repair(spark):
             assert legal == ["<|user|>", "<|assistant|>"] * (len(legal) // 2) and legal
             assert all(f"t{t}\n" in text or f"t{t}<|" in text for t in range(len(roles[conv])))
     assert chat.repaired_chats(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, 0, "user", "x" * 200_000, "c", 1.0)] * 2 + [(1, 1, "assistant", "", "c", 1.0)], "conv_id long, turn long, role string, text string, rendered string, cost double")
+    row = chat.repaired_chats(odd).first()
+    assert row.rendered.count("x") == 400_000 and row.rendered.count("<|assistant|>") >= 1
 
 
 def test_lattice_links_and_recall(spark):
@@ -159,6 +162,9 @@ def test_lattice_links_and_recall(spark):
     for i in range(len(odd)):
         assert (got[1000 + i].n_links, got[1000 + i].component, got[1000 + i].kept) == (0, 1000 + i, True)
     assert lattice.near_vectors(df.limit(0)).count() == 0
+    twins = spark.createDataFrame([(7, [1.0, 0.0], "n", 1)] * 2 + [(3, [1.0, 0.01], "n", 1), (9, [0.0, 1.0], "n", 1)], "vec_id long, embedding array<double>, node string, weight int")
+    found = sorted((r.id, r.n_links, r.component, r.kept) for r in lattice.near_vectors(twins).collect())
+    assert found == [(3, 2, 3, True), (7, 2, 3, False), (7, 2, 3, False), (9, 0, 9, True)]
 
 
 def test_shards_fit(spark):

@@ -147,7 +147,9 @@ def repaired_chats(
 
     Turns go by number, then role, then text, nulls first. A null or unknown role is never kept but
     merged or relabelled; a null text is empty. Rows with a null conversation are one conversation.
-    The strings of a long conversation's parts, in order, are its rendering.
+    The strings of a long conversation's parts, in order, are its rendering. Repeated turns are turns of their own, texts of any
+    length are rendered whole, other columns have no effect; an empty table gives no rows. Of repairs of one cost the first
+    in the order of the automaton's states is taken.
     """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     long_ = written(rows.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select(F.col("conv").alias("long")), "chat-long")

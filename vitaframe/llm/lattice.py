@@ -221,7 +221,8 @@ def near_vectors(df: DataFrame, least: float = LEAST, id_col: str = "vec_id", ve
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are
     components of their own. Vectors of different lengths never link. Rows that repeat a vector (also
-    with one id) are linked with each other. A null id names no component unless it stands alone.
+    with one id) are linked with each other. A null id names no component unless it stands alone. A cosine of
+    exactly ``least`` links. Other columns have no effect; an empty table gives no rows.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     classes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("weight"))

@@ -15,7 +15,7 @@ def shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
     ``shard`` is the prefix of the id's hash, as zeros and ones; only shards of more than ``limit``
     bytes of text are split on their next bit. A text larger than the limit has a shard of its own.
     Rows that repeat an id (null ids too) are hashed by their place in the table as well, so they
-    spread like others. Null text has 0 bytes. Only ids, sizes and hashes are shuffled.
+    spread like others. Null text has 0 bytes. Only ids, sizes and hashes are shuffled. An empty table gives no rows.
     """
     sized = docs.select(F.col(id_col).alias("id"), _bytes_of(F.col(text_col)).alias("weight"))
     sized = written(sized.withColumn("place", F.monotonically_increasing_id()), "shard-sizes")

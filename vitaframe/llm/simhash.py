@@ -144,7 +144,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(id, fp, component)``: one row per document; ``component`` is the smallest id reachable over links.
 
     Documents with equal fingerprints are linked, texts without words (fingerprint 0) included.
-    Rows with a null id take part in links but never name a component (null where no other row does).
+    Rows with a null id take part in links but never name a component (null where no other row does). Null text counts
+    as empty, a text of any length is read whole, repeated rows link with each other; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-nodes")

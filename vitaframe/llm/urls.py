@@ -127,7 +127,12 @@ def train(rows: DataFrame, suffixes: DataFrame, train_rows: int = TRAIN_ROWS) ->
 def judge(
     df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = RULES, train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
-    """``id, host, path, rule, verdict`` per row of ``df``. Null urls and urls without ``://`` are judged by the trees."""
+    """``id, host, path, rule, verdict`` per row of ``df``.
+
+    Null urls and urls without ``://`` are judged by the trees; a url of any length is judged whole. Repeated rows get the
+    same verdict, each its own row; null ids pass through. Without two verdicts to learn from the one there is (or
+    allow) is given. Other columns have no effect, whatever their names; an empty table gives no rows.
+    """
     rows = _with_features(df, id_col, url_col, rules)
     blocked = F.count(F.when(F.col("judged.verdict") == "block", 1))
     sums = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("judged").alias("known"), blocked.alias("blocked"))
