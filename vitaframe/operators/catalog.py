@@ -250,11 +250,13 @@ def row_violations(df: DataFrame, table: str, vector_length: int = VECTOR_LENGTH
         checks.append(F.when(~F.col("status").isin(*STATUSES), "status unknown"))
     if table == "artifacts" and "embedding" in df.columns:
         checks.append(F.when(F.size("embedding") != vector_length, f"embedding length is not {vector_length}"))
-    return df.select(
+    # the outer form: for explode the optimizer would work all checks out a second time as a filter
+    found = df.select(
         F.lit(table).alias("table"),
-        F.explode(F.array_compact(F.array(*checks))).alias("rule"),
+        F.explode_outer(F.array_compact(F.array(*checks))).alias("rule"),
         F.col("id").cast("string").alias("id"),
     )
+    return found.where(F.col("rule").isNotNull())
 
 
 def duplicate_keys(df: DataFrame, table: str, column: str) -> DataFrame:
