@@ -1,3 +1,5 @@
+from collections import Counter
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,17 @@ def test_one_group_at_one_time_is_spread(spark):
     got = C.numbered(rows, ["user", "title"], "ts", "id")
     want = rows.withColumn("version", F.row_number().over(Window.partitionBy("user", "title").orderBy("ts", "id")).cast("long"))
     assert got.exceptAll(want).isEmpty() and got.count() == 20_000
+
+
+def test_artifacts_without_a_resume_are_not_shuffled(spark):
+    """Null links go through no join: their rows stay in the partitions they come in."""
+    artifacts = spark.range(0, 8000, 1, 8).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 1000 < 2, F.concat(F.lit("r"), F.col("id") % 1000)).alias("resume_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = C.unlink_resumes(spark.createDataFrame([("r0",)], "id string"), artifacts).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(out) == 8000 and sorted(r.resume_id for r in out if r.resume_id) == ["r1"] * 8
+    sizes = Counter(r.part for r in out)
+    assert max(sizes.values()) < 2000

@@ -145,19 +145,22 @@ def erase_users(gone: DataFrame, users: DataFrame, resumes: DataFrame, artifacts
     """
     ids = written(gone.select(F.col("id").alias("user_id")).distinct(), "gone-users")
     dropped = written(resumes.join(ids, "user_id", "left_semi").select("id").distinct(), "gone-resumes")
-    kept = artifacts.join(ids, "user_id", "left_anti")
     return {
         "users": users.join(ids.withColumnRenamed("user_id", "id"), "id", "left_anti").select(*users.columns),
         "resumes": resumes.join(ids, "user_id", "left_anti").select(*resumes.columns),
-        "artifacts": unlink_resumes(dropped, kept).select(*artifacts.columns),
+        "artifacts": unlink_resumes(dropped, artifacts).join(ids, "user_id", "left_anti").select(*artifacts.columns),
     }
 
 
 def unlink_resumes(gone: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Null ``resume_id`` of the artifacts of removed resumes (``gone.id``)."""
+    """Null ``resume_id`` of the artifacts of removed resumes (``gone.id``).
+
+    Artifacts without a resume stay where they lie: in the join they would all go to one task.
+    """
     ids = gone.select(F.col("id").alias("_gone")).distinct()
-    joined = artifacts.join(ids, F.col("resume_id") == F.col("_gone"), "left")
-    return joined.withColumn("resume_id", F.when(F.col("_gone").isNull(), F.col("resume_id"))).drop("_gone")
+    linked = artifacts.where(F.col("resume_id").isNotNull()).join(ids, F.col("resume_id") == F.col("_gone"), "left")
+    unlinked = linked.withColumn("resume_id", F.when(F.col("_gone").isNull(), F.col("resume_id"))).drop("_gone")
+    return unlinked.unionByName(artifacts.where(F.col("resume_id").isNull()))
 
 
 def erase_resumes(gone: DataFrame, resumes: DataFrame, artifacts: DataFrame) -> dict[str, DataFrame]:
