@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,36 +273,73 @@ def to_profile_json(profile: Column) -> Column:
 # ------------------------------------------------------------------ loosely shaped input
 
 
-def _text(v: Column, *names: str) -> Column:
-    """First non-empty of some fields of a variant object, as text."""
-    return F.coalesce(*[blank_to_null(F.try_variant_get(v, f"$.{n}", "string")) for n in names])
+_DATES_READ = (
+    "struct<start_date:string,start:string,end_date:string,end:string,raw_date_text:string,raw:string,is_current:boolean>"
+)
+#: What is read of the objects of parser JSON; a field of another type is null, and so is an object that is none.
+_READ = {
+    "parser": (
+        "struct<extraction_method:string,file_path:string,sections:map<string,variant>,"
+        "metadata:struct<extractor_version:string,confidence_score:double>,warnings:array<string>>"
+    ),
+    "contact": (
+        "struct<name:string,full_name:string,email:string,phone:string,location:string,website:string,linkedin:string,"
+        "github:string,address:string,social_profiles:map<string,string>>"
+    ),
+    "summary": "struct<text:string,objective:string,keywords:array<string>>",
+    "experience": (
+        f"struct<company:string,position:string,title:string,location:string,dates:{_DATES_READ},duration:string,year:string,"
+        "description:string,responsibilities:array<string>,technologies:array<string>,confidence_score:double,warnings:array<string>>"
+    ),
+    "education": (
+        f"struct<institution:string,school:string,degree:string,field_of_study:string,major:string,location:string,dates:{_DATES_READ},"
+        "duration:string,year:string,gpa:string,honors:array<string>,relevant_coursework:array<string>,confidence_score:double,"
+        "warnings:array<string>>"
+    ),
+    "skills": (
+        "struct<name:string,category:string,proficiency_level:string,years_experience:int,canonical_name:string,"
+        "aliases:array<string>,context:string,confidence_score:double>"
+    ),
+    "projects": (
+        f"struct<name:string,title:string,description:string,url:string,link:string,dates:{_DATES_READ},duration:string,year:string,"
+        "technologies:array<string>,role:string,team_size:int,confidence_score:double>"
+    ),
+    "achievements": (
+        "struct<title:string,name:string,organization:string,issuer:string,date_received:string,date:string,description:string,"
+        "type:string,expiration_date:string,credential_id:string,verification_url:string>"
+    ),
+}
+
+
+def _read(v: Column, kind: str) -> Column:
+    """A variant object as a struct, in one pass over its fields."""
+    return F.try_variant_get(v, "$", kind)
 
 
-def _strings(v: Column, name: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), no_strings())
+def _text(o: Column, *names: str) -> Column:
+    """First non-empty of some fields."""
+    return F.coalesce(*[blank_to_null(o[n]) for n in names])
 
 
-def _objects(v: Column, name: str) -> Column:
-    """Object items of a list field; anything else in the list is left out."""
-    items = F.coalesce(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+def _strings(o: Column, name: str) -> Column:
+    return F.coalesce(o[name], no_strings())
 
 
-def _variant_dates(v: Column) -> Column:
-    def build(d: Column) -> Column:
-        parts = F.array(
-            _text(d, "start_date", "start"), _text(d, "end_date", "end"), _text(d, "raw_date_text", "raw")
-        )
-        current = F.try_variant_get(d, "$.is_current", "boolean")
-        return F.when(d.isNotNull(), let(parts, lambda p: date_range(p[0], p[1], current, p[2])))
+def _objects(v: Column, kind: str) -> Column:
+    """Object items of a list; anything else in the list is left out."""
+    items = F.coalesce(_read(v, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+    return F.filter(items, lambda o: o.isNotNull())
+
 
-    loose = let(_text(v, "duration", "year"), _raw_range)
-    return F.coalesce(let(F.try_variant_get(v, "$.dates", "variant"), build), loose)
+def _read_dates(o: Column) -> Column:
+    d = o["dates"]
+    parts = F.array(_text(d, "start_date", "start"), _text(d, "end_date", "end"), _text(d, "raw_date_text", "raw"))
+    dates = F.when(d.isNotNull(), let(parts, lambda p: date_range(p[0], p[1], d["is_current"], p[2])))
+    return F.coalesce(dates, _raw_range(_text(o, "duration", "year")))
 
 
-def _number(v: Column, name: str, dtype: str, default: float | None = None) -> Column:
-    out = F.try_variant_get(v, f"$.{name}", dtype)
-    return out if default is None else F.coalesce(out, F.lit(default))
+def _number(o: Column, name: str, default: float) -> Column:
+    return F.coalesce(o[name], F.lit(default))
 
 
 def profile_of_json(parser_json: Column, as_of: Column) -> Column:
@@ -309,146 +348,146 @@ def profile_of_json(parser_json: Column, as_of: Column) -> Column:
     ``title`` stands for position, ``school`` for institution, ``major`` for field of study,
     ``link`` for url, ``issuer`` for organisation, ``date`` for date received, ``start`` /
     ``end`` / ``raw`` for the parts of a date range. Skills and achievements may be plain
-    strings.
+    strings. Every object is read once, as a struct (``_READ``).
     """
+    no_items = F.array().cast("array<variant>")
 
     def contact(c: Column) -> Column:
-        fields = [_text(c, n).alias(n) for n in ("email", "phone", "location", "website", "linkedin", "github", "address")]
-        social = F.coalesce(
-            F.try_variant_get(c, "$.social_profiles", "map<string,string>"), F.create_map().cast("map<string,string>")
-        )
-        known = F.coalesce(F.schema_of_variant(c).rlike("^OBJECT<."), F.lit(False))
-        return F.when(known, F.struct(_text(c, "name", "full_name").alias("full_name"), *fields, social.alias("social_profiles")))
+        def build(o: Column) -> Column:
+            fields = [_text(o, n).alias(n) for n in ("email", "phone", "location", "website", "linkedin", "github", "address")]
+            social = F.coalesce(o["social_profiles"], F.create_map().cast("map<string,string>"))
+            built = F.struct(_text(o, "name", "full_name").alias("full_name"), *fields, social.alias("social_profiles"))
+            return F.when(o.isNotNull(), built)
+
+        return let(_read(c, _READ["contact"]), build)
 
     def summary(m: Column) -> Column:
-        as_object = F.struct(
-            _text(m, "text").alias("text"), _text(m, "objective").alias("objective"), _strings(m, "keywords").alias("keywords")
-        )
-        as_text = F.struct(
-            F.try_variant_get(m, "$", "string").alias("text"), _null().alias("objective"), no_strings().alias("keywords")
-        )
-        kind = F.schema_of_variant(m)
-        return F.when(F.startswith(kind, F.lit("OBJECT")), as_object).when(
-            (kind == "STRING") & (F.try_variant_get(m, "$", "string") != ""), as_text
+        def build(o: Column) -> Column:
+            as_object = F.struct(
+                _text(o, "text").alias("text"), _text(o, "objective").alias("objective"), _strings(o, "keywords").alias("keywords")
+            )
+            as_text = F.struct(
+                _read(m, "string").alias("text"), _null().alias("objective"), no_strings().alias("keywords")
+            )
+            return F.when(o.isNotNull(), as_object).when((F.schema_of_variant(m) == "STRING") & (_read(m, "string") != ""), as_text)
+
+        return let(_read(m, _READ["summary"]), build)
+
+    def objects_or_strings(v: Column, kind: str, build: Callable[[Column, Column], Column]) -> Column:
+        """``build(item, its object)`` of every item that is an object or (without object) a string."""
+
+        def one(x: Column) -> Column:
+            return let(_read(x, kind), lambda o: F.when(o.isNotNull() | (F.schema_of_variant(x) == "STRING"), build(x, o)))
+
+        return F.filter(F.transform(F.coalesce(_read(v, "array<variant>"), no_items), one), lambda y: y.isNotNull())
+
+    def skill(x: Column, o: Column) -> Column:
+        return F.struct(
+            F.coalesce(_text(o, "name"), _read(x, "string")).alias("name"),
+            _text(o, "category").alias("category"),
+            _text(o, "proficiency_level").alias("proficiency_level"),
+            o["years_experience"].alias("years_experience"),
+            _text(o, "canonical_name").alias("canonical_name"),
+            _strings(o, "aliases").alias("aliases"),
+            _text(o, "context").alias("context"),
+            _number(o, "confidence_score", 1.0).alias("confidence_score"),
         )
 
-    def build(v: Column) -> Column:
-        return let(F.try_variant_get(v, "$.sections", "variant"), lambda s: assemble(v, s))
+    def achievement(x: Column, o: Column) -> Column:
+        return F.struct(
+            F.coalesce(F.when(o.isNull(), _read(x, "string")), _text(o, "title", "name"), F.lit("Achievement")).alias("title"),
+            _text(o, "organization", "issuer").alias("organization"),
+            _text(o, "date_received", "date").alias("date_received"),
+            *[
+                _text(o, n).alias(n)
+                for n in ("description", "type", "expiration_date", "credential_id", "verification_url")
+            ],
+        )
 
-    def assemble(v: Column, s: Column) -> Column:
+    def assemble(v: Column) -> Column:
+        s = v["sections"]
+        section = lambda name: F.try_element_at(s, F.lit(name))
         experience = F.transform(
-            _objects(s, "experience"),
-            lambda x: F.struct(
-                _text(x, "company").alias("company"),
-                _text(x, "position", "title").alias("position"),
-                _text(x, "location").alias("location"),
-                _variant_dates(x).alias("dates"),
-                _text(x, "description").alias("description"),
-                _strings(x, "responsibilities").alias("responsibilities"),
-                _strings(x, "technologies").alias("technologies"),
-                _number(x, "confidence_score", "double", 0.0).alias("confidence_score"),
-                _strings(x, "warnings").alias("warnings"),
+            _objects(section("experience"), _READ["experience"]),
+            lambda o: F.struct(
+                _text(o, "company").alias("company"),
+                _text(o, "position", "title").alias("position"),
+                _text(o, "location").alias("location"),
+                _read_dates(o).alias("dates"),
+                _text(o, "description").alias("description"),
+                _strings(o, "responsibilities").alias("responsibilities"),
+                _strings(o, "technologies").alias("technologies"),
+                _number(o, "confidence_score", 0.0).alias("confidence_score"),
+                _strings(o, "warnings").alias("warnings"),
             ),
         )
         education = F.transform(
-            _objects(s, "education"),
-            lambda x: F.struct(
-                _text(x, "institution", "school").alias("institution"),
-                _text(x, "degree").alias("degree"),
-                _text(x, "field_of_study", "major").alias("field_of_study"),
-                _text(x, "location").alias("location"),
-                _variant_dates(x).alias("dates"),
-                _text(x, "gpa").alias("gpa"),
-                _strings(x, "honors").alias("honors"),
-                _strings(x, "relevant_coursework").alias("relevant_coursework"),
-                _number(x, "confidence_score", "double", 0.0).alias("confidence_score"),
-                _strings(x, "warnings").alias("warnings"),
-            ),
-        )
-        items = lambda name: F.coalesce(
-            F.try_variant_get(s, f"$.{name}", "array<variant>"), F.array().cast("array<variant>")
-        )
-        kept = lambda name: F.filter(items(name), lambda x: F.schema_of_variant(x).rlike("^(OBJECT|STRING)"))
-        skills = F.transform(
-            kept("skills"),
-            lambda x: F.struct(
-                F.coalesce(_text(x, "name"), F.try_variant_get(x, "$", "string")).alias("name"),
-                _text(x, "category").alias("category"),
-                _text(x, "proficiency_level").alias("proficiency_level"),
-                _number(x, "years_experience", "int").alias("years_experience"),
-                _text(x, "canonical_name").alias("canonical_name"),
-                _strings(x, "aliases").alias("aliases"),
-                _text(x, "context").alias("context"),
-                _number(x, "confidence_score", "double", 1.0).alias("confidence_score"),
+            _objects(section("education"), _READ["education"]),
+            lambda o: F.struct(
+                _text(o, "institution", "school").alias("institution"),
+                _text(o, "degree").alias("degree"),
+                _text(o, "field_of_study", "major").alias("field_of_study"),
+                _text(o, "location").alias("location"),
+                _read_dates(o).alias("dates"),
+                _text(o, "gpa").alias("gpa"),
+                _strings(o, "honors").alias("honors"),
+                _strings(o, "relevant_coursework").alias("relevant_coursework"),
+                _number(o, "confidence_score", 0.0).alias("confidence_score"),
+                _strings(o, "warnings").alias("warnings"),
             ),
         )
         projects = F.transform(
-            _objects(s, "projects"),
-            lambda x: F.struct(
-                F.coalesce(_text(x, "name", "title"), F.lit("Unnamed Project")).alias("name"),
-                _text(x, "description").alias("description"),
-                _text(x, "url", "link").alias("url"),
-                _variant_dates(x).alias("dates"),
-                _strings(x, "technologies").alias("technologies"),
-                _text(x, "role").alias("role"),
-                _number(x, "team_size", "int").alias("team_size"),
-                _number(x, "confidence_score", "double", 0.0).alias("confidence_score"),
+            _objects(section("projects"), _READ["projects"]),
+            lambda o: F.struct(
+                F.coalesce(_text(o, "name", "title"), F.lit("Unnamed Project")).alias("name"),
+                _text(o, "description").alias("description"),
+                _text(o, "url", "link").alias("url"),
+                _read_dates(o).alias("dates"),
+                _strings(o, "technologies").alias("technologies"),
+                _text(o, "role").alias("role"),
+                o["team_size"].alias("team_size"),
+                _number(o, "confidence_score", 0.0).alias("confidence_score"),
             ),
         )
-        achievements = F.transform(
-            kept("achievements"),
-            lambda x: F.struct(
-                F.coalesce(
-                    F.when(F.startswith(F.schema_of_variant(x), F.lit("STRING")), F.try_variant_get(x, "$", "string")),
-                    _text(x, "title", "name"),
-                    F.lit("Achievement"),
-                ).alias("title"),
-                _text(x, "organization", "issuer").alias("organization"),
-                _text(x, "date_received", "date").alias("date_received"),
-                *[
-                    _text(x, n).alias(n)
-                    for n in ("description", "type", "expiration_date", "credential_id", "verification_url")
-                ],
-            ),
-        )
-        source = F.coalesce(basename(_text(v, "file_path")), F.lit("unknown.docx"))
-        keys = F.map_keys(F.try_variant_get(s, "$", "map<string,variant>"))
-        return F.struct(
-            F.lit(SCHEMA_VERSION).alias("schema_version"),
-            as_of.alias("generated_at"),
-            F.coalesce(_text(v, "extraction_method"), F.lit("unknown")).alias("extraction_method"),
-            source.alias("source_file"),
-            let(F.try_variant_get(s, "$.contact", "variant"), contact).alias("contact"),
-            let(F.try_variant_get(s, "$.summary", "variant"), summary).alias("summary"),
-            experience.alias("experience"),
-            education.alias("education"),
-            skills.alias("skills"),
-            projects.alias("projects"),
-            achievements.alias("achievements"),
-            _null().alias("additional_sections"),
-            F.struct(
-                F.coalesce(F.try_variant_get(v, "$.metadata.extractor_version", "string"), F.lit("0.1.0")).alias(
-                    "extractor_version"
-                ),
-                as_of.alias("extraction_timestamp"),
-                _null("int").alias("processing_time_ms"),
-                F.coalesce(F.try_variant_get(v, "$.metadata.confidence_score", "double"), F.lit(0.0)).alias(
-                    "confidence_score"
-                ),
-                _null().alias("source_file_hash"),
-                _null("bigint").alias("file_size_bytes"),
-                type_of_name(source).alias("file_type"),
-                F.coalesce(keys, no_strings()).alias("sections_detected"),
-                _null().alias("language_detected"),
-                _null("int").alias("character_count"),
-                _null("double").alias("structure_score"),
-                _null("double").alias("completeness_score"),
-            ).alias("metadata"),
-            _strings(v, "warnings").alias("warnings"),
-            no_strings().alias("errors"),
-        )
 
-    return let(F.try_parse_json(parser_json), lambda v: F.when(v.isNotNull(), build(v)))
+        def build(source: Column) -> Column:
+            return F.struct(
+                F.lit(SCHEMA_VERSION).alias("schema_version"),
+                as_of.alias("generated_at"),
+                F.coalesce(_text(v, "extraction_method"), F.lit("unknown")).alias("extraction_method"),
+                source.alias("source_file"),
+                contact(section("contact")).alias("contact"),
+                let(section("summary"), summary).alias("summary"),
+                experience.alias("experience"),
+                education.alias("education"),
+                objects_or_strings(section("skills"), _READ["skills"], skill).alias("skills"),
+                projects.alias("projects"),
+                objects_or_strings(section("achievements"), _READ["achievements"], achievement).alias("achievements"),
+                _null().alias("additional_sections"),
+                F.struct(
+                    F.coalesce(v["metadata"]["extractor_version"], F.lit("0.1.0")).alias("extractor_version"),
+                    as_of.alias("extraction_timestamp"),
+                    _null("int").alias("processing_time_ms"),
+                    F.coalesce(v["metadata"]["confidence_score"], F.lit(0.0)).alias("confidence_score"),
+                    _null().alias("source_file_hash"),
+                    _null("bigint").alias("file_size_bytes"),
+                    type_of_name(source).alias("file_type"),
+                    F.coalesce(F.map_keys(s), no_strings()).alias("sections_detected"),
+                    _null().alias("language_detected"),
+                    _null("int").alias("character_count"),
+                    _null("double").alias("structure_score"),
+                    _null("double").alias("completeness_score"),
+                ).alias("metadata"),
+                _strings(v, "warnings").alias("warnings"),
+                no_strings().alias("errors"),
+            )
+
+        return let(F.coalesce(basename(_text(v, "file_path")), F.lit("unknown.docx")), build)
+
+    def read(v: Column) -> Column:
+        return F.when(v.isNotNull(), let(_read(v, _READ["parser"]), assemble))
+
+    return let(F.try_parse_json(parser_json), read)
 
 
 def with_profiles(parsed: DataFrame, path: Column, as_of: Column, **known: Column) -> DataFrame:
