@@ -161,3 +161,31 @@ def test_nothing_is_cut_without_limits(spark):
     assert len(full.experience) == 14 and len(cut.experience) == 10
     assert len(full.skills) == 30 and len(cut.skills) == 20
     assert full.achievements == ["Best person award", "the end"] and cut.achievements == ["Best person award"]
+
+
+def test_sections_that_are_not_read_are_not_worked_out(spark):
+    docs = spark.createDataFrame([(1, "Ana\nmail a@b.org http://x.org\nSkills\nSQL, Go\n\nEducation\nPhD Physics\nthesis")], "id int, text string")
+    parsed = parse.parse_plain(docs, boundary="ascii")
+    few = parsed.select(F.size("result.sections.skills").alias("skills"), F.size("result.sections.education").alias("schools"))
+    assert tuple(few.first()) == (2, 1)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # the links of the contact
+    whole = parsed.first().result
+    assert (whole.sections.contact.email, whole.sections.contact.urls) == ("a@b.org", ["http://x.org"])
+
+
+def test_parser_json_is_read_once_per_object(spark):
+    """One pass over the fields of an object, also where fields or items are of another type."""
+    text = (
+        '{"file_path": "/a/b.pdf", "sections": {"contact": {}, "experience": [{"title": "T", "dates": {"start": "2020-1"}}, "x", null, 3], '
+        '"skills": ["SQL", 7, {"name": "", "years_experience": "3"}, null, {"name": "Go", "aliases": "no"}], "achievements": ["", {"name": "B"}, {}, true], "summary": "s"}}'
+    )
+    df = spark.createDataFrame([(text,), ("5",), ("{",)], "j string")
+    made = df.select(P.profile_of_json(F.col("j"), F.lit("2024-01-01").cast("timestamp")).alias("p"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("variant_get(") < 25
+    p, other, broken = (r.p for r in made.collect())
+    assert broken is None and other.source_file == "unknown.docx" and other.skills == []
+    assert [(x.position, x.dates.start_date) for x in p.experience] == [("T", "2020-01-01")]
+    assert [(x.name, x.years_experience) for x in p.skills] == [("SQL", None), ('{"name":"","years_experience":"3"}', 3), ("Go", None)]
+    assert [x.title for x in p.achievements] == ["", "B", "Achievement"]
+    assert p.contact.email is None and p.contact.social_profiles == {} and p.summary.text == "s" and p.metadata.file_type == "pdf"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaframe.functions import crypto
+from vitaframe.queries import base
 from vitaframe.sources import documents as D
 from vitaframe.sources import files as S
 from vitaframe.sources import tables as T
@@ -177,3 +178,13 @@ def test_encryption_key_comes_from_the_session(spark):
     plan = sealed._jdf.queryExecution().toString().lower()
     derived = hashlib.sha256(b"s3cret").digest()
     assert "s3cret" not in plan and derived.hex() not in plan and str(list(derived))[1:40] not in plan
+
+
+def test_resumes_of_large_tables_come_in_tasks_of_bounded_size(spark, data, monkeypatch):
+    """A large table is not left in whole splits or row groups, where parsing makes tasks of hours."""
+    monkeypatch.setattr(T, "_BYTES_PER_CORE", 1)
+    assert "Exchange" in base.resumes(spark, data)._jdf.queryExecution().executedPlan().toString()
+    df = T.table(spark, data, "documents").select("doc_id", "text")
+    wide = T.spread(df, task_bytes=1000)
+    assert wide.rdd.getNumPartitions() > 3 * spark.sparkContext.defaultParallelism
+    assert wide.exceptAll(df).isEmpty() and wide.count() == df.count()

@@ -266,7 +266,7 @@ def plain_schools(text: Column, boundary: str = "unicode", cap: int | None = MAX
     """Education of plain text: a degree or school line opens an entry, later lines are details."""
 
     def entries(lines: Column) -> Column:
-        opens = lambda x: contains_any(F.lower(x), DEGREE_WORDS + PLAIN_SCHOOL_WORDS)
+        opens = lambda x: let(F.lower(x), lambda low: contains_any(low, DEGREE_WORDS + PLAIN_SCHOOL_WORDS))
         starts = F.filter(
             F.transform(lines, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull()
         )

@@ -27,8 +27,14 @@ def _result(sections: Column, method: Column, warnings: Column, score: Column) -
     )
 
 
-def _with_sections(df: DataFrame, sections: Column) -> DataFrame:
-    return df.withColumn("_sections", sections)
+def _with_sections(df: DataFrame, **sections: Column) -> tuple[DataFrame, Column]:
+    """Each section as a column of its own, so that what a query does not read is not worked out, and all as one struct."""
+    names = {f"_section_{name}": value for name, value in sections.items()}
+    return df.withColumns(names), F.struct(*[F.col(f"_section_{name}").alias(name) for name in sections])
+
+
+def _without_sections(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"_section_{name}" for name in SECTION_KEYS])
 
 
 def parse_styled(
@@ -46,25 +52,25 @@ def parse_styled(
     staged = staged.withColumn("_segments", S.styled_segments(F.col("_paras"), boundary=boundary))
     whole = F.array_join(F.transform(F.col("_paras"), lambda p: p["text"]), " ")
     text = lambda s: S.section_text(F.col("_segments"), s)
-    sections = F.struct(
-        X.contact(whole, boundary, limits.urls).alias("contact"),
-        X.clean_summary(text("summary"), boundary).alias("summary"),
-        X.jobs(text("experience"), boundary).alias("experience"),
-        X.schools(text("education"), boundary).alias("education"),
-        X.skills(text("skills")).alias("skills"),
-        X.projects(text("projects")).alias("projects"),
-        X.achievements(text("achievements")).alias("achievements"),
+    staged, sections = _with_sections(
+        staged,
+        contact=X.contact(whole, boundary, limits.urls),
+        summary=X.clean_summary(text("summary"), boundary),
+        experience=X.jobs(text("experience"), boundary),
+        education=X.schools(text("education"), boundary),
+        skills=X.skills(text("skills")),
+        projects=X.projects(text("projects")),
+        achievements=X.achievements(text("achievements")),
     )
-    staged = _with_sections(staged, sections)
     result = _result(
-        F.col("_sections"),
+        sections,
         F.lit("docx_deterministic"),
-        X.styled_warnings(F.col("_sections")),
-        X.confidence(F.col("_sections"), X.STYLED_WEIGHTS),
+        X.styled_warnings(sections),
+        X.confidence(sections, X.STYLED_WEIGHTS),
     )
-    return staged.withColumns(
-        {"result": result, "sections_found": S.sections_found(F.col("_segments"))}
-    ).drop("_paras", "_segments", "_sections")
+    return _without_sections(
+        staged.withColumns({"result": result, "sections_found": S.sections_found(F.col("_segments"))})
+    ).drop("_paras", "_segments")
 
 
 def parse_plain(
@@ -87,7 +93,7 @@ def parse_plain(
     staged = df.withColumn("_clean", S.clean_page_text(F.col(text), keep_blank=not compat, boundary=boundary))
     staged = staged.withColumn(
         "_segments",
-        S.plain_segments(F.transform(F.split("_clean", "\n"), strip), drop_last=not limits.last_line, boundary=boundary),
+        S.plain_segments(F.split("_clean", "\n"), drop_last=not limits.last_line, boundary=boundary),
     )
     # Contacts see the text without blank lines.
     staged = staged.withColumn("_body", F.regexp_replace("_clean", r"\n\n+", "\n"))
@@ -97,28 +103,28 @@ def parse_plain(
     )
     part = lambda s: S.section_text(F.col("_segments"), s)
     dense = lambda s: F.array_join(F.filter(S.section_items(F.col("_segments"), s), lambda x: x != ""), "\n")
-    sections = F.struct(
-        X.contact(F.col("_body"), boundary, limits.urls).alias("contact"),
-        X.lead_sentences(dense("summary"), limits.lead).alias("summary"),
-        X.plain_jobs(part("experience"), boundary, limits.jobs).alias("experience"),
-        X.plain_schools(dense("education"), boundary, limits.education).alias("education"),
-        F.when(F.col("_has_content"), X.plain_skills(dense("skills"), limits.skills))
-        .otherwise(X.tech_terms(F.col("_body"), limits.terms))
-        .alias("skills"),
-        X.plain_projects(part("projects"), limits.projects).alias("projects"),
-        X.plain_achievements(dense("achievements"), limits.awards).alias("achievements"),
+    staged, sections = _with_sections(
+        staged,
+        contact=X.contact(F.col("_body"), boundary, limits.urls),
+        summary=X.lead_sentences(dense("summary"), limits.lead),
+        experience=X.plain_jobs(part("experience"), boundary, limits.jobs),
+        education=X.plain_schools(dense("education"), boundary, limits.education),
+        skills=F.when(F.col("_has_content"), X.plain_skills(dense("skills"), limits.skills)).otherwise(
+            X.tech_terms(F.col("_body"), limits.terms)
+        ),
+        projects=X.plain_projects(part("projects"), limits.projects),
+        achievements=X.plain_achievements(dense("achievements"), limits.awards),
     )
-    staged = _with_sections(staged, sections)
-    email = F.col("_sections")["contact"]["email"]
+    email = F.col("_section_contact")["email"]
     result = _result(
-        F.col("_sections"),
+        sections,
         F.when(is_pdf, "pdf_heuristic").otherwise("txt_lines"),
         X.plain_warnings(F.col(text), email, F.col("_has_content"), used_fallback, is_pdf),
-        X.confidence(F.col("_sections"), X.PLAIN_WEIGHTS, 0.8),
+        X.confidence(sections, X.PLAIN_WEIGHTS, 0.8),
     )
-    return staged.withColumns(
-        {"result": result, "sections_found": S.sections_found(F.col("_segments"))}
-    ).drop("_clean", "_segments", "_body", "_has_content", "_sections")
+    return _without_sections(
+        staged.withColumns({"result": result, "sections_found": S.sections_found(F.col("_segments"))})
+    ).drop("_clean", "_segments", "_body", "_has_content")
 
 
 def parse_documents(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaframe.functions.text import WHITESPACE
-from vitaframe.sources.tables import spread_small, table
+from vitaframe.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,7 +133,7 @@ BOLD_LINE = "^(Professional Summary|About|Work  Experience|Technical  Skills:|Ke
 
 def resumes(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, text``: a résumé around the whole text of every document."""
-    docs = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.expr(RESUME_TEXT).alias("text"))
 
 

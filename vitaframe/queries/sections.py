@@ -26,7 +26,7 @@ from vitaframe.queries.base import (
 )
 from vitaframe.queries.text import clean_page_sql
 from vitaframe.sources import documents as D
-from vitaframe.sources.tables import spread_small, table
+from vitaframe.sources.tables import spread, table
 
 # ------------------------------------------------------------------ the same in SQL
 
@@ -499,7 +499,7 @@ def parse_styled_resumes(spark, folder):
 )
 def parse_without_sections(spark, folder):
     """Plain parse of the raw documents, most of which have no section headers."""
-    docs = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     parsed = parse.parse_plain(docs, boundary="ascii", limits=X.PUBLISHED_LIMITS)
     loose = F.array_contains("result.warnings", X.NO_SECTIONS)
     return parsed.select(
@@ -511,7 +511,7 @@ def parse_without_sections(spark, folder):
 
 
 def _routed(spark, folder):
-    docs = spread_small(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     named = docs.select(
         "doc_id", "lang", "source", "n_chars", F.expr(FILE_NAME).alias("file_name"), F.expr(RESUME_TEXT).alias("text")
     )
@@ -613,6 +613,14 @@ def quality_scorecard_by_category(spark, folder):
 
 # ------------------------------------------------------------------ pages, runs, files
 
+#: Text of a task that is taken apart into lines or words, of which each becomes a row several times as large.
+_ROWS_BYTES = 2 * 1024 * 1024
+
+
+def _by_document(spark, folder):
+    """Whole texts shuffled by document: what is made of them then lies where it is grouped, and is not shuffled itself."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", task_bytes=_ROWS_BYTES)
+
 
 @register(
     "WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS page_no, unnest(ls) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), "
@@ -623,7 +631,7 @@ def quality_scorecard_by_category(spark, folder):
 )
 def documents_from_pages(spark, folder):
     """Pages put together, with the second extractor's text where the first found none."""
-    docs = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = _by_document(spark, folder)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
     pages = lines.select(
         "doc_id",
@@ -642,7 +650,7 @@ def documents_from_pages(spark, folder):
 )
 def paragraphs_from_runs(spark, folder):
     """Runs rolled up to paragraphs: text, any bold, first font size."""
-    docs = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = _by_document(spark, folder)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "t"))
     words = lines.select("doc_id", "idx", F.posexplode(F.split("t", " ")).alias("run_no", "text"))
     runs = words.withColumns(

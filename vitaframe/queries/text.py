@@ -17,11 +17,11 @@ from vitaframe.queries.base import (
     strip_sql,
 )
 from vitaframe.sources.documents import line_rows
-from vitaframe.sources.tables import spread_small, table
+from vitaframe.sources.tables import spread, table
 
 
 def _docs(spark, folder):
-    return spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def _rx(kind: str) -> str:
@@ -81,7 +81,7 @@ def count_personal_data(spark, folder):
 def redact_nested_events(spark, folder):
     """Log-like rows with structs, maps and arrays: personal fields become placeholders, other
     strings are searched, the rest stays."""
-    talk = spread_small(table(spark, folder, "conversations"))
+    talk = spread(table(spark, folder, "conversations"))
     nested = talk.select(
         "conv_id",
         "turn",
@@ -136,7 +136,7 @@ def document_contacts(spark, folder):
 )
 def page_links(spark, folder):
     """Links, mails and phones in raw pages."""
-    pages = spread_small(table(spark, folder, "pages"))
+    pages = spread(table(spark, folder, "pages"))
     whole = F.concat_ws(" ", "url", "html")
     return pages.select(
         "page_id",

@@ -11,7 +11,7 @@ from vitaframe.plans import parse
 from vitaframe.plans import profile as P
 from vitaframe.queries.base import FILE_NAME, quote, register, resumes, strip_sql
 from vitaframe.queries.sections import CONTACT_SQL, LEAD_SQL, RESUMES_CTE, plain_ctes
-from vitaframe.sources.tables import profiles_from_json, spread_small, table
+from vitaframe.sources.tables import profiles_from_json, spread, table
 
 # ------------------------------------------------------------------ formats
 
@@ -63,7 +63,7 @@ _DATE = (
 )
 def flexible_dates(spark, folder):
     """Five date forms in order; what fits none stays text."""
-    x = spread_small(table(spark, folder, "orders")).select("o_orderkey", date_or_text(F.expr(_DATE)).alias("d"))
+    x = spread(table(spark, folder, "orders")).select("o_orderkey", date_or_text(F.expr(_DATE)).alias("d"))
     return x.select("o_orderkey", "d.parsed", "d.raw")
 
 
@@ -99,7 +99,7 @@ PROFILE_JSON = f"concat('{{', {_PICK}, CASE WHEN c_custkey % {_K} = {_K - 1} THE
 
 
 def _profile_json(spark, folder):
-    return spread_small(table(spark, folder, "customer")).select("c_custkey", F.expr(PROFILE_JSON).alias("j"))
+    return spread(table(spark, folder, "customer")).select("c_custkey", F.expr(PROFILE_JSON).alias("j"))
 
 
 _LONG = "Field 'achievements -> 0 -> title': String should have at most 200 characters"
@@ -281,7 +281,7 @@ _PARSER_JSON = (
 )
 def profiles_of_parser_json(spark, folder):
     """Profiles from foreign parser JSON with field synonyms and mixed lists."""
-    rows = spread_small(table(spark, folder, "orders")).select("o_orderkey", F.expr(_PARSER_JSON).alias("j"))
+    rows = spread(table(spark, folder, "orders")).select("o_orderkey", F.expr(_PARSER_JSON).alias("j"))
     p = rows.withColumn("p", P.profile_of_json(F.col("j"), F.lit(_AT).cast("timestamp")))
     pair = lambda xs, a, b: F.array_join(F.transform(xs, lambda x: F.concat(x[a], F.lit(":"), F.coalesce(x[b], F.lit("")))), ",")
     return p.select(

@@ -1,4 +1,4 @@
-"""Read test and catalog tables; spread small scans over the cluster."""
+"""Read test and catalog tables; spread scans over the cluster."""
 
 from __future__ import annotations
 
@@ -14,23 +14,38 @@ MANIFEST_DDL = (
     "skills_extracted:int,experience_entries:int,warnings_expected:array<string>,error_expected:string,"
     "error_message:string>>>"
 )
-# Input that gives each core less than this is spread before expensive text work.
+# Input that gives each core less than this is spread before text work.
 _BYTES_PER_CORE = 16 * 1024 * 1024
+# What a task gets of an input that is spread before expensive work.
+_BYTES_PER_TASK = 8 * 1024 * 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _size_of(df: DataFrame) -> int:
+    """The optimizer's estimate in bytes, so nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Repartition an input too small to occupy every core; leave a large one where it lies.
 
-    The size is the optimizer's estimate, so nothing is run. At scale the scan has far more
-    splits than cores and no shuffle is added.
+    At scale the scan has far more splits than cores and no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _size_of(df) < cores * _BYTES_PER_CORE else df
+
+
+def spread(df: DataFrame, *keys: str, task_bytes: int = _BYTES_PER_TASK) -> DataFrame:
+    """Spread an input over tasks of bounded size, before work that costs far more than a shuffle of its rows.
+
+    Left as its files are cut, a task would work through a whole split or row group, however long each row takes. A small
+    input occupies every core. With ``keys`` the rows of a key come together, and grouping by them shuffles no more.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * _BYTES_PER_CORE else df
+    return df.repartition(max(cores, -(-_size_of(df) // task_bytes)), *keys)
 
 
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
