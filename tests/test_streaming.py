@@ -1,13 +1,16 @@
 import glob
 import os
 import random
+import tracemalloc
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vitaframe.operators.metrics import EVENT_DDL
 from vitaframe.streaming import jobs as J
+from vitaframe.streaming.state import FirstWithin
 
 
 def write_events(spark, folder):
@@ -176,3 +179,70 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
 def test_window_lengths_are_checked(spark):
     with pytest.raises(ValueError):
         J.tumbling_kpis(spark.createDataFrame([], EVENT_DDL), 5)
+
+
+class _Kept:
+    """State of one key, in memory."""
+
+    def __init__(self):
+        self.items, self.timers = [], []
+
+    def exists(self):
+        return bool(self.items)
+
+    def get(self):
+        return iter(self.items) if self.many else self.items[0]
+
+    def clear(self):
+        self.items = []
+
+    def put(self, items):
+        self.items = list(items)
+
+    def update(self, item):
+        self.items = [item]
+
+    def appendValue(self, item):
+        self.items.append(item)
+
+    def appendList(self, items):
+        self.items += items
+
+    def _of(self, many):
+        out = _Kept()
+        out.many = many
+        return out
+
+    def getValueState(self, name, schema):
+        return self._of(False)
+
+    def getListState(self, name, schema):
+        return self._of(True)
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 1 << 40
+
+
+def test_waiting_uploads_of_a_hot_checksum_are_packed():
+    n, hour = 200_000, 3_600_000_000
+    rows = FirstWithin(24 * hour)
+    rows.init(_Kept())
+    frames = (pd.DataFrame({"at": [(i * 7919 % n) * 36_000_000 for i in range(a, a + 10_000)], "id": range(a, a + 10_000)}) for a in range(0, n, 10_000))
+    tracemalloc.start()
+    assert list(rows.handleInputRows(("c",), frames, _Kept())) == []
+    (out,) = rows.handleExpiredTimer(("c",), _Kept(), None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # every 36 seconds one upload, and the first more than 24 hours after the last that stays: 2,401 steps on
+    assert out["at"].tolist() == [k * 2401 * 36_000_000 for k in range(-(-n // 2401))]
+    assert [i * 7919 % n for i in out["id"].tolist()] == [k * 2401 for k in range(-(-n // 2401))]
+    assert most < 80 * n
