@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +137,17 @@ def test_share_in_half_the_lists(spark, embeddings, data):
     got = QUERIES["recall_of_half_the_lists"](spark, data).first()
     asked = embeddings.where("vec_id % 50 = 0").count()
     assert got.expected == asked * 5 and got.recall == round(got.found / got.expected, 4)
+
+
+def test_similarities_are_held_in_tiles():
+    """Neither vectors nor questions make the memory of a product grow; ties still go to the first."""
+    made = np.random.default_rng(1)
+    questions, vectors = made.integers(-2, 3, (E.STEP, 4)).astype(float), made.integers(-2, 3, (10 * E.TILE, 4)).astype(float)
+    tracemalloc.start()
+    sims, at = E._best(questions, vectors, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * E.STEP * E.TILE * 8
+    whole = np.round(questions @ vectors.T, E.DECIMALS)
+    order = np.argsort(-whole, axis=1, kind="stable")[:, :3]
+    assert (at == order).all() and (sims == np.take_along_axis(whole, order, 1)).all()

@@ -29,6 +29,9 @@ from vitaframe.session import written
 #: Vectors and questions of a block.
 ROWS = 1 << 14
 QUESTIONS = 1 << 11
+#: Questions and vectors of which a task holds the similarities at one time.
+STEP = 128
+TILE = 1 << 10
 # Similarities are compared at this many decimals, so equal vectors tie on every engine.
 DECIMALS = 6
 #: What rounding may add to a similarity.
@@ -77,6 +80,21 @@ def _asked(queries: DataFrame, id_col: str, vector: str) -> DataFrame:
     return written(ready, "questions")
 
 
+def _best(questions: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities and places of each question's best ``k``, the first of equals first; never more than a tile of the product."""
+    at = np.zeros((len(questions), 0), np.int64)
+    sims = np.zeros((len(questions), 0))
+    for start in range(0, len(vectors), TILE):
+        new = questions @ vectors[start : start + TILE].T
+        np.round(new, DECIMALS, out=new)
+        new += 0.0
+        places = np.broadcast_to(np.arange(start, start + new.shape[1]), new.shape)
+        sims, at = np.concatenate([sims, new], axis=1), np.concatenate([at, places], axis=1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # vectors are in the order of ids
+        sims, at = np.take_along_axis(sims, order, 1), np.take_along_axis(at, order, 1)
+    return sims, at
+
+
 def _blocks(asked: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Best ``k`` of each block for each of its questions: ``question, id, similarity``.
 
@@ -94,18 +112,12 @@ def _blocks(asked: DataFrame, rows: DataFrame, keys: list[str], k: int) -> DataF
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows.column("id"), null_placement="at_end"))
-        questions, vectors = _matrix(asked.column("unit")), _matrix(rows.column("unit"))
-        at = np.zeros((len(questions), 0), np.int64)
-        sims = np.zeros((len(questions), 0))
-        for start in range(0, len(vectors), 1024):
-            new = np.round(questions @ vectors[start : start + 1024].T, DECIMALS) + 0.0
-            places = np.broadcast_to(np.arange(start, start + new.shape[1]), new.shape)
-            sims, at = np.concatenate([sims, new], axis=1), np.concatenate([at, places], axis=1)
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # rows are in the order of ids
-            sims, at = np.take_along_axis(sims, order, 1), np.take_along_axis(at, order, 1)
+        vectors = _matrix(rows.column("unit"))
+        found = [_best(_matrix(asked.column("unit").slice(i, STEP)), vectors, k) for i in range(0, len(asked), STEP)]
+        sims, at = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table(
             {
-                "question": asked.column("question").take(pa.array(np.repeat(np.arange(len(questions)), at.shape[1]))),
+                "question": asked.column("question").take(pa.array(np.repeat(np.arange(len(asked)), at.shape[1]))),
                 "id": rows.column("id").take(pa.array(at.ravel())),
                 "similarity": pa.array(sims.ravel()),
             }
