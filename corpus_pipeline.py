@@ -14,8 +14,13 @@ from vitaframe.llm.queries import RANKS
 from vitaframe.sources.tables import table
 
 
+#: Texts that go to Python at a time.
+BATCH = 500
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that no learned language has, null texts and texts without a letter go; a short text of doubtful language stays."""
+    few_texts_at_a_time(spark)
     return langid.of_known_language(docs, langid.train(docs))
 
 
@@ -26,6 +31,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (fingerprints of three-word shingles, 2 differing bits) the one with the smallest id stays."""
+    few_texts_at_a_time(spark)
     return simhash.one_of_each_group(docs, shingle=3)
 
 
@@ -36,9 +42,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens and a check of the way back, per row of the mixture."""
+    few_texts_at_a_time(spark)
     return bpe.round_trip(docs, RANKS).withColumnRenamed("id", "doc_id")
 
 
+def few_texts_at_a_time(spark: SparkSession) -> None:
+    """Whole texts go to Python in small batches: a batch lies in the memory of the JVM and of its Python worker, which keep it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(now, BATCH) if now > 0 else BATCH))
+
+
 STAGES = [
     ("language", known_language),
     ("exact_copies", exact_copies),
