@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitaframe.functions import crypto
-from vitaframe.queries import base
+from vitaframe.queries import QUERIES, base
 from vitaframe.sources import documents as D
 from vitaframe.sources import files as S
 from vitaframe.sources import tables as T
@@ -188,3 +188,10 @@ def test_resumes_of_large_tables_come_in_tasks_of_bounded_size(spark, data, monk
     wide = T.spread(df, task_bytes=1000)
     assert wide.rdd.getNumPartitions() > 3 * spark.sparkContext.defaultParallelism
     assert wide.exceptAll(df).isEmpty() and wide.count() == df.count()
+
+
+@pytest.mark.parametrize("name", ["paragraphs_from_runs", "documents_from_pages"])
+def test_rows_made_of_a_text_are_grouped_where_they_lie(spark, data, name):
+    """Texts are shuffled once, by document; their words and lines are not."""
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(doc_id" in plan
