@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitaframe.operators.metrics import EVENT_DDL
 from vitaframe.streaming import jobs as J
-from vitaframe.streaming.state import FirstWithin
+from vitaframe.streaming.state import BUCKETS, PARTS, FirstWithin, Packing
 
 
 def write_events(spark, folder):
@@ -246,3 +246,62 @@ def test_waiting_uploads_of_a_hot_checksum_are_packed():
     assert out["at"].tolist() == [k * 2401 * 36_000_000 for k in range(-(-n // 2401))]
     assert [i * 7919 % n for i in out["id"].tolist()] == [k * 2401 for k in range(-(-n // 2401))]
     assert most < 80 * n
+
+
+class _Calls(_Kept):
+    """State that counts what is asked of it."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = []
+
+    def __getattribute__(self, name):
+        if name in ("get", "clear", "update", "appendValue", "listTimers", "registerTimer", "deleteTimer"):
+            object.__getattribute__(self, "calls").append(name)
+        return object.__getattribute__(self, name)
+
+    def _of(self, many):
+        out = _Calls()
+        out.many, out.calls = many, self.calls
+        return out
+
+
+def test_many_checksums_cost_few_calls_to_the_state():
+    hour = 3_600_000_000
+    rng = random.Random(4)
+    rows = [(f"{rng.randrange(500)}", i, rng.randrange(1, 90) * hour + rng.randrange(3)) for i in range(5000)]
+    frame = pd.DataFrame(rows, columns=["checksum", "id", "at"])
+    waiting, first, calls = Packing(), FirstWithin(24 * hour), _Calls()
+    now = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    halves, state = _Calls(), 40 * 3_600_000
+    waiting.init(halves)
+    first.init(calls)
+    assert list(waiting.handleInputRows((3, 0), iter([frame[:2000], frame[2000:]]), now(0))) == []
+    got = []
+    for ms in (state, 1 << 40):  # the second time the rest, and what stayed before is known
+        (packs,) = waiting.handleExpiredTimer((3, 0), now(ms), None)
+        assert set(packs["bucket"]) == {3}
+        for out in first.handleInputRows((3,), iter([packs]), now(ms)):
+            got += zip(out["checksum"], out["id"].tolist(), out["at"].tolist(), strict=True)
+    assert sorted(got) == kept_by_hand(rows, 24 * hour)
+    assert len(halves.calls) + len(calls.calls) < 60
+    assert list(first.handleExpiredTimer((3,), now(1 << 40), None)) == [] and halves.timers == calls.timers == []
+
+
+def test_uploads_of_a_stream_wait_in_parts_and_late_ones_stay_out(spark, tmp_path):
+    hour = 3600
+    steps = [
+        [("hot" if i % 3 else f"f{i}", i, 100_000 + i * 37) for i in range(2000)],
+        [("hot", 9001, 100_000 + 80 * hour)],  # the watermark comes to 79 hours
+        [("g", 9002, 100_000 + 81 * hour)],
+        [("late", 9003, 100_000 + 79 * hour), ("in time", 9004, 100_000 + 79 * hour + 1)],
+        [("end", 9005, 100_000 + 90 * hour)],
+    ]
+    df = rows_by_step(spark, f"{tmp_path}/in", steps, "checksum string, id bigint, t int").withColumn("ts", F.timestamp_seconds("t"))
+    query = J.run_to_parquet(J.first_uploads(df, timedelta(hours=2)), f"{tmp_path}/out", f"{tmp_path}/ck")
+    got = sorted((r.checksum, r.id, int(r.ts.timestamp())) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    rows = [r for step in steps for r in step]
+    assert got == [r for r in kept_by_hand(rows, 2 * hour) if r[0] not in ("late", "end")]
+    first = query.recentProgress[0].stateOperators
+    assert len(first) == 2 and first[0].numRowsTotal == 0  # nothing is judged before it has waited
+    assert 668 < first[1].numRowsTotal <= BUCKETS * PARTS  # the hot checksum waits in parts, the others in buckets

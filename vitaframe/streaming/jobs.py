@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vitaframe.functions.redact import redact_log_events
 from vitaframe.operators.dedupe import first_within
 from vitaframe.operators.metrics import EVENT_DDL, exact_sum, kpi_aggregates, with_ratios
-from vitaframe.streaming.state import FirstWithin, LatestStatus, use_timers
+from vitaframe.streaming.state import BUCKETS, PARTS, FirstWithin, LatestStatus, Packing, use_timers
 
 # Window lengths offered to users, in hours.
 WINDOW_HOURS = (1, 6, 24, 72, 168)
@@ -140,7 +140,8 @@ def first_uploads(uploads: DataFrame, within: timedelta = timedelta(hours=24), l
     """``checksum, id, ts`` of the uploads that stay by the rule of ``operators.dedupe``, in batch and in streams.
 
     A stream holds uploads back until its watermark has passed them, then judges them in the order of time; a checksum
-    leaves the state when its period is over. Stream ids are integers.
+    leaves the state when its period is over. They wait in parts of buckets of checksums and are judged by bucket.
+    Stream ids are integers.
     """
     period = within // timedelta(microseconds=1)
     rows = uploads.select("checksum", F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(id_col).alias("id"), F.col(ts).cast("timestamp").alias("ts"))
@@ -148,7 +149,17 @@ def first_uploads(uploads: DataFrame, within: timedelta = timedelta(hours=24), l
     if uploads.isStreaming:
         use_timers(uploads)
         kind = rows.schema["checksum"].dataType.simpleString()
-        kept = rows.withWatermark("ts", late).groupBy("checksum").transformWithStateInPandas(
+        dealt = rows.withColumns(
+            {
+                "id": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))),
+                "bucket": F.pmod(F.xxhash64("checksum"), F.lit(BUCKETS)).cast("int"),
+                "part": F.pmod(F.xxhash64("at", "id"), F.lit(PARTS)).cast("int"),
+            }
+        )
+        packs = dealt.withWatermark("ts", late).groupBy("bucket", "part").transformWithStateInPandas(
+            Packing(), "bucket int, packed binary, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts"
+        )
+        kept = packs.groupBy("bucket").transformWithStateInPandas(
             FirstWithin(period), f"checksum {kind}, at long, id long", "Append", "EventTime"
         )
     else:
